@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, keep_ids, materialise, table
+from tidemark.llm.common import SPACES, materialise, table
 
 GAMMA = 2.0  # positions for each digest of a level
 FOUND = "digest binary, keep_id long, group_size long, keep_rows long, known boolean"
@@ -177,10 +177,12 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, in the columns of ``docs``."""
-    kept = materialise(exact_dedup(docs).where("kept").select("doc_id", "keep_rows"))
-    once = keep_ids(docs, kept.where("keep_rows = 1"))
-    again = keep_ids(docs, kept.where("keep_rows > 1")).withColumn("__digest", F.sha2(normalised(docs["text"]), 256))
-    return once.unionByName(again.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))
+    kept = materialise(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept"), "keep_rows"))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(docs["text"]), 256)))
+    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__kept"])
+    once = marked.join(kept.where("keep_rows = 1"), same, "left_semi")
+    again = marked.join(kept.where("keep_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
+    return once.unionByName(again).drop("__digest")
 
 
 def op9_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
