@@ -1,7 +1,8 @@
 """Token ids of texts, through a bounded cache of white-space-separated chunks.
 
-The tokenizers used here drop white space and never join across it, so the ids of a text are
-those of its chunks in order. A chunk is encoded by the tokenizer itself the first time it is met.
+The tokenizers used here lower-case, drop white space, never join across it, and mark the ends of
+words, so the ids of a text are those of its chunks in order. The tokenizer itself encodes a chunk
+the first time it is met.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import re
 
 import numpy as np
 
+#: Marks that never join the letters before them.
+_MARKS = frozenset(".,!?;:")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
@@ -24,6 +27,9 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.dtype, self.most, self.slice_chars, self.known = dtype, most, slice_chars, {}
 
     def encode(self, text: str) -> bytes:
@@ -43,10 +49,39 @@ class ChunkEncoder:
             known.clear()
         new = [c for c in dict.fromkeys(chunks) if c not in known]
         if new:
-            for chunk, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, self.dtype).tobytes()
+            self._learn(new)
         return b"".join(map(known.__getitem__, chunks))
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks of letters, with one mark behind at most, are encoded together: lower-cased, each is one word with one end."""
+        known, words, rest, parts = self.known, {}, [], []
+        for c in chunks:
+            key = c.lower() if c.isascii() else c
+            body, mark = (key[:-1], key[-1]) if key[-1:] in _MARKS else (key, "")
+            if not body.isalpha():
+                rest.append(c)
+                continue
+            parts.append((c, body, mark))
+            if body not in known:
+                words[body] = None
+            if mark and mark not in known:
+                rest.append(mark)
+        if words:
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(words):
+                at = 0
+                for word, end in zip(words, ends):
+                    known[word] = ids[at:end].tobytes()
+                    at = end
+            else:
+                rest += words
+        if rest:
+            for chunk, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+                known[chunk] = np.array(e.ids, self.dtype).tobytes()
+        for c, body, mark in parts:
+            known[c] = known[body] + known[mark] if mark else known[body]
+
 
 def encoder(path: str, dtype: str = "<u4", specials_are_text: bool = False) -> ChunkEncoder:
     """One encoder for each Python worker and setting."""
