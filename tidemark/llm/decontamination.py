@@ -31,8 +31,13 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", _SPANS), ("items", pa.list_(pa.string()))])
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").translate(_LOWER))
+#: Lower-cases A-Z and blanks what isn't part of a word; in UTF-8 all bytes of other characters are above 127.
+_FLAT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FLAT).split()
 
 
 class Automaton:
@@ -41,7 +46,7 @@ class Automaton:
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         import ahocorasick
 
-        self.symbol: dict[str, str] = {}
+        self.symbol: dict[bytes, str] = {}
         owners: dict[str, set[str]] = defaultdict(set)
         for item_id, text in items:
             line = "".join(self.symbol.setdefault(w, chr(_FIRST + len(self.symbol))) for w in words_of(text))
@@ -54,11 +59,12 @@ class Automaton:
         if owners:
             self.machine.make_automaton()
 
-    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged runs [first, last) of hit words, and the item_ids."""
         if self.empty or not words:
             return [], set()
-        line = "".join([self.symbol.get(w, "\0") for w in words])
+        symbol = self.symbol.get
+        line = "".join([symbol(w, "\0") for w in words])
         runs, ids = [], set()
         for last, (n, owners) in self.machine.iter(line):
             runs.append((last + 1 - n, last + 1))
