@@ -1,19 +1,21 @@
 """Token ids of texts, through a bounded cache of white-space-separated chunks.
 
-The tokenizers used here lower-case, drop white space, never join across it, and mark the ends of
-words, so the ids of a text are those of its chunks in order. The tokenizer itself encodes a chunk
-the first time it is met.
+The tokenizers used here are byte-level, lower-case, drop white space and never join across it, so the
+ids of a text are those of its chunks in order. The tokenizer encodes a chunk the first time it is met.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-#: Marks that never join the letters before them.
-_MARKS = frozenset(".,!?;:")
+#: A lower-case word whose normal form is itself (letters up to U+024F, but for the dotted capital I), and marks behind it.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Byte-level vocabularies write a byte as the character of its number, unless that can't be printed: then as the next one above 255.
+_UNPRINTED = [*range(33), *range(127, 161), 173]
+_BYTES = {b: 256 + n for n, b in enumerate(_UNPRINTED)}
+_CONTROL = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
@@ -21,16 +23,14 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 class ChunkEncoder:
     """``encode(text)`` gives the text's ids as little-endian ``dtype`` bytes."""
 
-    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 300_000, slice_chars: int = 1 << 18):
+    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 800_000, slice_chars: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.dtype, self.most, self.slice_chars, self.known = dtype, most, slice_chars, {}
+        self.kind = {"<u4": "I", "<u2": "H"}[dtype]
+        self.most, self.slice_chars, self.known = most, slice_chars, {}
 
     def encode(self, text: str) -> bytes:
         if len(text) <= self.slice_chars:
@@ -44,7 +44,8 @@ class ChunkEncoder:
         return b"".join(parts)
 
     def _encode(self, text: str) -> bytes:
-        chunks, known = _SPACE.split(text), self.known
+        # str.split() parts at four control characters besides, which the tokenizer doesn't take for white space.
+        chunks, known = _SPACE.split(text) if _CONTROL.search(text) else text.split(), self.known
         if len(known) > self.most:
             known.clear()
         new = [c for c in dict.fromkeys(chunks) if c not in known]
@@ -53,34 +54,27 @@ class ChunkEncoder:
         return b"".join(map(known.__getitem__, chunks))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Chunks of letters, with one mark behind at most, are encoded together: lower-cased, each is one word with one end."""
-        known, words, rest, parts = self.known, {}, [], []
+        """Latin letters, and marks behind them, are one word each for the model; any other chunk takes the whole tokenizer."""
+        known, tokenize, kind, rest = self.known, self.tokenizer.model.tokenize, self.kind, []
         for c in chunks:
-            key = c.lower() if c.isascii() else c
-            body, mark = (key[:-1], key[-1]) if key[-1:] in _MARKS else (key, "")
-            if not body.isalpha():
+            plain = _PLAIN(c.lower())
+            if not plain:
                 rest.append(c)
                 continue
-            parts.append((c, body, mark))
-            if body not in known:
-                words[body] = None
-            if mark and mark not in known:
-                rest.append(mark)
-        if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.dtype)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(words):
-                at = 0
-                for word, end in zip(words, ends):
-                    known[word] = ids[at:end].tobytes()
-                    at = end
-            else:
-                rest += words
+            word, mark = plain.groups()
+            ids = known.get(word)
+            if ids is None:
+                symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+                known[word] = ids = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
+            if mark:
+                marks = known.get(mark)
+                if marks is None:
+                    known[mark] = marks = array(kind, self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
+                ids += marks
+            known[c] = ids
         if rest:
             for chunk, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, self.dtype).tobytes()
-        for c, body, mark in parts:
-            known[c] = known[body] + known[mark] if mark else known[body]
+                known[chunk] = array(kind, e.ids).tobytes()
 
 
 def encoder(path: str, dtype: str = "<u4", specials_are_text: bool = False) -> ChunkEncoder:
