@@ -1,0 +1,160 @@
+"""Alignment, bars, typed sources and joins on hand-made rows."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators import align, processors, resample
+
+
+def values(df, *order):
+    return [tuple(r) for r in df.orderBy(*order or df.columns).collect()]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [(None, None), (0, 0), (-5, -5000), (1_700_000_000, 1_700_000_000_000), (10**11 - 1, (10**11 - 1) * 1000), (10**11, 10**11), (1_700_000_000_123, 1_700_000_000_123), (1_700_000_000_123_456, 1_700_000_000_123), (1_700_000_000_123_456_789, 1_700_000_000_123)],
+)
+def test_units(spark, given, want):
+    df = spark.createDataFrame([(given,)], "t long")
+    assert df.select(align.epoch_ms(F.col("t")).alias("x")).first()["x"] == want
+
+
+def test_texts(spark):
+    df = spark.createDataFrame([("2024-02-29 12:00:00.250",), ("2024-02-29 12:00:00",), ("2024-02-29",), ("1709208000",), ("never",), (None,)], "t string")
+    noon = 1709208000000
+    assert [r[0] for r in df.select(align.time_to_ms(df, "t")).collect()] == [noon + 250, noon, noon - 43_200_000, noon, None, None]
+
+
+def test_time_key():
+    assert align.infer_time_key(["x", "time", "open_time"]) == "open_time"
+    assert align.infer_time_key(["x", "time"], "x") == "x" and align.infer_time_key(["x", "y"], "z") == "x"
+
+
+def test_range_takes_whole_days(spark):
+    day = 86_400_000
+    df = spark.createDataFrame([(x,) for x in (-1, 0, day, 2 * day - 1, 2 * day)], "ts long")
+    assert [r[0] for r in align.in_range(df, date(1970, 1, 1), date(1970, 1, 2)).collect()] == [0, day, 2 * day - 1]
+
+
+def test_features():
+    class Frame:
+        columns = ["ts", "a", "Ignore", "b"]
+
+    assert align.features(Frame) == ["a", "b"] and align.features(Frame, ["b", "x", "ts"]) == ["b"]
+    with pytest.raises(ValueError):
+        align.features(Frame, ["x"])
+
+
+def test_dedup_takes_ties_by_ordinal(spark):
+    df = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", 2.0), (2, 0, None, None), (None, 5, "n", 1.0), (None, 4, "m", 1.0)], "ts long, o long, x string, y double")
+    assert values(align.dedup(df, ["ts"], ["o"], "last")) == [(None, 5, "n", 1.0), (1, 1, "b", 2.0), (2, 0, None, None)]
+    assert values(align.dedup(df, ["ts"], ["o"], "first")) == [(None, 4, "m", 1.0), (1, 0, "a", None), (2, 0, None, None)]
+
+
+def test_prefix():
+    assert align.prefix("BTC", "klines", "1h") == "BTC_klines_1h_" and align.prefix("BTC", "trades", "1h") == "BTC_trades_" and align.prefix("BTC", "markPriceKlines", "1m") == "BTC_markPriceKlines_1m_"
+
+
+def test_join_policies(spark):
+    a = spark.createDataFrame([("x", 1, 1.0), ("x", 2, 2.0), ("x", 3, 3.0), ("y", 2, 9.0)], "symbol string, ts long, v double")
+    b = spark.createDataFrame([("x", 1, 10.0), ("x", 3, None), ("y", 1, 90.0)], "symbol string, ts long, v double")
+    key = ["symbol", "ts"]
+    assert values(align.join_sources([a, b], key, "drop")) == [("x", 1, 1.0, 10.0), ("x", 3, 3.0, None)]
+    assert align.join_sources([a, b, b], key, "drop").columns == ["symbol", "ts", "v", "v_right", "v_right2"]
+    assert values(align.join_sources([a, b], key, "keep_nan"))[1] == ("x", 2, 2.0, None)
+    assert values(align.join_sources([a, b], key, "ffill")) == [("x", 1, 1.0, 10.0), ("x", 2, 2.0, 10.0), ("x", 3, 3.0, 10.0), ("y", 2, 9.0, None)]
+    with pytest.raises(ValueError):
+        align.join_sources([a, b], key, "guess")
+
+
+@pytest.mark.parametrize("rows_per_block", [1000, 3])
+def test_fills(spark, rows_per_block):
+    x = [None, 1.0, None, None, 4.0, None, 10.0, None, None]
+    df = spark.createDataFrame([(i * i, v, "t", None) for i, v in enumerate(x)], "ts long, x double, s string, n int")
+    forward = align.fill(df, "ffill", rows_per_block=rows_per_block)
+    assert forward.columns == df.columns
+    assert [r["x"] for r in forward.orderBy("ts").collect()] == [None, 1, 1, 1, 4, 4, 10, 10, 10]
+    assert [r["x"] for r in align.fill(df, "adjacent_avg", rows_per_block=rows_per_block).orderBy("ts").collect()] == [None, 1, 2, 3, 4, 7, 10, None, None]
+    assert values(align.fill(df, "other"), "ts") == values(df, "ts")
+    report = {r["column"]: (r["before"], r["after"], r["filled"], r["rows"]) for r in align.fill_report(df, forward).collect()}
+    assert report == {"x": (6, 1, 5, 9), "n": (9, 9, 0, 9)}
+
+
+@pytest.mark.parametrize("rows_per_block", [1000, 8])
+def test_as_of(spark, rows_per_block):
+    rng = np.random.default_rng(3)
+    left = pd.DataFrame({"ts": np.sort(rng.choice(1000, 60, replace=False)), "a": range(60)})
+    right = pd.DataFrame({"ts": np.sort(rng.choice(1000, 25, replace=False)), "b": range(25)})
+    got = align.as_of(spark.createDataFrame(left), spark.createDataFrame(right), rows_per_block=rows_per_block).orderBy("ts").toPandas()
+    want = pd.merge_asof(left, right, on="ts")
+    pd.testing.assert_series_equal(got["b"].astype(float), want["b"].astype(float))
+
+
+def test_bars_against_pandas(spark):
+    rng = np.random.default_rng(4)
+    t = pd.DataFrame({"timestamp": rng.integers(-200_000, 600_000, 400), "id": range(400), "price": rng.random(400) * 10, "quantity": rng.integers(1, 9, 400).astype(float), "is_buyer_maker": rng.random(400) < 0.5})
+    got = resample.bars(spark.createDataFrame(t), "1m").orderBy("ts").toPandas()
+    t = t.sort_values(["timestamp", "id"])
+    g = t.groupby(t["timestamp"] // 60_000 * 60_000)
+    want = pd.DataFrame({"open": g["price"].first(), "high": g["price"].max(), "low": g["price"].min(), "close": g["price"].last(), "volume": g["quantity"].sum(), "trade_count": g.size()})
+    want["vwap"] = g.apply(lambda x: (x["price"] * x["quantity"]).sum() / x["quantity"].sum(), include_groups=False)
+    want["sell_volume"] = g.apply(lambda x: x.loc[x["is_buyer_maker"], "quantity"].sum(), include_groups=False)
+    assert got["ts"].tolist() == want.index.tolist()
+    for c in want.columns:
+        np.testing.assert_allclose(got[c].to_numpy(), want[c].to_numpy())
+    np.testing.assert_allclose(got["buy_volume"] + got["sell_volume"], got["volume"])
+
+
+def test_bars_without_flag_or_volume(spark):
+    df = spark.createDataFrame([(0, 1, 2.0, 0.0)], "timestamp long, id long, price double, quantity double")
+    r = resample.bars(df, "5m").first()
+    assert (r["buy_volume"], r["sell_volume"]) == (0, 0) and r["vwap"] != r["vwap"]
+
+
+@pytest.mark.parametrize("bad", ["", "1", "m", "0m", "-1m", "1y"])
+def test_unknown_intervals(bad):
+    with pytest.raises(ValueError):
+        resample.interval_ms(bad)
+
+
+def test_agg_trades(spark):
+    ddl = "agg_trade_id long, price double, quantity double, first_trade_id long, last_trade_id long, transact_time long, is_buyer_maker boolean"
+    df = spark.createDataFrame([(2, 1.0, 1.0, 1, 1, 20, True), (1, 1.0, 1.0, 1, 1, 10, True), (2, 5.0, 1.0, 1, 1, 30, True)], ddl)
+    assert [(r["agg_trade_id"], r["timestamp"], r["price"]) for r in processors.agg_trades(df).collect()] == [(1, 10, 1.0), (2, 20, 1.0)]
+    without = df.drop("agg_trade_id")
+    assert processors.agg_trades(without.union(without)).count() == 3
+    assert processors.agg_trades(df.select("transact_time", "price")).count() == 3
+
+
+def test_book_ticker(spark):
+    df = spark.createDataFrame([(2, 10.0, 12.0, 5), (1, 10.0, 11.0, 5), (1, 10.0, 11.0, 5)], "update_id long, best_bid_price double, best_ask_price double, event_time long")
+    got = processors.book_ticker(df, "BTC").collect()
+    assert [(r["ts"], r["symbol"], r["spread"], r["mid"], r["update_id"], r["best_bid_qty"]) for r in got] == [(5, "BTC", 1.0, 10.5, 1, None), (5, "BTC", 2.0, 11.0, 2, None)]
+    assert list(got[0].asDict()) == list(processors.BOOK_TICKER)
+
+
+def test_processors_by_dataset(spark):
+    df = spark.createDataFrame([(2, 1.0, 1.0, 1), (1, 1.0, 1.0, 2)], "time long, price double, qty double, id long")
+    assert [r["timestamp"] for r in processors.process("trades", df, None).collect()] == [1, 2]
+    assert processors.process("trades", df).columns[:2] == ["ts", "open"]
+    assert processors.process("metrics", df).columns == df.columns
+    depth = spark.createDataFrame([(2, 1.0), (1, 2.0)], "TimeStamp long, depth double")
+    assert [r[0] for r in processors.process("bookDepth", depth).collect()] == [1, 2]
+
+
+def test_streaming_bars_equal_batch(spark, tmp_path):
+    from tidemark.streaming.bars import streaming_bars
+
+    rows = [(i * 7_000, i, float(i % 5), 1.0, i % 2 == 0) for i in range(100)]
+    trades = spark.createDataFrame(rows, "timestamp long, id long, price double, quantity double, is_buyer_maker boolean")
+    trades.withColumn("event_ts", F.timestamp_millis("timestamp")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    q = streaming_bars(stream, "1m").writeStream.outputMode("update").format("memory").queryName("bars").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert values(spark.table("bars"), "ts") == values(resample.bars(trades, "1m"), "ts")
