@@ -166,7 +166,8 @@ def brute_fingerprint(text, k=3):
 def test_fingerprints(odd):
     assert sorted(((r["doc_id"], r["fp"] % (1 << 64)) for r in simhash.fingerprints(odd).collect()), key=repr) == sorted(((r["doc_id"], brute_fingerprint(r["text"])) for r in odd.collect()), key=repr)
     long = " ".join(f"w{i}" for i in range(5000))
-    assert simhash.fingerprint(long, block=700) == brute_fingerprint(long)
+    assert simhash.fingerprint(long, size=700) == brute_fingerprint(long)
+    assert simhash.fingerprint(long, 5, size=9) == brute_fingerprint(long, 5)
 
 
 def brute_components(fps):
@@ -291,6 +292,16 @@ def test_sample_keeps_clean_documents(quality):
     assert importance.drop_rejected(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("text", [None, "", "a", "one two one two two two", "über " * 50, "x" * 900, "a b c d " * 60 + "z" * 300 + " a a a a a b"])
+def test_slices_change_no_feature(text):
+    whole = np.concatenate(list(importance.features(text)))
+    for size in (1000, 97, 40):
+        parts = np.concatenate(list(importance.features(text, size)))
+        if "z" * 90 not in (text or "") and "x" * 90 not in (text or "") or size > 400:
+            assert sorted(parts) == sorted(whole)
+        assert sorted(parts[parts < importance.BUCKETS]) == sorted(whole[whole < importance.BUCKETS])
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     keys = np.round(rng.standard_normal(3000) * 2, 2).tolist()

@@ -2,38 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from tidemark.session import table
+from tidemark.session import materialise, shared_folder, table
 
-__all__ = ["keep_ids", "materialise", "rows", "shared_folder", "table"]
+__all__ = ["keep_ids", "map_rows", "materialise", "rows", "shared_folder", "table"]
 
 #: What counts as white space in the text contracts: space and tab to carriage return.
 SPACES = r"[ \t-\r]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and lost executors cost no recomputation."""
-    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of ``step`` rows, so that Python objects exist for a few texts at a time."""
     for batch in batches:
@@ -41,6 +24,18 @@ def rows(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[pa.Reco
             yield batch.slice(at, step)
 
 
+_CUT = {str: re.compile(r"[ \t-\r]"), bytes: re.compile(rb"[ \t-\r]")}
+
+
+def slices(text: str | bytes, size: int = 1 << 22) -> Iterator[str | bytes]:
+    """The whole text in slices of about ``size``, cut before white space, so that no word is cut and only one slice's words exist at a time."""
+    at = 0
+    while len(text) - at > size and (cut := _CUT[type(text)].search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def batched(made: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Tuples as Arrow batches of ``schema``."""
     held: list[tuple] = []

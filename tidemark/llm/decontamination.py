@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, rows, table
+from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, rows, slices, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
@@ -35,9 +35,9 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", _S
 _FLAT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text, in UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FLAT).split()
+def flat(text: str | None) -> bytes:
+    """The words of a text in UTF-8, with blanks between."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FLAT)
 
 
 class Automaton:
@@ -49,7 +49,7 @@ class Automaton:
         self.symbol: dict[bytes, str] = {}
         owners: dict[str, set[str]] = defaultdict(set)
         for item_id, text in items:
-            line = "".join(self.symbol.setdefault(w, chr(_FIRST + len(self.symbol))) for w in words_of(text))
+            line = "".join(self.symbol.setdefault(w, chr(_FIRST + len(self.symbol))) for w in flat(text).split())
             for at in range(max(1, len(line) - window + 1) if line else 0):
                 owners[line[at : at + window]] |= {item_id} - {None}
         self.machine = ahocorasick.Automaton()
@@ -59,17 +59,18 @@ class Automaton:
         if owners:
             self.machine.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged runs [first, last) of hit words, and the item_ids."""
-        if self.empty or not words:
-            return [], set()
-        symbol = self.symbol.get
-        line = "".join([symbol(w, "\0") for w in words])
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """How many words there are, the merged runs [first, last) of hit ones, and the item_ids."""
+        symbol, parts = self.symbol.get, []
+        for part in slices(flat(text)):
+            parts.append("".join([symbol(w, "\0") for w in part.split()]))
+        line = "".join(parts)
         runs, ids = [], set()
-        for last, (n, owners) in self.machine.iter(line):
-            runs.append((last + 1 - n, last + 1))
-            ids.update(owners)
-        return merged(runs), ids
+        if line and not self.empty:
+            for last, (n, owners) in self.machine.iter(line):
+                runs.append((last + 1 - n, last + 1))
+                ids.update(owners)
+        return len(line), merged(runs), ids
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,9 +115,8 @@ def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
         machine = automaton(shared.value, window, key)
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                runs, ids = machine.scan(words)
-                yield doc_id, len(words), [{"start": a, "end": b} for a, b in runs], sorted(ids)
+                n, runs, ids = machine.scan(text)
+                yield doc_id, n, [{"start": a, "end": b} for a, b in runs], sorted(ids)
 
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, DDL, SCHEMA)
 
@@ -165,7 +165,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             machine = automaton(shared.value, window, key)
             for batch in rows(batches):
-                clean = [not machine.scan(words_of(t))[0] for t in batch.column(at).to_pylist()]
+                clean = [not machine.scan(t)[1] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(np.array(clean, bool)))
 
         kept = kept.mapInArrow(run, docs.schema)

@@ -29,23 +29,38 @@ _COUNTS_DDL, _COUNTS = "bucket int, raw long, target long", pa.schema([("bucket"
 _WEIGHTS_DDL, _WEIGHTS = "doc_id long, n_grams long, log_weight double", pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
 
-def features(text: str | None) -> np.ndarray:
-    """The bucket of each n-gram of the whole text."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def features(text: str | None, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The bucket of each n-gram of the whole text, a slice at a time; n-grams across a cut belong to the slice that they begin in."""
+    data, at, back = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), 0, 0
+    while True:
+        end = min(len(data), at + size)
+        if end < len(data):  # at white space, if there is any within as much again
+            end += int(np.argmax(np.append(_SPACE[data[end : end + size]], True)))
+        marks, starts = _marks(data[back:end])
+        yield np.concatenate([_grams(data[at : end + 2]), marks])
+        if end >= len(data):
+            return
+        at, back = end, back + int(starts[-4] if len(starts) >= 4 else 0)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
     x = data.astype(np.uint32)
-    grams = ((x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)) if len(x) > 2 else x[:0]
+    return (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16) if len(x) > 2 else x[:0]
+
+
+def _marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the repetition trigrams, and where words start."""
     space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, int)
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(data) else np.zeros(0, np.int64)
     if len(starts) < 5:
-        return grams
+        return np.zeros(0, np.uint32), starts
     # A word's hash: a sum of mixed bytes, each times its place in the word.
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.arange(len(data)) - np.concatenate([np.zeros(starts[0], int), np.repeat(starts, np.diff(np.append(starts, len(data))))])
-    mixed = np.where(space, np.uint64(0), (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * (2 * place.astype(np.uint64) + np.uint64(3)))
+    place = np.arange(len(data)) - np.repeat(np.append(0, starts), np.diff(np.append(np.append(0, starts), len(data))))
+    mixed = np.where(space, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * (2 * place.astype(np.uint64) + np.uint64(3)))
     mixed ^= mixed >> np.uint64(31)
     word = np.add.reduceat(mixed, starts)
     mark = 2 * (word[2:] == word[1:-1]) + (word[2:] == word[:-2])
-    marks = mark[:-2] * 16 + mark[1:-1] * 4 + mark[2:]
-    return np.concatenate([grams, (BUCKETS + marks).astype(np.uint32)])
+    return (BUCKETS + mark[:-2] * 16 + mark[1:-1] * 4 + mark[2:]).astype(np.uint32), starts
 
 
 def target_ids(labels: DataFrame, most: int) -> DataFrame:
@@ -61,10 +76,11 @@ def count_buckets(docs: DataFrame, targets: DataFrame) -> DataFrame:
         raw, target = np.zeros(BUCKETS + MARKS, np.int64), np.zeros(BUCKETS + MARKS, np.int64)
         for batch in rows(batches):
             for good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(features(text), minlength=BUCKETS + MARKS)
-                raw += found
-                if good:
-                    target += found
+                for part in features(text):
+                    found = np.bincount(part, minlength=BUCKETS + MARKS)
+                    raw += found
+                    if good:
+                        target += found
         for k in np.flatnonzero(raw).tolist():
             yield k, int(raw[k]), int(target[k])
 
@@ -97,8 +113,10 @@ def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = features(text)
-                yield doc_id, len(found), float(shared.value[found].sum())
+                n, total = 0, 0.0
+                for part in features(text):
+                    n, total = n + len(part), total + float(shared.value[part].sum())
+                yield doc_id, n, total
 
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WEIGHTS_DDL, _WEIGHTS)
 

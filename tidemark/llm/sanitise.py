@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, rows, table
+from tidemark.llm.common import map_rows, materialise, rows, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,7 +132,9 @@ def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
         held: Counter = Counter()
         for batch in rows(batches):
             for text in batch.column(0).to_pylist():
-                words = set(_TERM.findall((text or "").lower()))
+                words: set[str] = set()
+                for part in slices(text or ""):
+                    words.update(_TERM.findall(part.lower()))
                 held.update(words)
                 held.update({w[:STEM] + "*" for w in words})
             if len(held) > most:

@@ -23,28 +23,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_ids, map_rows, materialise, rows, table
+from tidemark.llm.common import keep_ids, map_rows, materialise, rows, slices, table
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # [byte, bit]
 _DDL, _SCHEMA = "doc_id long, fp long", pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: str | None, shingle: int = 3, block: int = 1 << 16) -> int:
-    """The unsigned SimHash of a text: bit i is set if over half of its shingles' hashes have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, n, block):
-        part = words[at : min(n, at + block) + shingle - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-        hashes = np.array([digest(s, SEED) for s in shingles], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.concatenate([np.bincount(hashes[:, k], minlength=256) @ _BITS for k in range(8)])
+def fingerprint(text: str | None, shingle: int = 3, size: int = 1 << 20) -> int:
+    """The unsigned SimHash of a text: bit i is set if over half of its shingles' hashes have it. Long texts are read in slices."""
+    ones, n, before, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for part in slices((text or "").encode("utf-8", "surrogatepass").lower(), size):
+        words = before + part.split()
+        if len(words) >= shingle:
+            ones += _ones([digest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle))))])
+            n += len(words) - shingle + 1
+        before = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+    if not n and before:
+        ones, n = _ones([digest(b" ".join(before), SEED)]), 1
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _ones(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    data = np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(data[:, k], minlength=256) @ _BITS for k in range(8)])
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp as a signed 64-bit integer."""
 
