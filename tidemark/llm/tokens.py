@@ -23,7 +23,7 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 class ChunkEncoder:
     """``encode(text)`` gives the text's ids as little-endian ``dtype`` bytes."""
 
-    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 800_000, slice_chars: int = 1 << 18):
+    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 500_000, slice_chars: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task on each core
         from tokenizers import Tokenizer
 
