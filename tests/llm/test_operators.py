@@ -30,7 +30,7 @@ def docs_of(spark, texts, start=0):
 @pytest.fixture(scope="module")
 def odd(spark):
     long = " ".join(f"w{i} y" for i in range(20_000))
-    texts = [None, "", " \t\n", "a b", "A  b", "a b", LINE, LINE, long, "x" * 5000, "Ünïcode <|endoftext|> 'll don't 42 c'est\x1cmot…", "été naïve", "Don't!!", "end.", "END?"]
+    texts = [None, "", " \t\n", "a b", "A  b", "a\u00a0b", LINE, LINE, long, "x" * 5000, "Ünïcode <|endoftext|> 'll don't 42 c'est\x1cmot…", "été naïve", "Don't!!", "end.", "END?"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(6, LINE), (None, LINE), (None, "only here")]
     return spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
 
@@ -225,6 +225,41 @@ def test_near_duplicates_of_odd_rows(odd):
     assert (None, f"{fps[6]:016x}", 6) in got
 
 
+def test_similar_documents(spark):
+    rng = np.random.default_rng(9)
+    vocabulary, texts = [f"w{i}" for i in range(4000)], []
+    for _ in range(60):
+        words = list(rng.choice(vocabulary, int(rng.integers(3, 400))))
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8, 16):
+            changed = list(words)
+            for at in rng.integers(0, len(words), max(1, len(words) * edits // 400)):
+                changed[at] = str(rng.choice(vocabulary))
+            texts.append(" ".join(changed))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) or {t} for t in texts]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b}
+    docs = docs_of(spark, texts)
+    root = {i: i for i in range(len(texts))}
+    for (i, j), s in sorted(want.items()):
+        if s >= 0.8:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = {k: new if r == old else r for k, r in root.items()}
+    links = [(r["u"], r["v"]) for r in simhash.similar_links(docs).collect()]
+    assert len(set(links)) == len(links) and all(want[p] >= 0.8 for p in links)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
+    clean = {i for i in root if i == root[i]}
+    assert clean <= kept and len(kept - clean) <= 0.03 * (len(texts) - len(clean))
+
+
+def test_similar_documents_of_odd_rows(odd, empty):
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    # A no-break space is no white space here, so text 5 is a word of its own.
+    assert {0, 1, 2, 3, 5, 6, 8, 9} <= set(ids) and not {4, 7} & set(ids) and ids.count(None) == 2 and ids.count(6) == 2
+    assert simhash.drop_near_duplicates(empty).count() == 0
+
+
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
 

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_ids, map_rows, materialise, rows, slices, table
+from tidemark.llm.common import map_rows, materialise, rows, slices, table
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # [byte, bit]
@@ -165,10 +165,116 @@ def _nameless(fp: Column) -> Column:
     return F.lit(_NAMELESS) + F.pmod(F.xxhash64(fp), F.lit((1 << 62) - 1))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component. Rows without a doc_id stay if their component has no doc_id."""
-    found = near_duplicates(docs, shingle)
-    return keep_ids(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+# Similar documents: distances at which segment counts no longer tell anything apart
+
+WORDS = 8  # 64-bit words of a wide fingerprint
+BANDS, BAND_BITS = 200, 24
+_SALTS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(WORDS)], np.uint64)
+_SAMPLES = np.random.default_rng(8).random((BANDS, 64 * WORDS)).argsort(axis=1)[:, :BAND_BITS]
+_WIDE_DDL = "node long, words array<long>, keys array<long>"
+_WIDE = pa.schema([("node", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+
+
+def shingle_hashes(text: str | None, shingle: int, size: int = 1 << 20) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; of all its words if there are fewer, none without words."""
+    found, before, digest = [], [], xxhash.xxh64_intdigest
+    for part in slices((text or "").encode("utf-8", "surrogatepass").lower(), size):
+        words = before + part.split()
+        if len(words) >= shingle:
+            found.append(np.unique(np.array([digest(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(shingle))))], np.uint64)))
+        before = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+    if not found and before:
+        found.append(np.array([digest(b" ".join(before), SEED)], np.uint64))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def wide_bits(hashes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The 512 bits of a SimHash over distinct shingles, whose hashes are mixed anew for each word."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(hashes), block):
+        x = (hashes[at : at + block, None] ^ _SALTS) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * ones > len(hashes)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, words, keys): the wide fingerprint, and the value of each sample of its bits. Rows without a doc_id or words have none."""
+    bands = np.arange(BANDS, dtype=np.int64) << BAND_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows(batches):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                hashes = shingle_hashes(text, shingle)
+                if doc_id is None or not len(hashes):
+                    continue
+                bits = wide_bits(hashes)
+                values = np.packbits(bits[_SAMPLES], axis=1).astype(np.int64)
+                keys = bands + (values[:, 0] << 16) + (values[:, 1] << 8) + values[:, 2]
+                yield doc_id, np.packbits(bits, bitorder="little").view("<i8"), keys
+
+    return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WIDE_DDL, _WIDE)
+
+
+def candidates(wide: DataFrame, most_bits: int) -> DataFrame:
+    """(u, v), u < v: documents that share a sample of bits with its hub and differ in ``most_bits`` of 512 at most.
+
+    A sample's hub is its smallest document in even bands and its largest in odd ones, so copies make
+    as many pairs as there are copies. The differences of the words' bit counts add up to a
+    Manhattan distance, which is a lower bound and is looked at first.
+    """
+    w = Window.partitionBy("key")
+    hub = F.when(F.shiftright("key", BAND_BITS) % 2 == 0, F.min("node").over(w)).otherwise(F.max("node").over(w))
+    visits = wide.select("node", F.explode("keys").alias("key")).select("node", hub.alias("hub")).where("node != hub")
+    pairs = visits.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+    total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0), lambda x, y: x + y)
+    lower = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
+    exact = total(lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return both.where((lower <= most_bits) & (exact <= most_bits)).select("u", "v").distinct()
+
+
+def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(u, v), u < v: pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, each checked exactly.
+
+    Sets of Jaccard similarity s have a cosine of about 2s / (1 + s), which sets how many bits differ on
+    average; candidates may differ in half as many again. A pair at 0.8 shares a sample with
+    probability 0.98, one at 0.85 with 0.999.
+    """
+    most_bits = int(1.5 * 64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    pairs = materialise(candidates(materialise(wide_fingerprints(docs, shingle)), most_bits))
+    asked = pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct()
+    texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows(batches):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield node, shingle_hashes(text, shingle).tobytes()
+
+    sets = texts.join(asked, texts["node"] == asked["__node"], "left_semi")
+    sets = materialise(map_rows(sets, hashed, "node long, hashes binary", pa.schema([("node", pa.int64()), ("hashes", pa.binary())])))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows(batches, 64):
+            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                if common >= similarity * (len(a) + len(b) - common):
+                    yield u, v
+
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    return map_rows(both.select("u", "v", "a", "b"), compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])).distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of similar documents, in the columns of ``docs``.
+
+    Groups are the components of ``similar_links``. Rows without a doc_id and texts without a word stay.
+    Rows that share a doc_id stay or go together.
+    """
+    gone = components(similar_links(docs, shingle, similarity)).select(F.col("node").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def op8_segment_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
