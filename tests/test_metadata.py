@@ -82,6 +82,11 @@ def test_archives(spark, zips):
         archives.read_archives(spark, [f"{zips}/none.zip"], "trades")
 
 
+def test_hashes(spark, zips):
+    (zips / "h.txt").write_text("abc")
+    assert archives.file_hashes(spark, [f"{zips}/h.txt"]).first()[1:] == (3, "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad")
+
+
 def test_cache(spark, tmp_path):
     root = f"{tmp_path}/cache"
     base = {"market": "um", "dataset_type": "trades", "interval": "-", "cadence": "daily"}
@@ -187,6 +192,11 @@ def test_first_available(gone):
     assert len(asked) <= 16
 
 
+def test_first_available_month():
+    assert catalog.first_available(lambda d: d >= date(2023, 11, 1), date(2020, 1, 15), date(2024, 3, 9), "monthly") == date(2023, 11, 1)
+    assert catalog.first_available(lambda d: False, date(2020, 1, 1), date(2024, 1, 1), "monthly") is None
+
+
 def test_periods():
     assert catalog.period("2024") == (date(2024, 1, 1), date(2024, 12, 31)) and catalog.period("2024-12") == (date(2024, 12, 1), date(2024, 12, 31)) and catalog.period("2024-02-03") == (date(2024, 2, 3),) * 2
 

@@ -20,6 +20,8 @@ from tidemark.session import materialise
 
 RN, BLOCK, HOME = "__rn", "__block", "__home"
 ROWS_PER_BLOCK = 1_000_000
+#: Ranges in which rows are numbered, for each block: a burst of rows fills one range, so ranges are finer than blocks.
+RANGES_PER_BLOCK = 8
 
 
 def number(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[str] = (), rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
@@ -36,7 +38,7 @@ def number(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[s
     if n <= rows_per_block or low is None or low == high:
         one = df.withColumn(BLOCK, F.lit(0).cast("long"))
         return one.withColumn(RN, F.row_number().over(Window.partitionBy(BLOCK).orderBy(*by)).cast("long") - 1), False
-    ranges = -(-n // rows_per_block)
+    ranges = RANGES_PER_BLOCK * -(-n // rows_per_block)
     placed = df.withColumn("__range", F.coalesce(F.floor((x - F.lit(low)) * F.lit(ranges / (high - low))), F.lit(-1)).cast("long"))
     counts = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))

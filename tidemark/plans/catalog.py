@@ -134,26 +134,33 @@ def schema_samples(covered: DataFrame, base: str) -> DataFrame:
     return first.withColumn("remote_url", url(base, F.col("cadence"), F.col("dataset_type"), F.col("symbol"), F.col("interval"), F.col("start_date")))
 
 
-def first_available(exists: Callable[[date], bool], low: date, high: date) -> date | None:
-    """The first day of ``[low, high]`` with a file, if files run on without a gap to ``high``: doubling steps back, then halving."""
-    if not exists(high):
+def first_true(holds: Callable[[int], bool], low: int, high: int) -> int | None:
+    """The first number of ``[low, high]`` that holds, if all from there to ``high`` do: doubling steps back, then halving."""
+    if not holds(high):
         return None
     step, known = 1, high
     while known > low:
-        at = max(low, known - timedelta(days=step))
-        if exists(at):
+        at = max(low, known - step)
+        if holds(at):
             known, step = at, step * 2
-        elif (known - at).days == 1:
-            return known
-        else:
-            low = at + timedelta(days=1)
-            while low < known:
-                middle = low + (known - low) // 2
-                low, known = (low, middle) if exists(middle) else (middle + timedelta(days=1), known)
-            return known
+            continue
+        low = at + 1
+        while low < known:
+            middle = low + (known - low) // 2
+            low, known = (low, middle) if holds(middle) else (middle + 1, known)
     return known
 
 
+def first_available(exists: Callable[[date], bool], low: date, high: date, cadence: str = "daily") -> date | None:
+    """The first day, or first of a month, with a file; files are taken to run on without a gap to ``high``."""
+    if cadence == "daily":
+        found = first_true(lambda n: exists(date.fromordinal(n)), low.toordinal(), high.toordinal())
+        return date.fromordinal(found) if found else None
+    month = lambda n: date(n // 12, n % 12 + 1, 1)
+    found = first_true(lambda n: exists(month(n)), low.year * 12 + low.month - 1, high.year * 12 + high.month - 1)
+    return month(found) if found else None
+
+
 def period(text: str) -> tuple[date, date]:
     """First and last day of YYYY, YYYY-MM or YYYY-MM-DD."""
     parts = [int(p) for p in text.split("-")]

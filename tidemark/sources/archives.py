@@ -79,6 +79,11 @@ def member_manifest(rows: DataFrame, id_column: str | None = None) -> DataFrame:
     return rows.groupBy(F.col("_member").alias("member")).agg(F.count(F.lit(1)).alias("rows"), *more)
 
 
+def file_hashes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, size, sha256) of whole files."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 # The table that archives are kept in
 
 PARTITIONS = ("market", "dataset_type", "symbol", "interval", "cadence", "date")
