@@ -154,7 +154,7 @@ def training_windows(docs: DataFrame, per_label: int, width: int, per_doc: int)
     evenly spread over the text. These bounds are all that reaches the driver.
     """
     usable = docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.where(docs["lang"].isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels, symbols, truth = sorted(counts), [], []
     key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     for number, label in enumerate(labels):

@@ -12,6 +12,7 @@ meet, since a word seen once discloses everything it stands beside.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -84,9 +85,20 @@ def _entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _digits(value)}"
 
 
+def _edges(spans: list[Span]) -> list[int]:
+    """Starts and ends, in turn, of what the spans cover together."""
+    out: list[int] = []
+    for start, end in sorted(s[1:] for s in spans):
+        if out and start <= out[-1]:
+            out[-1] = max(out[-1], end)
+        else:
+            out += [start, end]
+    return out
+
+
 def near_terms(text: str, spans: list[Span], reach: int) -> list[tuple[str, str, int, int]]:
     """(entity, term, start, end) of the ``reach`` words before and after each span, without those in a span."""
-    out, merged = [], sorted(s[1:] for s in spans)
+    out, edges = [], _edges(spans)
     for kind, start, end in spans:
         name = _entity(kind, text[start:end])
         # Words are short, but a word may be as long as the text: widen until there are enough.
@@ -105,7 +117,8 @@ def near_terms(text: str, spans: list[Span], reach: int) -> list[tuple[str, str,
             if len(after) == reach:
                 break
         for a, b in before[-reach:] + after:
-            if b - a > 1 and not any(a < y and x < b for x, y in merged):
+            # Inside a span or over one, if an odd number of edges lie before either end, or any between.
+            if b - a > 1 and (at := bisect_right(edges, a)) % 2 == 0 and bisect_left(edges, b) == at:
                 out.append((name, text[a:b].lower(), a, b))
     return out
 
