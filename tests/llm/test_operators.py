@@ -236,21 +236,33 @@ def test_similar_documents(spark):
             for at in rng.integers(0, len(words), max(1, len(words) * edits // 400)):
                 changed[at] = str(rng.choice(vocabulary))
             texts.append(" ".join(changed))
-    sets = [set(zip(*(t.split()[k:] for k in range(5)))) or {t} for t in texts]
-    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b}
-    docs = docs_of(spark, texts)
-    root = {i: i for i in range(len(texts))}
-    for (i, j), s in sorted(want.items()):
-        if s >= 0.8:
-            old, new = max(root[i], root[j]), min(root[i], root[j])
-            root = {k: new if r == old else r for k, r in root.items()}
-    links = [(r["u"], r["v"]) for r in simhash.similar_links(docs).collect()]
-    assert len(set(links)) == len(links) and all(want[p] >= 0.8 for p in links)
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
-    clean = {i for i in root if i == root[i]}
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    bits = [simhash.wide_bits(h) for h in hashes]
+    most = simhash.most_differing_bits(0.8)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            common = len(np.intersect1d(hashes[i], hashes[j]))
+            jaccard, near = common / (len(hashes[i]) + len(hashes[j]) - common), (bits[i] != bits[j]).sum() <= most
+            assert near or jaccard < 0.9
+            assert jaccard > 0.6 or not near or len(hashes[i]) < 60
+            if near:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    groups = simhash.similar_groups(docs_of(spark, texts)).collect()
+    assert all(root[r["node"]] == root[r["root"]] for r in groups)
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    clean = {i for i, r in enumerate(root) if i == r}
     assert clean <= kept and len(kept - clean) <= 0.03 * (len(texts) - len(clean))
 
 
+def test_hashes_do_not_depend_on_slices():
+    text = " ".join(f"w{i % 700}" for i in range(3000))
+    assert (simhash.shingle_hashes(text, 5, size=50) == simhash.shingle_hashes(text, 5)).all()
+    hashes = simhash.shingle_hashes(text, 5)
+    assert (simhash.wide_bits(hashes, block=100) == simhash.wide_bits(hashes)).all()
+
+
 def test_similar_documents_of_odd_rows(odd, empty):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns

@@ -52,11 +52,11 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, type=f.type) for col, f in zip(zip(*held), schema)], schema=schema)
 
 
-def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], ddl: str, schema: pa.Schema) -> DataFrame:
-    """``mapInArrow`` with a function that yields tuples; ``ddl`` and ``schema`` describe the same columns."""
+def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], ddl: str, schema: pa.Schema, size: int = 4096) -> DataFrame:
+    """``mapInArrow`` with a function that yields tuples, ``size`` of which make a batch; ``ddl`` and ``schema`` describe the same columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batched(make(batches), schema)
+        yield from batched(make(batches), schema, size)
 
     return df.mapInArrow(run, ddl)
 

@@ -217,17 +217,29 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WIDE_DDL, _WIDE)
 
 
-def candidates(wide: DataFrame, most_bits: int) -> DataFrame:
-    """(u, v), u < v: documents that share a sample of bits with its hub and differ in ``most_bits`` of 512 at most.
+def most_differing_bits(similarity: float) -> int:
+    """How many of 512 bits sets of a Jaccard similarity differ in, on average, and one standard deviation more.
 
-    A sample's hub is its smallest document in even bands and its largest in odd ones, so copies make
-    as many pairs as there are copies. The differences of the words' bit counts add up to a
-    Manhattan distance, which is a lower bound and is looked at first.
+    Their cosine is about 2s / (1 + s), and a bit differs with the probability of the angle over pi.
     """
+    n, p = 64 * WORDS, float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(n * p + (n * p * (1 - p)) ** 0.5)
+
+
+def near_pairs(wide: DataFrame, roots: DataFrame | None, first: int, bands: int, most_bits: int) -> DataFrame:
+    """(u, v), u < v: documents of different groups that share a sample of some bands with its hub and differ in ``most_bits`` at most.
+
+    A sample's hub is its first document by group and doc_id in even bands and its last in odd ones, so
+    copies make as many pairs as there are copies. The differences of the words' bit counts add up to
+    a Manhattan distance, which is a lower bound and is looked at first.
+    """
+    placed = wide.select("node", F.slice("keys", first + 1, bands).alias("keys"))
+    placed = placed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "keys") if roots is not None else placed.select(F.col("node").alias("root"), "node", "keys")
     w = Window.partitionBy("key")
-    hub = F.when(F.shiftright("key", BAND_BITS) % 2 == 0, F.min("node").over(w)).otherwise(F.max("node").over(w))
-    visits = wide.select("node", F.explode("keys").alias("key")).select("node", hub.alias("hub")).where("node != hub")
-    pairs = visits.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    this = F.struct("root", "node")
+    hub = F.when(F.shiftright("key", BAND_BITS) % 2 == 0, F.min(this).over(w)).otherwise(F.max(this).over(w))
+    visits = placed.select("root", "node", F.explode("keys").alias("key")).select("root", "node", hub.alias("hub")).where("root != hub.root")
+    pairs = visits.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
     both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0), lambda x, y: x + y)
     lower = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
@@ -235,45 +247,30 @@ def candidates(wide: DataFrame, most_bits: int) -> DataFrame:
     return both.where((lower <= most_bits) & (exact <= most_bits)).select("u", "v").distinct()
 
 
-def similar_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(u, v), u < v: pairs whose sets of shingles have a Jaccard similarity of ``similarity`` or more, each checked exactly.
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    """(node, root) of each document that is near another: root is the smallest doc_id of its group.
 
-    Sets of Jaccard similarity s have a cosine of about 2s / (1 + s), which sets how many bits differ on
-    average; candidates may differ in half as many again. A pair at 0.8 shares a sample with
-    probability 0.98, one at 0.85 with 0.999.
+    Documents are near if their wide fingerprints differ in ``most_differing_bits`` at most. A pair at a
+    Jaccard similarity of 0.8 shares one of the samples with probability 0.98, one at 0.85 with 0.999.
+    The bands are taken in rounds, between which groups are joined: later rounds pair what isn't in
+    one group yet, so a large group of copies makes few pairs and no link between groups is left out.
     """
-    most_bits = int(1.5 * 64 * WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    pairs = materialise(candidates(materialise(wide_fingerprints(docs, shingle)), most_bits))
-    asked = pairs.select(F.col("u").alias("__node")).unionByName(pairs.select(F.col("v").alias("__node"))).distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in rows(batches):
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield node, shingle_hashes(text, shingle).tobytes()
-
-    sets = texts.join(asked, texts["node"] == asked["__node"], "left_semi")
-    sets = materialise(map_rows(sets, hashed, "node long, hashes binary", pa.schema([("node", pa.int64()), ("hashes", pa.binary())])))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in rows(batches, 64):
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if common >= similarity * (len(a) + len(b) - common):
-                    yield u, v
-
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    return map_rows(both.select("u", "v", "a", "b"), compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])).distinct()
+    wide, most_bits = materialise(wide_fingerprints(docs, shingle)), most_differing_bits(similarity)
+    bands, roots = -(-BANDS // rounds), None
+    for first in range(0, BANDS, bands):
+        links = near_pairs(wide, roots, first, bands, most_bits)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("root").alias("u"), F.col("node").alias("v")))
+        roots = materialise(components(links))
+    return roots
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of similar documents, in the columns of ``docs``.
+    """``docs`` with the smallest doc_id of each of the ``similar_groups``, in the columns of ``docs``.
 
-    Groups are the components of ``similar_links``. Rows without a doc_id and texts without a word stay.
-    Rows that share a doc_id stay or go together.
+    Rows without a doc_id and texts without a word stay. Rows that share a doc_id stay or go together.
     """
-    gone = components(similar_links(docs, shingle, similarity)).select(F.col("node").alias("__gone"))
+    gone = similar_groups(docs, shingle, similarity).select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
