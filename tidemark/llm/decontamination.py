@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, rows, slices, table
+from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, materialise, rows, slices, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
+_LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)  # keeps every character's place
 _FIRST = 0x10000  # symbols start above the surrogates
 _AUTOMATA: dict[str, Automaton] = {}
 
@@ -132,7 +132,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     parts = _item_parts(benchmark, most_chars)
     found = _scan(docs, parts[0], window)
     if len(parts) > 1:
-        numbered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+        # Written once: numbers must not change from scan to scan, whatever stands above ``docs``.
+        numbered = materialise(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
         scans = [_scan(numbered.select(F.col("row").alias("doc_id"), "text"), p, window) for p in parts]
         every = scans[0]
         for s in scans[1:]:
