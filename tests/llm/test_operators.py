@@ -256,6 +256,52 @@ def test_similar_documents(spark):
     assert clean <= kept and len(kept - clean) <= 0.03 * (len(texts) - len(clean))
 
 
+def jaccard_groups(texts, least=0.8):
+    """Brute force: the smallest index of each group linked by a similarity of ``least``, and the similarities."""
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) or {t} for t in texts]
+    alike = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a & b}
+    root = list(range(len(texts)))
+    for (i, j), s in sorted(alike.items()):
+        if s >= least:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    return root, alike
+
+
+def test_documents_of_one_template(spark):
+    """Pairs at 0.6 to 0.75 are not near, and the near pairs among them are found."""
+    rng = np.random.default_rng(5)
+    template, texts = [f"t{i}" for i in range(400)], []
+    for k in range(120):
+        own = [f"d{k}x{i}" for i in range(100)]
+        texts.append(" ".join(template + own))
+        if k % 4 == 0:
+            changed = list(own)
+            changed[int(rng.integers(10, 90))] = "other"
+            texts.append(" ".join(template + changed))
+    root, alike = jaccard_groups(texts)
+    assert sum(0.6 <= s <= 0.75 for s in alike.values()) > 5000 and sum(s >= 0.8 for s in alike.values()) == 30
+    docs = docs_of(spark, texts)
+    assert {r["node"]: r["root"] for r in simhash.similar_groups(docs).collect()} == {i: r for i, r in enumerate(root) if i != r}
+
+
+def test_every_pair_of_a_sample_is_compared(spark):
+    """Near pairs whose sample has a third document as its hub."""
+    some = spark.createDataFrame([(i, i, [7, 100 + i]) for i in range(6)] + [(1, 9, [7]), (1, 8, [50])], "root long, node long, keys array<long>")
+    want = {(i, j) for i in range(6) for j in [*range(i + 1, 6), 9] if (i, j) != (1, 9)}
+    for block in (1, 2, 4096):
+        pairs = [tuple(r) for r in simhash.cross_pairs(some, block=block).collect()]
+        assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_hubs_are_found_before_the_shuffle(spark):
+    """Copies in one batch send one row of a sample to the shuffle."""
+    some = spark.createDataFrame([(i, i, [7]) for i in range(1000)], "root long, node long, keys array<long>").coalesce(1)
+    visits = some.mapInArrow(simhash.local_hubs, "key long, root long, node long, members array<long>").collect()
+    assert len(visits) == 1 and sorted(visits[0]["members"]) == list(range(1, 1000))
+    assert {tuple(r) for r in simhash.hub_pairs(some).collect()} == {(0, i) for i in range(1, 1000)}
+
+
 def test_hashes_do_not_depend_on_slices():
     text = " ".join(f"w{i % 700}" for i in range(3000))
     assert (simhash.shingle_hashes(text, 5, size=50) == simhash.shingle_hashes(text, 5)).all()

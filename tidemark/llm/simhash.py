@@ -171,8 +171,9 @@ WORDS = 8  # 64-bit words of a wide fingerprint
 BANDS, BAND_BITS = 200, 24
 _SALTS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(WORDS)], np.uint64)
 _SAMPLES = np.random.default_rng(8).random((BANDS, 64 * WORDS)).argsort(axis=1)[:, :BAND_BITS]
-_WIDE_DDL = "node long, words array<long>, keys array<long>"
-_WIDE = pa.schema([("node", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+_WIDE_DDL = "node long, shingles long, words array<long>, keys array<long>"
+_WIDE = pa.schema([("node", pa.int64()), ("shingles", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+_VISITS_DDL = "key long, root long, node long, members array<long>"
 
 
 def shingle_hashes(text: str | None, shingle: int, size: int = 1 << 20) -> np.ndarray:
@@ -200,7 +201,7 @@ def wide_bits(hashes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, words, keys): the wide fingerprint, and the value of each sample of its bits. Rows without a doc_id or words have none."""
+    """(node, shingles, words, keys): how many shingles, the wide fingerprint, and the value of each sample of its bits. Rows without a doc_id or words have none."""
     bands = np.arange(BANDS, dtype=np.int64) << BAND_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -212,56 +213,132 @@ def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
                 bits = wide_bits(hashes)
                 values = np.packbits(bits[_SAMPLES], axis=1).astype(np.int64)
                 keys = bands + (values[:, 0] << 16) + (values[:, 1] << 8) + values[:, 2]
-                yield doc_id, np.packbits(bits, bitorder="little").view("<i8"), keys
+                yield doc_id, len(hashes), np.packbits(bits, bitorder="little").view("<i8"), keys
 
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WIDE_DDL, _WIDE)
 
 
 def most_differing_bits(similarity: float) -> int:
-    """How many of 512 bits sets of a Jaccard similarity differ in, on average, and one standard deviation more.
+    """How many of 512 bits sets of a Jaccard similarity differ in: three quarters more than on average, so that only exact comparison decides.
 
     Their cosine is about 2s / (1 + s), and a bit differs with the probability of the angle over pi.
     """
-    n, p = 64 * WORDS, float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(n * p + (n * p * (1 - p)) ** 0.5)
+    return int(1.75 * 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
 
 
-def near_pairs(wide: DataFrame, roots: DataFrame | None, first: int, bands: int, most_bits: int) -> DataFrame:
-    """(u, v), u < v: documents of different groups that share a sample of some bands with its hub and differ in ``most_bits`` at most.
+def placed(wide: DataFrame, roots: DataFrame | None, first: int, bands: int) -> DataFrame:
+    """(root, node, keys): each document's group so far and its samples of some bands."""
+    some = wide.select("node", F.slice("keys", first + 1, bands).alias("keys"))
+    if roots is None:
+        return some.select(F.col("node").alias("root"), "node", "keys")
+    return some.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "keys")
 
-    A sample's hub is its first document by group and doc_id in even bands and its last in odd ones, so
-    copies make as many pairs as there are copies. The differences of the words' bit counts add up to
-    a Manhattan distance, which is a lower bound and is looked at first.
+
+def local_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, root, node, members): of each batch and key the first document by group and doc_id, and those of other groups it stands for."""
+    for batch in rows(batches, 4096):
+        root, node = (batch.column(k).to_numpy() for k in (0, 1))
+        lists = batch.column(2)
+        flat, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+        order = np.lexsort((node[doc], root[doc], flat))
+        flat, doc = flat[order], doc[order]
+        at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(flat))))
+        other = root[doc] != root[doc[at]][owner]
+        offsets = np.append(0, np.cumsum(np.bincount(owner[other], minlength=len(at)))).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[doc[other]]))
+        yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(root[doc[at]]), pa.array(node[doc[at]]), members], names=["key", "root", "node", "members"])
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def hub_pairs(some: DataFrame) -> DataFrame:
+    """(u, v), u < v: documents of different groups that share a sample, each with a hub of it, so copies make as many pairs as there are copies.
+
+    Hubs are found in each batch first, so one value of a sample sends as many rows to a task as there are batches.
     """
-    placed = wide.select("node", F.slice("keys", first + 1, bands).alias("keys"))
-    placed = placed.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "keys") if roots is not None else placed.select(F.col("node").alias("root"), "node", "keys")
     w = Window.partitionBy("key")
-    this = F.struct("root", "node")
-    hub = F.when(F.shiftright("key", BAND_BITS) % 2 == 0, F.min(this).over(w)).otherwise(F.max(this).over(w))
-    visits = placed.select("root", "node", F.explode("keys").alias("key")).select("root", "node", hub.alias("hub")).where("root != hub.root")
-    pairs = visits.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct()
-    both = pairs.join(wide.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(wide.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
+    visits = some.mapInArrow(local_hubs, _VISITS_DDL).withColumn("hub", F.min(F.struct("root", "node")).over(w))
+    up = F.when(F.col("root") != F.col("hub.root"), F.array(_pair(F.col("node"), F.col("hub.node")))).otherwise(F.array())
+    down = F.transform("members", lambda m: _pair(F.col("node"), m))
+    return visits.where("root != hub.root OR size(members) > 0").select(F.explode(F.concat(up, down)).alias("p")).select("p.u", "p.v").distinct()
+
+
+def cross_pairs(some: DataFrame, salts: int = 16, block: int = 4096) -> DataFrame:
+    """(u, v), u < v: all documents of different groups that share a sample.
+
+    The documents of a value are dealt into blocks of about ``block``, and each pair of blocks is a group of its own.
+    """
+    visits = some.select("root", "node", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
+    mixed = visits.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
+    blocks = F.expr(f"n div {block} + 1").alias("blocks")
+    here = visits.join(mixed.select("key", blocks, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt")), ["key", "salt"])
+    here = here.select("root", "node", "key", F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("yours"))
+    a = here.select("key", F.col("mine").alias("i"), F.col("yours").alias("j"), F.col("root").alias("r"), F.col("node").alias("u"))
+    b = here.select("key", F.col("yours").alias("i"), F.col("mine").alias("j"), F.col("root").alias("q"), F.col("node").alias("v"))
+    return a.join(b, ["key", "i", "j"]).where("u < v AND r != q").select("u", "v").distinct()
+
+
+def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) -> DataFrame:
+    """``pairs`` with the columns of ``values`` for the node in ``side``. A node in many pairs is dealt over ``salts`` groups."""
+    dealt = pairs.withColumn("__salt", F.pmod(F.xxhash64("v" if side == "u" else "u"), F.lit(salts)))
+    held = dealt.select(side, "__salt").distinct().join(values.withColumnRenamed("node", side), side)
+    return dealt.join(held, [side, "__salt"]).drop("__salt")
+
+
+def similar_pairs(pairs: DataFrame, wide: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Bounds come first: the ratio of the sets' sizes, and the bits in which the fingerprints differ, for
+    which the Manhattan distance of the words' bit counts is a lower bound. The texts of the rest are
+    compared exactly.
+    """
+    most_bits = most_differing_bits(similarity)
+    of = lambda n, words: wide.select("node", F.col("shingles").alias(n), F.col("words").alias(words))
+    both = _beside(_beside(pairs, "u", of("n", "a")), "v", of("m", "b"))
     total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0), lambda x, y: x + y)
     lower = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
     exact = total(lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return both.where((lower <= most_bits) & (exact <= most_bits)).select("u", "v").distinct()
+    sized = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
+    likely = materialise(both.where(sized & (lower <= most_bits) & (exact <= most_bits)).select("u", "v").distinct())
+    text = lambda name: docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias(name))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, known = None, np.zeros(0, np.uint64)
+        for batch in rows(batches, 64):
+            for u, v, one, two in zip(*(c.to_pylist() for c in batch.columns)):
+                if held != one:
+                    held, known = one, shingle_hashes(one, shingle)
+                found = shingle_hashes(two, shingle)
+                common = len(np.intersect1d(known, found, assume_unique=True))
+                if common and common >= similarity * (len(known) + len(found) - common):
+                    yield u, v
+
+    texts = _beside(_beside(likely, "v", text("two")), "u", text("one")).select("u", "v", "one", "two")
+    return map_rows(texts, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])).distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
     """(node, root) of each document that is near another: root is the smallest doc_id of its group.
 
-    Documents are near if their wide fingerprints differ in ``most_differing_bits`` at most. A pair at a
-    Jaccard similarity of 0.8 shares one of the samples with probability 0.98, one at 0.85 with 0.999.
-    The bands are taken in rounds, between which groups are joined: later rounds pair what isn't in
-    one group yet, so a large group of copies makes few pairs and no link between groups is left out.
+    Documents are near if their sets of shingles have a Jaccard similarity of ``similarity`` or more, which is
+    checked exactly for candidates: those that share a sample of bits. A pair at 0.8 shares one with
+    probability 0.98, one at 0.85 with 0.999. The bands are taken in rounds, first with the hubs of each sample,
+    between which groups are joined, so a large group of copies makes few pairs; then all pairs of documents that
+    share a sample and aren't in one group yet are compared.
     """
-    wide, most_bits = materialise(wide_fingerprints(docs, shingle)), most_differing_bits(similarity)
-    bands, roots = -(-BANDS // rounds), None
+    wide, roots = materialise(wide_fingerprints(docs, shingle)), None
+    bands = -(-BANDS // rounds)
+    near = lambda pairs: similar_pairs(pairs, wide, docs, shingle, similarity)
+    held = lambda: roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
+    for first in range(0, BANDS, bands):
+        links = near(hub_pairs(placed(wide, roots, first, bands)))
+        roots = materialise(components(links if roots is None else links.unionByName(held())))
     for first in range(0, BANDS, bands):
-        links = near_pairs(wide, roots, first, bands, most_bits)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("root").alias("u"), F.col("node").alias("v")))
-        roots = materialise(components(links))
+        links = near(cross_pairs(placed(wide, roots, first, bands)))
+        roots = materialise(components(links.unionByName(held())))
     return roots
 
 
