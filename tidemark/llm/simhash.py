@@ -274,7 +274,7 @@ def cross_pairs(some: DataFrame, salts: int = 16, block: int = 4096) -> DataFram
     visits = some.select("root", "node", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
     mixed = visits.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
     blocks = F.expr(f"n div {block} + 1").alias("blocks")
-    here = visits.join(mixed.select("key", blocks, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt")), ["key", "salt"])
+    here = visits.join(mixed.select("key", blocks, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt")), ["key", "salt"])
     here = here.select("root", "node", "key", F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("yours"))
     a = here.select("key", F.col("mine").alias("i"), F.col("yours").alias("j"), F.col("root").alias("r"), F.col("node").alias("u"))
     b = here.select("key", F.col("yours").alias("i"), F.col("mine").alias("j"), F.col("root").alias("q"), F.col("node").alias("v"))
