@@ -236,22 +236,14 @@ def test_similar_documents(spark):
             for at in rng.integers(0, len(words), max(1, len(words) * edits // 400)):
                 changed[at] = str(rng.choice(vocabulary))
             texts.append(" ".join(changed))
-    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
-    bits = [simhash.wide_bits(h) for h in hashes]
-    most = simhash.most_differing_bits(0.8)
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i + 1, len(texts)):
-            common = len(np.intersect1d(hashes[i], hashes[j]))
-            jaccard, near = common / (len(hashes[i]) + len(hashes[j]) - common), (bits[i] != bits[j]).sum() <= most
-            assert near or jaccard < 0.9
-            assert jaccard > 0.6 or not near or len(hashes[i]) < 60
-            if near:
-                old, new = max(root[i], root[j]), min(root[i], root[j])
-                root = [new if r == old else r for r in root]
-    groups = simhash.similar_groups(docs_of(spark, texts)).collect()
+    root, alike = jaccard_groups(texts)
+    docs = docs_of(spark, texts)
+    groups = simhash.similar_groups(docs).collect()
     assert all(root[r["node"]] == root[r["root"]] for r in groups)
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    wide = simhash.wide_fingerprints(docs, 5)
+    links = {tuple(r) for r in simhash.similar_pairs(spark.createDataFrame(list(alike), "u long, v long"), wide, docs, 5, 0.8).collect()}
+    assert links == {p for p, s in alike.items() if s >= 0.8}
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
     clean = {i for i, r in enumerate(root) if i == r}
     assert clean <= kept and len(kept - clean) <= 0.03 * (len(texts) - len(clean))
 
