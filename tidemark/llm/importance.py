@@ -5,6 +5,9 @@ text, give each document the log of its importance weight: the sum over its n-gr
 log p_target - log p_raw. Gumbel noise, a fixed function of doc_id, is added, and the k largest keys
 are sampled. Buckets are counted over the whole corpus; the two models have a fixed size.
 
+A labelled document is weighed by a model fitted without its fold, as a document without a label is
+by one that never saw it.
+
 The n-grams are byte trigrams and trigrams of repetition marks, where a word's mark says whether
 it equals the word before it or the one before that; the former sees garbled or shouted text, the
 latter text that says one word over and over.
@@ -22,10 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import keep_ids, map_rows, materialise, rows, table
 
 BUCKETS = 1 << 16
+FOLDS = 5  # of the labelled documents; a document is weighed by a model without its own fold
 MARKS = 64  # repetition trigrams have buckets of their own at the end
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_COUNTS_DDL, _COUNTS = "bucket int, raw long, target long", pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
+_COUNTS_DDL, _COUNTS = "bucket int, fold int, raw long, target long", pa.schema([("bucket", pa.int32()), ("fold", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 _WEIGHTS_DDL, _WEIGHTS = "doc_id long, n_grams long, log_weight double", pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
 
 
@@ -69,56 +73,66 @@ def target_ids(labels: DataFrame, most: int) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def with_fold(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, text, fold): the fold of a target document, null for others."""
+    fold = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    marked = docs.select("doc_id", "text").join(F.broadcast(targets.select("doc_id", fold)), "doc_id", "left")
+    return marked.select(marked["doc_id"].cast("long"), marked["text"].cast("string"), "fold")
+
+
 def count_buckets(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(bucket, raw, target) over all documents; each task adds up before anything is shuffled."""
+    """(bucket, fold, raw, target) over all documents; raw stands at fold 0. Each task adds up before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        raw, target = np.zeros(BUCKETS + MARKS, np.int64), np.zeros(BUCKETS + MARKS, np.int64)
+        raw, target = np.zeros(BUCKETS + MARKS, np.int64), np.zeros((FOLDS, BUCKETS + MARKS), np.int64)
         for batch in rows(batches):
-            for good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, fold in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 for part in features(text):
                     found = np.bincount(part, minlength=BUCKETS + MARKS)
                     raw += found
-                    if good:
-                        target += found
-        for k in np.flatnonzero(raw).tolist():
-            yield k, int(raw[k]), int(target[k])
+                    if fold is not None:
+                        target[fold] += found
+        for fold in range(FOLDS):
+            for k in np.flatnonzero(target[fold] + (raw if fold == 0 else 0)).tolist():
+                yield k, fold, int(raw[k]) if fold == 0 else 0, int(target[fold, k])
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(targets.withColumn("good", F.lit(True))), "doc_id", "left")
-    counts = map_rows(marked.select("good", marked["text"].cast("string")), run, _COUNTS_DDL, _COUNTS)
-    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = map_rows(with_fold(docs, targets), run, _COUNTS_DDL, _COUNTS)
+    return counts.groupBy("bucket", "fold").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def model(counts: DataFrame, prior: float = 1.0) -> np.ndarray:
-    """log p_target - log p_raw of each bucket. The counts have BUCKETS + MARKS rows at most, whatever the corpus."""
-    raw, target = np.zeros(BUCKETS + MARKS), np.zeros(BUCKETS + MARKS)
+def model(counts: DataFrame, prior: float = 5.0) -> np.ndarray:
+    """[fold, bucket]: log p_target - log p_raw without the targets of each fold; the last row is of all targets.
+
+    The counts have FOLDS * (BUCKETS + MARKS) rows at most, whatever the corpus.
+    """
+    raw, target = np.zeros(BUCKETS + MARKS), np.zeros((FOLDS, BUCKETS + MARKS))
     for r in counts.collect():
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    if not target.sum():
-        return np.zeros(BUCKETS + MARKS)
-    # Both models share a prior in the raw proportions, so that a bucket without evidence weighs nothing.
-    share = (raw + prior) / (raw + prior).sum()
-    out = np.zeros(BUCKETS + MARKS)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):  # the two kinds of n-grams are models of their own
-        base = share[part] / share[part].sum()
-        p = (target[part] + prior * len(base) * base) / (target[part].sum() + prior * len(base))
-        out[part] = np.log(p) - np.log(base)
+        raw[r["bucket"]] += r["raw"]
+        target[r["fold"], r["bucket"]] = r["target"]
+    out = np.zeros((FOLDS + 1, BUCKETS + MARKS))
+    for fold in range(FOLDS + 1):
+        fit = target.sum(axis=0) - (target[fold] if fold < FOLDS else 0)
+        for part in (slice(0, BUCKETS), slice(BUCKETS, None)):  # the two kinds of n-grams are models of their own
+            # How many the targets would have if they were as the corpus. Each ratio is drawn to one by ``prior``
+            # n-grams, so an n-gram that no target has weighs as much as it was to be expected, and a rare one little.
+            expected = raw[part] / max(1.0, raw[part].sum()) * fit[part].sum()
+            out[fold, part] = np.log((fit[part] + prior) / (expected + prior))
     return out
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def log_weights(docs: DataFrame, targets: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, n_grams, log_weight) of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, total = 0, 0.0
+            for doc_id, text, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                n, total, ratio = 0, 0.0, shared.value[FOLDS if fold is None else fold]
                 for part in features(text):
-                    n, total = n + len(part), total + float(shared.value[part].sum())
+                    n, total = n + len(part), total + float(ratio[part].sum())
                 yield doc_id, n, total
 
-    return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WEIGHTS_DDL, _WEIGHTS)
+    return map_rows(with_fold(docs, targets), run, _WEIGHTS_DDL, _WEIGHTS)
 
 
 def with_gumbel_key(weights: DataFrame, seed: int = 0, noise: float = 1.0) -> DataFrame:
@@ -161,22 +175,22 @@ def top_k(keyed: DataFrame, k: int, bins: int = 1024) -> DataFrame:
     return keyed.withColumn("kept", (F.col("sample_key") > F.lit(last["sample_key"])) | at_edge)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targets: int = 20_000, seed: int = 0, noise: float = 1.0, evidence: float = 8.0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targets: int = 20_000, seed: int = 0, noise: float = 1.0, evidence: float = 8.0, share: float = 0.1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_grams, log_weight, sample_key, kept.
 
-    ``k`` is the size of the sample; by default as many as have a log_weight above -``evidence``: the
-    others are e^evidence times likelier as corpus text than as target text, which a few odd
-    characters in a short text don't reach. ``most_targets`` bounds the labelled rows
-    that fit the target model; the raw model counts every document. A null or empty text has no
+    ``k`` is the size of the sample. By default there is none: documents are rejected that are e^``evidence``
+    times likelier as corpus text than as target text and lose ``share`` or more for each n-gram, so neither a few odd
+    characters in a short text nor an address in a long one reject it. ``most_targets`` bounds the labelled rows that fit the target model; the raw model counts every document. A null or empty text has no
     n-grams and weight zero, as no evidence speaks against it. Without a label all weights are zero
     and, by default, nothing is rejected. Repeated rows have one key, so they are kept or rejected
     together. An empty table gives no rows; other columns are ignored.
     """
     targets = target_ids(labels, most_targets)
     ratio = model(count_buckets(docs, targets))
-    keyed = with_gumbel_key(materialise(log_weights(docs, ratio)), seed, noise)
+    keyed = with_gumbel_key(materialise(log_weights(docs, targets, ratio)), seed, noise)
     if k is None:
-        k = keyed.where(F.col("log_weight") > -evidence).count() if ratio.any() else keyed.count()
+        poor = (F.col("log_weight") <= -evidence) & (F.col("log_weight") <= -F.lit(share) * F.col("n_grams"))
+        return keyed.withColumn("kept", ~poor)
     return top_k(keyed, k)
 
 
