@@ -198,6 +198,18 @@ def test_article_alone(page):
     assert html_text.main_text(page) == "\n".join(ARTICLE)
 
 
+def test_lists_of_links_in_the_article_stay():
+    prose = ["<p>" + " ".join(f"{w}{i}" for i in range(60)) + ".</p>" for w in ("some", "more")]
+    names = "<ul><li><a href=/a>First linked name</a></li><li><a href=/b>Second linked name</a></li></ul>"
+    around = "<div><a href=/x>Site links here</a> <a href=/y>and more there</a></div>"
+    wrapped = "<div><p>See <a href=/c>a long linked title of a source</a>.</p></div>"
+    menu = "<h1>Title</h1>" + around
+    whole = f"<body><article>{prose[0]}{names}{wrapped}{prose[1]}{names}</article></body>"
+    assert html_text.main_text(whole).count("Second linked name") == 2 and "a long linked title of a source" in html_text.main_text(whole)
+    between = html_text.main_text(f"<body><div>{menu}{prose[0]}{names}{wrapped}{prose[1]}{around}</div></body>")
+    assert between.count("Second linked name") == 1 and "a long linked title of a source" in between and "Site links" not in between and "Title" in between
+
+
 def test_broken_markup():
     assert html_text.main_text("<article><h1>T</h1><p><b>Bold text.<br><p>Next one.</p><p>Last &lt;tag&gt; &eacute;</article><footer>x</footer>") == "T\nBold text.\nNext one.\nLast <tag> é"
     assert html_text.main_text("<article><p>Cut off in the mid") == "Cut off in the mid"

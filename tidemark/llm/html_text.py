@@ -5,7 +5,8 @@ LT. Its composite density is C/T times a logarithm of C/LC * T/LT whose base gro
 of link text, so menus fall to zero. A node's density sum adds up its children's densities. The node
 with the largest sum marks the article; the smallest density on its path from the body is the
 threshold, and the outermost node on that path above it whose sum is near the largest is the subtree
-to keep. Inside it, blocks whose text is mostly links are dropped.
+to keep. Inside it, blocks whose text is mostly links are dropped if they lie before or after all of the
+body text; an article or main element, and what lies between body text, loses furniture only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tidemark.llm.common import map_rows, rows, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER = frozenset("head script style noscript template nav header footer aside form button select option input textarea iframe object embed svg canvas dialog menu audio video map".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = frozenset("html body table ul ol dl div section article main td th select blockquote".split())
@@ -195,12 +197,18 @@ def article(root: Node) -> Node:
 def blocks_of(top: Node) -> list[str]:
     """The texts of the blocks in page order; inline elements run on, a line break is white space."""
     out, run = [], []
+    within = {"links": 0, "heading": 0}  # how many open elements are mostly links, or headings
+
+    def kind(node: Node) -> str | None:
+        if node is not top and node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.chars and 2 * node.link_chars > node.chars:
+            return "links"
+        return "heading" if node.tag in HEADINGS else None
 
     def flush() -> None:
         text = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
-            out.append(text)
+            out.append((text, "links" if within["links"] else "heading" if within["heading"] else "body"))
 
     stack: list[tuple[Node | str, bool]] = [(top, False)]
     while stack:
@@ -209,19 +217,24 @@ def blocks_of(top: Node) -> list[str]:
             run.append(node)
         elif done:
             flush()
+            if kind(node):
+                within[kind(node)] -= 1
         elif node.around and node is not top:
             continue
         elif node.tag == "br":
             run.append(" ")
-        elif node is not top and node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.chars and 2 * node.link_chars > node.chars:
-            flush()
         else:
             if node.tag in BLOCK:
                 flush()
                 stack.append((node, True))
+                if kind(node):
+                    within[kind(node)] += 1
             stack += [(c, False) for c in reversed(node.children)]
     flush()
-    return out
+    body = [i for i, (_, what) in enumerate(out) if what == "body"]
+    first, last = (body[0], body[-1]) if body else (len(out), -1)
+    inside = top.tag in ("article", "main")
+    return [text for i, (text, what) in enumerate(out) if what != "links" or inside or first < i < last]
 
 
 def main_text(page: str | None) -> str:
