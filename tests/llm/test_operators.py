@@ -381,12 +381,12 @@ def test_clean_documents_with_unseen_words_stay(spark):
     """Good documents without a label, with an address or number that no labelled document has."""
     rng = np.random.default_rng(6)
     words = ["the", "and", "of", "ring", "stone", "water", "lamp", "river", "under", "light"]
-    seen = [" ".join(rng.choice(words, 60)) for _ in range(300)]
+    seen = [" ".join(rng.choice(words, 60)) for _ in range(1200)]
     own = [" ".join([*rng.choice(words, 30), f"{rng.integers(1 << 60):x}@q{k}.example", str(rng.integers(1 << 60)), *rng.choice(words, 30)]) for k in range(60)]
-    bad = [" ".join(w.upper() + "!!" for w in rng.choice(words, 60)) for _ in range(40)]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(i, 1, 0) for i in range(300, 360, 3)], "doc_id long, quality int, toxic int")
+    bad = [" ".join(w.upper() + "!!" for w in rng.choice(words, 60)) for _ in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)] + [(i, 1, 0) for i in range(1200, 1260, 3)], "doc_id long, quality int, toxic int")
     kept = {r["doc_id"] for r in importance.resample(docs_of(spark, seen + own + bad), labels).where("kept").collect()}
-    assert kept == set(range(360))
+    assert kept == set(range(1260))
 
 
 @pytest.mark.parametrize("text", [None, "", "a", "one two one two two two", "über " * 50, "x" * 900, "a b c d " * 60 + "z" * 300 + " a a a a a b"])
