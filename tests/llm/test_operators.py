@@ -225,8 +225,8 @@ def test_near_duplicates_of_odd_rows(odd):
     assert (None, f"{fps[6]:016x}", 6) in got
 
 
-def test_similar_documents(spark):
-    rng = np.random.default_rng(9)
+def edited_texts(rng):
+    """Texts with copies in which more and more words are changed."""
     vocabulary, texts = [f"w{i}" for i in range(4000)], []
     for _ in range(60):
         words = list(rng.choice(vocabulary, int(rng.integers(3, 400))))
@@ -236,16 +236,34 @@ def test_similar_documents(spark):
             for at in rng.integers(0, len(words), max(1, len(words) * edits // 400)):
                 changed[at] = str(rng.choice(vocabulary))
             texts.append(" ".join(changed))
+    return texts
+
+
+# With 3 bits strangers share a key as well; keys with more than ``crowd`` others are compared by their rarest shingles.
+@pytest.mark.parametrize("key_bits, crowd", [(64, 64), (3, 1000), (3, 64), (64, 1)])
+def test_similar_documents(spark, key_bits, crowd):
+    texts = edited_texts(np.random.default_rng(9))
     root, alike = jaccard_groups(texts)
     docs = docs_of(spark, texts)
-    groups = simhash.similar_groups(docs).collect()
-    assert all(root[r["node"]] == root[r["root"]] for r in groups)
-    wide = simhash.wide_fingerprints(docs, 5)
-    links = {tuple(r) for r in simhash.similar_pairs(spark.createDataFrame(list(alike), "u long, v long"), wide, docs, 5, 0.8).collect()}
-    assert links == {p for p, s in alike.items() if s >= 0.8}
-    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()}
-    clean = {i for i, r in enumerate(root) if i == r}
-    assert clean <= kept and len(kept - clean) <= 0.03 * (len(texts) - len(clean))
+    groups = {r["node"]: r["root"] for r in simhash.similar_groups(docs, crowd=crowd, key_bits=key_bits).collect()}
+    assert {i: groups.get(i, i) for i in range(len(texts))} == dict(enumerate(root))
+    if key_bits == 64 == crowd:
+        links = {tuple(r) for r in simhash.similar_pairs(spark.createDataFrame(list(alike), "u long, v long"), docs, 5, 0.8).collect()}
+        assert links == {p for p, s in alike.items() if s >= 0.8}
+        assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {i for i, r in enumerate(root) if i == r}
+
+
+def test_bands_find_pairs_at_the_bound():
+    """Of pairs at 0.80 to 0.82 all but a few in a hundred share a band; hardly any at 0.2 do."""
+    rng, found = np.random.default_rng(12), {0.2: 0, 0.81: 0}
+    for similarity in found:
+        for _ in range(400):
+            both = int(1000 * similarity)
+            x = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+            own = (1000 - both) // 2
+            a, b = np.sort(x[: both + own]), np.sort(np.append(x[:both], x[both + own :]))
+            found[similarity] += bool((simhash.band_keys(a) == simhash.band_keys(b)).any())
+    assert found[0.81] >= 392 and found[0.2] <= 4
 
 
 def jaccard_groups(texts, least=0.8):
@@ -277,28 +295,48 @@ def test_documents_of_one_template(spark):
     assert {r["node"]: r["root"] for r in simhash.similar_groups(docs).collect()} == {i: r for i, r in enumerate(root) if i != r}
 
 
-def test_every_pair_of_a_sample_is_compared(spark):
-    """Near pairs whose sample has a third document as its hub."""
-    some = spark.createDataFrame([(i, i, [7, 100 + i]) for i in range(6)] + [(1, 9, [7]), (1, 8, [50])], "root long, node long, keys array<long>")
-    want = {(i, j) for i in range(6) for j in [*range(i + 1, 6), 9] if (i, j) != (1, 9)}
+def test_every_pair_of_a_key_is_compared(spark):
+    """Pairs whose key has a third document as its smallest, and none within a root."""
+    rows = [(7, i, i) for i in range(6)] + [(7, 1, 9), (7, 1, 8), (8, 3, 3), (8, 3, 10), (9, 4, 4)]
+    visits = spark.createDataFrame(rows, "key long, root long, node long")
+    seven = [(r, n) for k, r, n in rows if k == 7]
+    want = {(min(a, b), max(a, b)) for r, a in seven for q, b in seven if r != q}
     for block in (1, 2, 4096):
-        pairs = [tuple(r) for r in simhash.cross_pairs(some, block=block).collect()]
+        mixed = simhash.mixed_keys(visits, block)
+        assert [(r["key"], r["main"], r["minor"]) for r in mixed.collect()] == [(7, 1, 5)]
+        pairs = [tuple(r) for r in simhash.minor_pairs(visits, mixed).collect()]
         assert len(pairs) == len(want) and set(pairs) == want
 
 
-def test_hubs_are_found_before_the_shuffle(spark):
-    """Copies in one batch send one row of a sample to the shuffle."""
-    some = spark.createDataFrame([(i, i, [7]) for i in range(1000)], "root long, node long, keys array<long>").coalesce(1)
-    visits = some.mapInArrow(simhash.local_hubs, "key long, root long, node long, members array<long>").collect()
-    assert len(visits) == 1 and sorted(visits[0]["members"]) == list(range(1, 1000))
-    assert {tuple(r) for r in simhash.hub_pairs(some).collect()} == {(0, i) for i in range(1, 1000)}
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_stars_over_partitions(spark, parts):
+    """One key that fills most partitions, and many small ones: all nodes of a key hang together, and pairs are few."""
+    rows = [(7, i) for i in range(500)] + [(100 + i // 3, i) for i in range(60)] + [(1000, 4)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    pairs = [tuple(r) for r in simhash.stars(spark.createDataFrame(rows, "key long, node long")).collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert all(u < v for _, u, v in pairs) and len(pairs) == len(set(pairs)) <= len(rows)
+    for key in {k for k, _ in rows}:
+        mine = {n for k, n in rows if k == key}
+        roots = brute_roots(mine, [(u, v) for k, u, v in pairs if k == key])
+        assert set(roots.values()) == {min(mine)}
+
+
+def brute_roots(nodes, edges):
+    root = {n: n for n in nodes}
+    for _ in nodes:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
 
 
 def test_hashes_do_not_depend_on_slices():
     text = " ".join(f"w{i % 700}" for i in range(3000))
-    assert (simhash.shingle_hashes(text, 5, size=50) == simhash.shingle_hashes(text, 5)).all()
     hashes = simhash.shingle_hashes(text, 5)
-    assert (simhash.wide_bits(hashes, block=100) == simhash.wide_bits(hashes)).all()
+    assert (simhash.shingle_hashes(text, 5, size=50) == hashes).all()
+    assert (simhash.band_keys(hashes, block=100) == simhash.band_keys(hashes)).all()
+    ones = [b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes.tolist()) > len(hashes)]
+    assert simhash.set_fingerprint(hashes) % (1 << 64) == sum(1 << b for b in ones)
 
 
 def test_similar_documents_of_odd_rows(odd, empty):
@@ -310,6 +348,12 @@ def test_similar_documents_of_odd_rows(odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_names_of_components_may_be_large(spark):
+    docs = spark.createDataFrame([((1 << 63) - 1, "a b c d"), (1 << 62, "e f g h"), (None, "x y z"), (-5, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {((1 << 63) - 1, (1 << 63) - 1), (1 << 62, 1 << 62), (None, None), (-5, -5)}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -373,7 +417,7 @@ def test_sample_keeps_clean_documents(quality):
     docs, labels, n = quality
     got = importance.resample(docs, labels).collect()
     kept = {r["doc_id"] for r in got if r["kept"]}
-    assert len(got) == 110 and len(kept & set(range(n))) >= 0.97 * n and len(kept - set(range(n))) <= 1
+    assert len(got) == 110 and len(kept & set(range(n))) >= 0.95 * n and len(kept - set(range(n))) <= 2
     assert importance.drop_rejected(docs, labels).columns == docs.columns
 
 
@@ -399,6 +443,52 @@ def test_slices_change_no_feature(text):
         assert sorted(parts[parts < importance.BUCKETS]) == sorted(whole[whole < importance.BUCKETS])
 
 
+def test_shares_of_a_sample_match_the_weights(spark):
+    """Of five documents, drawn one at a time, each wins as often as its weight says."""
+    weights = np.array([0.05, 0.1, 0.15, 0.3, 0.4])
+    one = spark.range(20_000).select(F.col("id").alias("draw"), F.posexplode(F.array(*[F.lit(float(np.log(w))) for w in weights])).alias("which", "log_weight"))
+    keyed = importance.with_gumbel_key(one.withColumn("doc_id", F.col("draw") * 5 + F.col("which")))
+    won = dict(keyed.groupBy("draw").agg(F.max_by("which", "sample_key").alias("w")).groupBy("w").count().collect())
+    assert all(abs(won[i] / 20_000 - w) < 4 * np.sqrt(w * (1 - w) / 20_000) for i, w in enumerate(weights))
+
+
+def test_the_sample_is_no_threshold(spark):
+    """Graded weights: heavier documents are kept more often, but no bound on the weight gives the sample."""
+    keyed = importance.with_gumbel_key(spark.range(5000).select(F.col("id").alias("doc_id"), (-F.col("id") / 1000).alias("log_weight")))
+    kept = np.zeros(5000, bool)
+    kept[[r["doc_id"] for r in importance.top_k(keyed, 2000).where("kept").collect()]] = True
+    shares = kept.reshape(5, 1000).mean(axis=1)
+    assert (np.diff(shares) < 0).all() and 0.05 < shares[4] and shares[0] < 0.95
+
+
+def brute_ratio(texts, good):
+    """Mean log ratio of each text by the counts of all texts and of the good ones, one n-gram at a time."""
+    grams = [np.concatenate(list(importance.features(t))).tolist() for t in texts]
+    def ratio(gram, fit, raw):
+        same = lambda g: (g < importance.BUCKETS) == (gram < importance.BUCKETS)
+        expected = raw.count(gram) / sum(map(same, raw)) * sum(map(same, fit))
+        return np.log((fit.count(gram) + 5) / (expected + 5))
+
+    raw = sum(grams, [])
+    return [sum(ratio(g, sum((grams[j] for j in good(i)), []), raw) for g in x) / (len(x) + 50) for i, x in enumerate(grams)]
+
+
+def test_weights_by_brute_force(spark):
+    texts = ["the ring of the river", "water under the light", "THE!! RING!! OF", "a a a a a a a", "the lamp and the stone", ""]
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (4, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    folds = {r["doc_id"]: r["fold"] for r in importance.with_fold(docs_of(spark, texts), importance.target_ids(labels, 10)).collect()}
+    want = brute_ratio(texts, lambda i: [j for j in (0, 1, 4) if i not in (0, 1, 4) or folds[j] != folds[i]])
+    got = {r["doc_id"]: r["log_weight"] for r in importance.resample(docs_of(spark, texts), labels, sharpness=1.0, allowance=0.0).collect()}
+    assert [got[i] for i in range(6)] == pytest.approx(want)
+
+
+def test_rows_of_one_id_are_judged_by_their_text(quality):
+    docs, labels, n = quality
+    twice = docs.withColumn("doc_id", F.when(F.col("doc_id") >= n, 2 * (F.col("doc_id") - n) + 1).otherwise(F.col("doc_id")))  # ids without a label
+    kept = importance.drop_rejected(twice, labels)
+    assert kept.columns == docs.columns and 0.95 * n <= kept.count() <= n + 2
+
+
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(4)
     keys = np.round(rng.standard_normal(3000) * 2, 2).tolist()

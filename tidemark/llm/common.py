@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shared_folder, table
 
-__all__ = ["keep_ids", "map_rows", "materialise", "rows", "shared_folder", "table"]
+__all__ = ["map_rows", "materialise", "rows", "salted", "shared_folder", "small", "table", "text_key", "without_rows"]
 
 #: What counts as white space in the text contracts: space and tab to carriage return.
 SPACES = r"[ \t-\r]+"
@@ -61,7 +62,24 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, ddl)
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept``; a null doc_id matches a null one. Columns stay those of ``docs``."""
-    ids = kept.select(kept["doc_id"].alias("__kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+def small(held: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``held`` marked for broadcast if it has ``most`` rows at most. They are counted, so what is sent has a bound; a larger table is joined by a shuffle."""
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Inner join by ``key``, of which ``right`` has one row each. A key with many rows on the left is dealt over ``salts`` tasks by ``spread``."""
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(F.lit(salts), spread), F.lit(salts))).join(copies, [key, "__salt"]).drop("__salt")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``text_key`` are in ``gone`` (written, distinct); nulls match nulls. Columns stay those of ``docs``."""
+    named = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_text"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & text_key(docs["text"]).eqNullSafe(F.col("__gone_text"))
+    return docs.join(small(named), same, "left_anti")
+
+
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(text.cast("string"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, materialise, table
+from tidemark.llm.common import SPACES, materialise, small, table
 
 GAMMA = 2.0  # positions for each digest of a level
 FOUND = "digest binary, keep_id long, group_size long, keep_rows long, known boolean"
@@ -176,16 +176,29 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, in the columns of ``docs``."""
-    kept = materialise(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__kept"), "keep_rows"))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(normalised(docs["text"]), 256)))
-    same = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__kept"])
-    once = marked.join(kept.where("keep_rows = 1"), same, "left_semi")
-    again = marked.join(kept.where("keep_rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__digest"])
-    return once.unionByName(again).drop("__digest")
+    """``docs`` with one row of each group of equal texts, in the columns of ``docs``.
+
+    Null and empty texts are equal; of a group without any doc_id one row stays, as of rows that repeat the winning doc_id. Only
+    names of rows are joined, by doc_id and digest; the texts of a group move only where several of its rows carry the winning doc_id. An
+    empty table stays empty. Columns may have any names.
+    """
+    own = ("__repeats_digest", "__repeats_id")
+    found = materialise(exact_dedup(docs).select("doc_id", "text_sha256", "kept", "keep_rows"))
+    named = lambda rows: materialise(rows.select(F.col("doc_id").alias(own[1]), F.unhex("text_sha256").alias(own[0])).distinct())
+    digest = F.unhex(F.sha2(normalised(docs["text"]), 256))
+    same = (digest == F.col(own[0])) & docs["doc_id"].cast("long").eqNullSafe(F.col(own[1]))
+    left = docs.join(small(named(found.where("NOT kept"))), same, "left_anti")
+    several = named(found.where("kept AND keep_rows > 1"))
+    if several.isEmpty():
+        return left
+    doubled = left.join(small(several), same, "left_semi")
+    # Equal texts may still differ in white space, and rows in other columns: any one row stays.
+    once = doubled.withColumn(own[0], digest).dropDuplicates(["doc_id", own[0]]).drop(own[0])
+    return left.join(small(several), same, "left_anti").unionByName(once)
 
 
 def op9_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256; see ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents")).drop("keep_rows", "known")
 
 

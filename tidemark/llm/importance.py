@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling (operator 3).
 
 Two generative models over hashed n-grams, one of target text (labelled good) and one of all raw
-text, give each document the log of its importance weight: the sum over its n-grams of
-log p_target - log p_raw. Gumbel noise, a fixed function of doc_id, is added, and the k largest keys
-are sampled. Buckets are counted over the whole corpus; the two models have a fixed size.
+text, give each document log p_target - log p_raw for each of its n-grams. Their mean, scaled, is the log
+of its importance weight, so long documents are not weighed by their length. Gumbel noise, a fixed
+function of doc_id, is added, and the k largest keys are sampled: each draw takes a document with a
+probability in proportion to its weight. Buckets are counted over the whole corpus; the two models have a fixed size.
 
 A labelled document is weighed by a model fitted without its fold, as a document without a label is
 by one that never saw it.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_ids, map_rows, materialise, rows, table
+from tidemark.llm.common import map_rows, materialise, rows, table, text_key, without_rows
 
 BUCKETS = 1 << 16
 FOLDS = 5  # of the labelled documents; a document is weighed by a model without its own fold
@@ -30,7 +31,8 @@ MARKS = 64  # repetition trigrams have buckets of their own at the end
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _COUNTS_DDL, _COUNTS = "bucket int, fold int, raw long, target long", pa.schema([("bucket", pa.int32()), ("fold", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
-_WEIGHTS_DDL, _WEIGHTS = "doc_id long, n_grams long, log_weight double", pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+_SUMS_DDL = "doc_id long, text_key long, n_grams long, log_ratio double"
+_SUMS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_grams", pa.int64()), ("log_ratio", pa.float64())])
 
 
 def features(text: str | None, size: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -77,7 +79,7 @@ def with_fold(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """(doc_id, text, fold): the fold of a target document, null for others."""
     fold = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     marked = docs.select("doc_id", "text").join(F.broadcast(targets.select("doc_id", fold)), "doc_id", "left")
-    return marked.select(marked["doc_id"].cast("long"), marked["text"].cast("string"), "fold")
+    return marked.select(marked["doc_id"].cast("long"), marked["text"].cast("string"), "fold", text_key(marked["text"]))
 
 
 def count_buckets(docs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -120,19 +122,24 @@ def model(counts: DataFrame, prior: float = 5.0) -> np.ndarray:
     return out
 
 
-def log_weights(docs: DataFrame, targets: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_grams, log_weight) of each whole text."""
+def log_ratios(docs: DataFrame, targets: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, n_grams, log_ratio): the sum of the log ratios of the n-grams of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
-            for doc_id, text, fold in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, fold, key in zip(*(c.to_pylist() for c in batch.columns)):
                 n, total, ratio = 0, 0.0, shared.value[FOLDS if fold is None else fold]
                 for part in features(text):
                     n, total = n + len(part), total + float(ratio[part].sum())
-                yield doc_id, n, total
+                yield doc_id, key, n, total
 
-    return map_rows(with_fold(docs, targets), run, _WEIGHTS_DDL, _WEIGHTS)
+    return map_rows(with_fold(docs, targets), run, _SUMS_DDL, _SUMS)
+
+
+def log_weight(sharpness: float, allowance: float, neutral: float = 50.0):
+    """``sharpness`` times the mean log ratio and ``allowance``; ``neutral`` n-grams of ratio zero keep short texts from extremes."""
+    return F.lit(sharpness) * (F.col("log_ratio") / (F.col("n_grams") + F.lit(neutral)) + F.lit(allowance))
 
 
 def with_gumbel_key(weights: DataFrame, seed: int = 0, noise: float = 1.0) -> DataFrame:
@@ -175,29 +182,34 @@ def top_k(keyed: DataFrame, k: int, bins: int = 1024) -> DataFrame:
     return keyed.withColumn("kept", (F.col("sample_key") > F.lit(last["sample_key"])) | at_edge)
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targets: int = 20_000, seed: int = 0, noise: float = 1.0, evidence: float = 8.0, share: float = 0.1) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_grams, log_weight, sample_key, kept.
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targets: int = 20_000, seed: int = 0, sharpness: float = 20.0, allowance: float = 0.2) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text_key, n_grams, log_weight, sample_key, kept.
 
-    ``k`` is the size of the sample. By default there is none: documents are rejected that are e^``evidence``
-    times likelier as corpus text than as target text and lose ``share`` or more for each n-gram, so neither a few odd
-    characters in a short text nor an address in a long one reject it. ``most_targets`` bounds the labelled rows that fit the target model; the raw model counts every document. A null or empty text has no
-    n-grams and weight zero, as no evidence speaks against it. Without a label all weights are zero
-    and, by default, nothing is rejected. Repeated rows have one key, so they are kept or rejected
-    together. An empty table gives no rows; other columns are ignored.
+    ``k`` is the size of the sample. By default it is the number of documents that rejection sampling is expected to keep, the sum
+    of all weights, each one at most. ``allowance`` is the loss for each n-gram at which a weight is one, ``sharpness`` how fast it falls beyond.
+    ``most_targets`` bounds the labelled rows that fit the target model; the raw model counts every document. A null or empty text has no
+    n-grams and no evidence against it. Without a label all weights are equal and, by default, nothing is rejected. Repeated
+    rows have one key, so they are kept or rejected together; of equal keys the smaller doc_id comes first. Very long texts are read in slices.
+    An empty table gives no rows; other columns are ignored.
     """
     targets = target_ids(labels, most_targets)
     ratio = model(count_buckets(docs, targets))
-    keyed = with_gumbel_key(materialise(log_weights(docs, targets, ratio)), seed, noise)
+    weighed = log_ratios(docs, targets, ratio).withColumn("log_weight", log_weight(sharpness, allowance)).drop("log_ratio")
+    keyed = with_gumbel_key(materialise(weighed), seed)
     if k is None:
-        poor = (F.col("log_weight") <= -evidence) & (F.col("log_weight") <= -F.lit(share) * F.col("n_grams"))
-        return keyed.withColumn("kept", ~poor)
+        k = round(keyed.agg(F.sum(F.exp(F.least("log_weight", F.lit(0.0))))).first()[0] or 0)
     return top_k(keyed, k)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the sample leaves out, in the columns of ``docs``."""
-    return keep_ids(docs, resample(docs, labels).where("kept"))
+    """``docs`` without the rows that the sample leaves out, in the columns of ``docs``.
+
+    Only the names of those rows are joined; texts are not moved while they are few enough to broadcast. Nulls, ties and empty tables as in ``resample``; rows that share a doc_id
+    but not a text are judged each for itself.
+    """
+    return without_rows(docs, materialise(resample(docs, labels).where("NOT kept").select("doc_id", "text_key").distinct()))
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """One row for each document: doc_id, n_grams, log_weight, sample_key, kept; see ``resample``."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, rows, slices, table
+from tidemark.llm.common import map_rows, materialise, rows, salted, slices, small, table
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # [byte, bit]
@@ -122,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = salted(both.where("v > u"), least, "u", "v").select(F.col("m").alias("u"), "v").where("u < v").distinct()
         # Now every edge points from the larger v to the smaller u.
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
@@ -144,36 +144,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     Fingerprints link at 2 or fewer differing bits; component_id is the smallest doc_id reachable.
     Null and white-space-only texts have fingerprint zero and link like any other. Copies and
     repeated rows share a fingerprint, hence a component. A row with a null doc_id counts as no name
-    for a component; a component of such rows only has a null component_id. An empty table gives no
-    rows; other columns are ignored.
+    for a component; a component of such rows only has a null component_id. Very long texts are read
+    in slices. An empty table gives no rows; other columns are ignored.
     """
     found = materialise(fingerprints(docs, shingle))
-    nodes = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("name")))
-    # A fingerprint without any doc_id takes a name above all doc_ids, mapped back to null in the end.
-    distinct = nodes.select(F.coalesce("name", _nameless(F.col("fp"))).alias("node"), "fp", "name")
-    roots = components(links(distinct.select("node", "fp")))
-    named = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    component = F.when(F.col("component") < _NAMELESS, F.col("component")).alias("component_id")
+    names = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("name")))
+    # A fingerprint is known by its smallest doc_id; one without any by itself, behind all that have one.
+    node = F.struct(F.col("name").isNull().alias("nameless"), F.coalesce("name", "fp").alias("id"))
+    nodes = names.select(node.alias("node"), "fp")
+    named = nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("root", "node").alias("least"))
+    component = F.when(~F.col("least.nameless"), F.col("least.id")).alias("component_id")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
-#: Names of fingerprints without a doc_id start here, above any doc_id in use.
-_NAMELESS = 1 << 62
+# Similar documents: a Jaccard similarity at which segment counts alone no longer tell anything apart
 
-
-def _nameless(fp: Column) -> Column:
-    return F.lit(_NAMELESS) + F.pmod(F.xxhash64(fp), F.lit((1 << 62) - 1))
-
-
-# Similar documents: distances at which segment counts no longer tell anything apart
-
-WORDS = 8  # 64-bit words of a wide fingerprint
-BANDS, BAND_BITS = 200, 24
-_SALTS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) for i in range(WORDS)], np.uint64)
-_SAMPLES = np.random.default_rng(8).random((BANDS, 64 * WORDS)).argsort(axis=1)[:, :BAND_BITS]
-_WIDE_DDL = "node long, shingles long, words array<long>, keys array<long>"
-_WIDE = pa.schema([("node", pa.int64()), ("shingles", pa.int64()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
-_VISITS_DDL = "key long, root long, node long, members array<long>"
+ROWS, BANDS = 6, 20  # least values of a band, and bands: a pair at 0.8 shares a band with probability 0.998
+_DRAWN = np.random.default_rng(8).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
+_XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
+_SKETCH_DDL = "node long, fp long, whole binary, keys array<long>"
+_SKETCH = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("whole", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_VISIT_DDL, _VISIT = "key long, u long, v long", pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+_SET_DDL, _SET = "node long, hashes array<long>", pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
 
 def shingle_hashes(text: str | None, shingle: int, size: int = 1 << 20) -> np.ndarray:
@@ -189,96 +181,102 @@ def shingle_hashes(text: str | None, shingle: int, size: int = 1 << 20) -> np.nd
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def wide_bits(hashes: np.ndarray, block: int = 1 << 14) -> np.ndarray:
-    """The 512 bits of a SimHash over distinct shingles, whose hashes are mixed anew for each word."""
-    ones = np.zeros(64 * WORDS, np.int64)
-    for at in range(0, len(hashes), block):
-        x = (hashes[at : at + block, None] ^ _SALTS) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-        x ^= x >> np.uint64(29)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return 2 * ones > len(hashes)
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The signed SimHash of a set of shingles."""
+    data = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(data[:, k], minlength=256) @ _BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
 
+def band_keys(hashes: np.ndarray, block: int = 1 << 10) -> np.ndarray:
+    """One key for each band: a hash of the least values of its orders of the set. Sets share a least value with the probability of their similarity."""
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(folded), block):
+        np.minimum(least, ((folded[at : at + block, None] ^ _XOR) * _TIMES).min(axis=0), out=least)
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles, words, keys): how many shingles, the wide fingerprint, and the value of each sample of its bits. Rows without a doc_id or words have none."""
-    bands = np.arange(BANDS, dtype=np.int64) << BAND_BITS
+
+def sketches(docs: DataFrame, shingle: int, key_bits: int = 64) -> DataFrame:
+    """(node, fp, whole, keys): the SimHash of the set of shingles, a digest of the set, and its band keys, of which ``key_bits`` are used. Rows without a doc_id or words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingle_hashes(text, shingle)
-                if doc_id is None or not len(hashes):
-                    continue
-                bits = wide_bits(hashes)
-                values = np.packbits(bits[_SAMPLES], axis=1).astype(np.int64)
-                keys = bands + (values[:, 0] << 16) + (values[:, 1] << 8) + values[:, 2]
-                yield doc_id, len(hashes), np.packbits(bits, bitorder="little").view("<i8"), keys
+                if doc_id is not None and len(hashes):
+                    yield doc_id, set_fingerprint(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(hashes) >> (64 - key_bits)
 
-    return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _WIDE_DDL, _WIDE)
+    return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _SKETCH_DDL, _SKETCH)
 
 
-def most_differing_bits(similarity: float) -> int:
-    """How many of 512 bits sets of a Jaccard similarity differ in: three quarters more than on average, so that only exact comparison decides.
+def run_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, node) rows in order: (key, u, v) with u the first node of the key in this partition, for each other node v.
 
-    Their cosine is about 2s / (1 + s), and a bit differs with the probability of the angle over pi.
+    The first and the last key may go on in another partition: their first nodes come with a null v as well.
     """
-    return int(1.75 * 64 * WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
-
-
-def placed(wide: DataFrame, roots: DataFrame | None, first: int, bands: int) -> DataFrame:
-    """(root, node, keys): each document's group so far and its samples of some bands."""
-    some = wide.select("node", F.slice("keys", first + 1, bands).alias("keys"))
-    if roots is None:
-        return some.select(F.col("node").alias("root"), "node", "keys")
-    return some.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "keys")
-
-
-def local_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, root, node, members): of each batch and key the first document by group and doc_id, and those of other groups it stands for."""
-    for batch in rows(batches, 4096):
-        root, node = (batch.column(k).to_numpy() for k in (0, 1))
-        lists = batch.column(2)
-        flat, doc = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
-        order = np.lexsort((node[doc], root[doc], flat))
-        flat, doc = flat[order], doc[order]
-        at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(flat))))
-        other = root[doc] != root[doc[at]][owner]
-        offsets = np.append(0, np.cumsum(np.bincount(owner[other], minlength=len(at)))).astype(np.int32)
-        members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[doc[other]]))
-        yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(root[doc[at]]), pa.array(node[doc[at]]), members], names=["key", "root", "node", "members"])
+    key = head = None
+    none = pa.array([None], pa.int64())
+    bound = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([head], pa.int64()), none], schema=_VISIT)
+    for batch in rows(batches, 1 << 16):
+        keys, nodes = (batch.column(k).to_numpy() for k in (0, 1))
+        if not len(keys):
+            continue
+        new = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+        place = np.cumsum(new) - 1
+        heads = nodes[new][place] if new[0] else np.append(head, nodes[new])[place + 1]
+        first, key, head = key is None, int(keys[-1]), int(heads[-1])
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:1]), pa.array(nodes[:1]), none], schema=_VISIT)
+        other = heads != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(keys[other]), pa.array(heads[other]), pa.array(nodes[other])], schema=_VISIT)
+    if key is not None:
+        yield bound()
+
+
+def stars(visits: DataFrame) -> DataFrame:
+    """(key, u, v), u < v: each node of a key with the smallest, or the smallest of the same part, which then goes with the smallest itself.
+
+    Rows are dealt by ranges of key and node, so the nodes of one key may lie in many partitions, and nothing is held but the head of a run.
+    """
+    made = materialise(visits.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run_heads, _VISIT_DDL))
+    heads = made.where("v IS NULL").select("key", "u").distinct()
+    least = heads.groupBy("key").agg(F.min("u").alias("m"))
+    across = heads.join(least, "key").where("m < u").select("key", F.col("m").alias("u"), F.col("u").alias("v"))
+    return made.where("v IS NOT NULL").unionByName(across)
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+def mixed_keys(visits: DataFrame, block: int = 4096) -> DataFrame:
+    """(key, main, minor, blocks) of the keys of ``visits`` (key, root, node) with several roots: the most frequent, and how many nodes have others."""
+    sizes = visits.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("n > main.n")
+    return sizes.select("key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("minor"), F.expr(f"n div {block} + 1").alias("blocks"))
 
 
-def hub_pairs(some: DataFrame) -> DataFrame:
-    """(u, v), u < v: documents of different groups that share a sample, each with a hub of it, so copies make as many pairs as there are copies.
+def minor_pairs(visits: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(u, v), u < v: all nodes that share a key and are of different roots.
 
-    Hubs are found in each batch first, so one value of a sample sends as many rows to a task as there are batches.
+    In each key the nodes outside its main root are paired with all others, which are dealt in blocks: nodes of the main root, however
+    many, make no pairs among themselves, and no task holds a whole key.
     """
-    w = Window.partitionBy("key")
-    visits = some.mapInArrow(local_hubs, _VISITS_DDL).withColumn("hub", F.min(F.struct("root", "node")).over(w))
-    up = F.when(F.col("root") != F.col("hub.root"), F.array(_pair(F.col("node"), F.col("hub.node")))).otherwise(F.array())
-    down = F.transform("members", lambda m: _pair(F.col("node"), m))
-    return visits.where("root != hub.root OR size(members) > 0").select(F.explode(F.concat(up, down)).alias("p")).select("p.u", "p.v").distinct()
+    here = salted(visits, mixed, "key", "node")
+    every = here.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("i"))
+    minor = here.where("root != main").select("key", F.col("root").alias("q"), F.col("node").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    pairs = minor.join(every, ["key", "i"]).where("r != q AND a != b")
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def cross_pairs(some: DataFrame, salts: int = 16, block: int = 4096) -> DataFrame:
-    """(u, v), u < v: all documents of different groups that share a sample.
+def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of the documents in ``nodes``, written once."""
 
-    The documents of a value are dealt into blocks of about ``block``, and each pair of blocks is a group of its own.
-    """
-    visits = some.select("root", "node", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-    mixed = visits.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low != high")
-    blocks = F.expr(f"n div {block} + 1").alias("blocks")
-    here = visits.join(mixed.select("key", blocks, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt")), ["key", "salt"])
-    here = here.select("root", "node", "key", F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("yours"))
-    a = here.select("key", F.col("mine").alias("i"), F.col("yours").alias("j"), F.col("root").alias("r"), F.col("node").alias("u"))
-    b = here.select("key", F.col("yours").alias("i"), F.col("mine").alias("j"), F.col("root").alias("q"), F.col("node").alias("v"))
-    return a.join(b, ["key", "i", "j"]).where("u < v AND r != q").select("u", "v").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in rows(batches):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield node, shingle_hashes(text, shingle).view(np.int64)
+
+    texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
+    return materialise(map_rows(texts.join(small(nodes), "node", "left_semi"), run, _SET_DDL, _SET, size=256))
 
 
 def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) -> DataFrame:
@@ -288,68 +286,76 @@ def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) ->
     return dealt.join(held, [side, "__salt"]).drop("__salt")
 
 
-def similar_pairs(pairs: DataFrame, wide: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more, compared exactly."""
+    pairs = materialise(pairs)
+    nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    sets = shingle_sets(docs, nodes, shingle)
+    of = lambda name: sets.withColumnRenamed("hashes", name)
+    common = F.size(F.array_intersect("a", "b"))
+    sized = F.least(F.size("a"), F.size("b")) >= F.lit(similarity) * F.greatest(F.size("a"), F.size("b"))
+    near = _beside(_beside(pairs, "v", of("b")), "u", of("a")).where(sized).select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    return near.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("u", "v").distinct()
 
-    Bounds come first: the ratio of the sets' sizes, and the bits in which the fingerprints differ, for
-    which the Manhattan distance of the words' bit counts is a lower bound. The texts of the rest are
-    compared exactly.
+
+def rare_visits(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(key, node): the rarest shingles of each document of ``nodes``, so many that any two documents that are near share one.
+
+    A set of n shingles that is near another shares at least ``similarity`` n of them, so one at least is among its first
+    n - similarity n + 1 in any order that all sets have in common. Here the order is by how many of ``nodes`` hold a shingle;
+    those that one document holds only take their places but make no visit.
     """
-    most_bits = most_differing_bits(similarity)
-    of = lambda n, words: wide.select("node", F.col("shingles").alias(n), F.col("words").alias(words))
-    both = _beside(_beside(pairs, "u", of("n", "a")), "v", of("m", "b"))
-    total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0), lambda x, y: x + y)
-    lower = total(lambda x, y: F.abs(F.bit_count(x) - F.bit_count(y)))
-    exact = total(lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    sized = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")
-    likely = materialise(both.where(sized & (lower <= most_bits) & (exact <= most_bits)).select("u", "v").distinct())
-    text = lambda name: docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias(name))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held, known = None, np.zeros(0, np.uint64)
-        for batch in rows(batches, 64):
-            for u, v, one, two in zip(*(c.to_pylist() for c in batch.columns)):
-                if held != one:
-                    held, known = one, shingle_hashes(one, shingle)
-                found = shingle_hashes(two, shingle)
-                common = len(np.intersect1d(known, found, assume_unique=True))
-                if common and common >= similarity * (len(known) + len(found) - common):
-                    yield u, v
-
-    texts = _beside(_beside(likely, "v", text("two")), "u", text("one")).select("u", "v", "one", "two")
-    return map_rows(texts, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())])).distinct()
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 4) -> DataFrame:
+    sets = shingle_sets(docs, nodes, shingle).dropDuplicates(["node", "hashes"])
+    each = sets.select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    held = salted(each, each.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "key", "node")
+    listed = held.groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("holders", "key"))).alias("x"))
+    places = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1 - (F.col("size") - F.size("x"))
+    return listed.where(places > 0).select("node", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("x")).select("x.key", "node").distinct()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 64, key_bits: int = 64) -> DataFrame:
     """(node, root) of each document that is near another: root is the smallest doc_id of its group.
 
-    Documents are near if their sets of shingles have a Jaccard similarity of ``similarity`` or more, which is
-    checked exactly for candidates: those that share a sample of bits. A pair at 0.8 shares one with
-    probability 0.98, one at 0.85 with 0.999. The bands are taken in rounds, first with the hubs of each sample,
-    between which groups are joined, so a large group of copies makes few pairs; then all pairs of documents that
-    share a sample and aren't in one group yet are compared.
+    Documents are near if their sets of shingles have a Jaccard similarity of ``similarity`` or more. Equal sets are joined first, by
+    a digest, and one document of each goes on. Candidates, compared exactly, are then SimHash fingerprints within 2 bits, by the grid of segment
+    counts; documents that share a band of least values with the smallest that has it, where a pair at 0.8 shares one with
+    probability 0.998, a pair at 0.85 with 0.9999; and, as those stars leave out pairs, all documents that share a band and aren't in one
+    group yet. In a band with more than ``crowd`` documents outside its main group the last are compared by their rarest
+    shingles instead, which loses no pair and makes none of documents that merely share a template.
     """
-    wide, roots = materialise(wide_fingerprints(docs, shingle)), None
-    bands = -(-BANDS // rounds)
-    near = lambda pairs: similar_pairs(pairs, wide, docs, shingle, similarity)
-    held = lambda: roots.select(F.col("root").alias("u"), F.col("node").alias("v"))
-    for first in range(0, BANDS, bands):
-        links = near(hub_pairs(placed(wide, roots, first, bands)))
-        roots = materialise(components(links if roots is None else links.unionByName(held())))
-    for first in range(0, BANDS, bands):
-        links = near(cross_pairs(placed(wide, roots, first, bands)))
-        roots = materialise(components(links.unionByName(held())))
-    return roots
+    found = materialise(sketches(docs, shingle, key_bits))
+    sets = materialise(found.groupBy("whole").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    equal = salted(found, sets.where("n > 1").select("whole", F.col("node").alias("rep")), "whole", "node").where("rep < node").select("node", "rep")
+    distinct = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    starred = stars(sets.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), "node").distinct())
+    compared = materialise(links(distinct).unionByName(starred.select("u", "v")).distinct())
+    near = materialise(similar_pairs(compared, docs, shingle, similarity))
+    roots = materialise(components(near))
+    placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
+    shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
+    mixed = materialise(mixed_keys(shared))
+    rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd))
+    crowded = mixed.where(F.col("minor") > crowd).select("key")
+    if not crowded.isEmpty():
+        members = materialise(salted(shared, crowded, "key", "node").select("node").distinct())
+        visits = placed(rare_visits(members, docs, shingle, similarity))
+        rest = rest.unionByName(minor_pairs(visits, materialise(mixed_keys(visits)))).distinct()
+    rest = similar_pairs(rest.join(compared, ["u", "v"], "left_anti"), docs, shingle, similarity)
+    every = components(near.unionByName(rest))
+    below = equal.join(every.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+    return every.unionByName(below)
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the smallest doc_id of each of the ``similar_groups``, in the columns of ``docs``.
 
-    Rows without a doc_id and texts without a word stay. Rows that share a doc_id stay or go together.
+    Rows without a doc_id and texts without a word stay. Rows that share a doc_id stay or go together. Very long texts are
+    read in slices. An empty table stays empty.
     """
-    gone = similar_groups(docs, shingle, similarity).select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = materialise(similar_groups(docs, shingle, similarity).select(F.col("node").alias("__gone")).distinct())
+    return docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def op8_segment_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, fingerprint, component_id; see ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
