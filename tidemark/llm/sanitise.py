@@ -1,26 +1,32 @@
 """Personal data and the terms that give it away (operator 2).
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct
-value is a protected entity. Terms (words) near its mentions are compared with the whole corpus: the
-pointwise mutual information of term and entity, as a share of the entity's own information
-content, is the term's disclosure, 1 where knowing the term is knowing the entity. A term above
-the threshold is generalised to its word stem class (``abc*``) where that class discloses less than
-the threshold, and removed otherwise. Estimates need a minimum of documents in which term and entity
-meet, since a word seen once discloses everything it stands beside.
+value is a protected entity. Every word of a document with an entity meets that entity, however far
+apart they stand. Over the whole corpus, the pointwise mutual information of term and entity, as a
+share of the entity's own information content, is the term's disclosure, 1 where knowing the term is
+knowing the entity. A term at the threshold or above is generalised to its word stem class (``abc*``)
+where that class discloses less, and removed otherwise, wherever it occurs, also in documents
+without the entity. Estimates need a minimum of documents in which term and entity meet, since a
+word seen once discloses everything it stands beside.
+
+The first scan lists the words of documents with entities only. A term in t of N documents that meets
+an entity of e documents in j of them reaches the threshold only if j / t >= (e / N)^(1 - threshold), and the
+documents with entities bound t from below, so common words fall out before they are paired. The second scan finds
+what is left in all documents.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, rows, slices, table
+from tidemark.llm.common import map_rows, materialise, rows, slices, small, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,14 +39,16 @@ STEM = 3
 
 Span = tuple[str, int, int]
 _MENTION = "struct<kind:string,start:long,end:long,entity:string>"
-_TERM_AT = "struct<entity:string,term:string,start:long,end:long>"
-SCAN_DDL = f"doc_id long, row long, mentions array<{_MENTION}>, near array<{_TERM_AT}>"
+_SPAN = "struct<start:long,end:long>"
+SCAN_DDL = f"doc_id long, text_key long, mentions array<{_MENTION}>, terms array<string>"
+FOUND_DDL = f"doc_id long, text_key long, term string, n long, at array<{_SPAN}>"
 _L, _S = pa.int64(), pa.string()
 SCAN = pa.schema([
-    ("doc_id", _L), ("row", _L),
+    ("doc_id", _L), ("text_key", _L),
     ("mentions", pa.list_(pa.struct([("kind", _S), ("start", _L), ("end", _L), ("entity", _S)]))),
-    ("near", pa.list_(pa.struct([("entity", _S), ("term", _S), ("start", _L), ("end", _L)]))),
+    ("terms", pa.list_(_S)),
 ])
+FOUND = pa.schema([("doc_id", _L), ("text_key", _L), ("term", _S), ("n", _L), ("at", pa.list_(pa.struct([("start", _L), ("end", _L)])))])
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -96,125 +104,151 @@ def _edges(spans: list[Span]) -> list[int]:
     return out
 
 
-def near_terms(text: str, spans: list[Span], reach: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the ``reach`` words before and after each span, without those in a span."""
-    out, edges = [], _edges(spans)
-    for kind, start, end in spans:
-        name = _entity(kind, text[start:end])
-        # Words are short, but a word may be as long as the text: widen until there are enough.
-        size = 16 * reach
-        while True:
-            low = max(0, start - size)
-            before = [m.span() for m in _TERM.finditer(text, low, start)]
-            if low == 0 or len(before) > reach or size > 1 << 16:
-                break
-            size *= 4
-        if low and before:
-            before = before[1:]  # it may begin before low
-        after = []
-        for m in _TERM.finditer(text, end):
-            after.append(m.span())
-            if len(after) == reach:
-                break
-        for a, b in before[-reach:] + after:
+def words(text: str, edges: list[int]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of the words of two letters and more, in lower case, without those that touch a span. Long texts are read in slices."""
+    at = 0
+    for part in slices(text):
+        for m in _TERM.finditer(part):
+            a, b = at + m.start(), at + m.end()
             # Inside a span or over one, if an odd number of edges lie before either end, or any between.
-            if b - a > 1 and (at := bisect_right(edges, a)) % 2 == 0 and bisect_left(edges, b) == at:
-                out.append((name, text[a:b].lower(), a, b))
-    return out
+            if b - a > 1 and (not edges or (k := bisect_right(edges, a)) % 2 == 0 and bisect_left(edges, b) == k):
+                yield m[0].lower(), a, b
+        at += len(part)
 
 
-def scan(docs: DataFrame, reach: int = 8) -> DataFrame:
-    """doc_id, row, mentions and near terms of each row; row numbers the rows of this scan."""
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, mentions and, of texts with mentions, the distinct words of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
-            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 spans = base_spans(text or "")
                 mentions = [{"kind": k, "start": a, "end": b, "entity": _entity(k, text[a:b])} for k, a, b in spans]
-                near = [dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(text, spans, reach)] if spans else []
-                yield doc_id, row, mentions, near
-
-    return map_rows(docs.select(docs["doc_id"].cast("long"), F.monotonically_increasing_id(), docs["text"].cast("string")), run, SCAN_DDL, SCAN)
+                yield doc_id, key, mentions, sorted({w for w, *_ in words(text, _edges(spans))}) if spans else []
 
+    return map_rows(docs.select(docs["doc_id"].cast("long"), text_key(docs["text"]), docs["text"].cast("string")), run, SCAN_DDL, SCAN)
 
-def term_frequencies(docs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(term, n): in how many documents a term or stem class occurs, over all documents. Tasks add up before the shuffle."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: Counter = Counter()
-        for batch in rows(batches):
-            for text in batch.column(0).to_pylist():
-                words: set[str] = set()
-                for part in slices(text or ""):
-                    words.update(_TERM.findall(part.lower()))
-                held.update(words)
-                held.update({w[:STEM] + "*" for w in words})
-            if len(held) > most:
-                yield from held.items()
-                held.clear()
-        yield from held.items()
 
-    return map_rows(docs.select(docs["text"].cast("string")), run, "term string, n long", schema).groupBy("term").agg(F.sum("n").alias("n"))
+def _stem(term):
+    return F.concat(F.substring(term, 1, STEM), F.lit("*"))
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
-    """(entity, term, disclosure, action): terms whose disclosure of an entity is ``threshold`` or more.
+def occurrences(docs: DataFrame, terms: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(doc_id, text_key, term, n, at) of each row and word of ``terms``; and of the stem classes of ``terms`` in how many rows they occur, as (term, n) alone.
 
-    Documents are the unit of counting. ``support`` is the least number of documents in which term
-    and entity meet. An entity in every document has no information and is disclosed by nothing.
+    ``terms`` (written, distinct) goes to the tasks as a set if it has ``most`` rows at most; otherwise every word is listed and joined.
     """
-    total = scanned.count()
-    entities = scanned.select("row", F.explode(F.array_distinct("mentions.entity")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    stem = F.concat(F.substring("term", 1, STEM), F.lit("*"))
-    near = scanned.select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term")
-    classes = near.select("row", "entity", stem.alias("term"))
-    joint = near.unionByName(classes).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support)
-    counted = joint.join(entities, "entity").join(term_frequencies(docs), "term")
-    ic = F.log(F.lit(float(max(1, total))) / F.col("n_entity"))
-    pmi = F.log(F.lit(float(max(1, total))) * F.col("n_joint") / (F.col("n_entity") * F.col("n")))
+    listed = terms.limit(most + 1).count() <= most
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()) if listed else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        wanted, classes = shared.value, Counter()
+        stems = None if wanted is None else {t[:STEM] for t in wanted}
+        for batch in rows(batches):
+            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text or ""
+                found = {w for part in slices(text) for w in _TERM.findall(part.lower())}
+                if stems is not None and not any(w[:STEM] in stems for w in found):
+                    continue
+                if wanted is None or not wanted.isdisjoint(found) or "@" in text or any(c in text for c in "0123456789"):
+                    at: dict[str, list] = defaultdict(list)
+                    for w, a, b in words(text, _edges(base_spans(text))):
+                        at[w].append({"start": a, "end": b})
+                    found = set(at)
+                    for w in at if wanted is None else wanted.intersection(at):
+                        yield doc_id, key, w, 1, at[w]
+                else:
+                    found = {w for w in found if len(w) > 1}
+                classes.update({w[:STEM] for w in found if stems is None or w[:STEM] in stems})
+            if len(classes) > most:
+                yield from ((None, None, c + "*", n, None) for c, n in classes.items())
+                classes.clear()
+        yield from ((None, None, c + "*", n, None) for c, n in classes.items())
+
+    found = map_rows(docs.select(docs["doc_id"].cast("long"), text_key(docs["text"]), docs["text"].cast("string")), run, FOUND_DDL, FOUND)
+    if listed:
+        return found
+    either = terms.unionByName(terms.select(_stem("term").alias("term"))).distinct()
+    return found.join(either, "term", "left_semi")
+
+
+def joint_terms(scanned: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(entity, n_entity, term, n_joint) of pairs that meet in ``support`` rows and may reach the threshold, and of the stem classes of their terms."""
+    total = float(max(1, scanned.count()))
+    holding = scanned.where(F.size("mentions") > 0).select(F.array_distinct("mentions.entity").alias("entities"), "terms")
+    entities = materialise(holding.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support))
+    largest = entities.agg(F.max("n_entity")).first()[0] or 0
+    most = lambda e: e * F.pow(F.lit(total) / e, F.lit(1 - threshold)) + F.lit(1e-9)
+    # Words in more rows than the most frequent entity allows drop out here, so no common word is a hot key below.
+    seen = holding.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_seen"))
+    seen = materialise(seen.where((F.col("n_seen") >= support) & (F.col("n_seen") <= most(F.lit(float(max(1, largest)))))))
+    by_entity = holding.select(F.explode("entities").alias("entity"), "terms").join(small(entities), "entity")
+    pairs = by_entity.select("entity", "n_entity", F.explode("terms").alias("term")).join(small(seen), "term").where(F.col("n_seen") <= most(F.col("n_entity")))
+    joint = materialise(pairs.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_joint")).where(F.col("n_joint") >= support))
+    of_class = joint.select("entity", _stem("term").alias("term")).distinct()
+    classes = by_entity.select("entity", "n_entity", F.explode(F.array_distinct(F.transform("terms", _stem))).alias("term")).join(of_class, ["entity", "term"])
+    return materialise(joint.unionByName(classes.groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))))
+
+
+def disclosing_terms(scanned: DataFrame, joint: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(entity, term, disclosure, action): terms whose disclosure of an entity is ``threshold`` or more. An entity in every row has no information and is disclosed by nothing."""
+    total = F.lit(float(max(1, scanned.count())))
+    counted = joint.join(found.groupBy("term").agg(F.sum("n").alias("n")), "term")
+    ic = F.log(total / F.col("n_entity"))
+    pmi = F.log(total * F.col("n_joint") / (F.col("n_entity") * F.col("n")))
     shown = materialise(counted.select("entity", "term", F.when(ic > 0, pmi / F.when(ic > 0, ic)).otherwise(0.0).alias("disclosure")))
     by_class = shown.where(F.col("term").endswith("*")).select("entity", F.col("term").alias("stem"), F.col("disclosure").alias("class_disclosure"))
-    terms = shown.where(~F.col("term").endswith("*") & (F.col("disclosure") >= threshold)).withColumn("stem", stem)
+    terms = shown.where(~F.col("term").endswith("*") & (F.col("disclosure") >= threshold)).withColumn("stem", _stem("term"))
     safe = F.coalesce(F.col("class_disclosure") < threshold, F.lit(False))
     return terms.join(by_class, ["entity", "stem"], "left").select("entity", "term", "disclosure", F.when(safe, "generalise").otherwise("remove").alias("action"))
 
 
-def find_private(docs: DataFrame, reach: int = 8, threshold: float = 0.9, support: int = 3) -> DataFrame:
+def private_terms(docs: DataFrame, scanned: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(doc_id, text_key, terms): the spans and actions of the disclosing terms of each text that has any, written."""
+    joint = joint_terms(scanned, threshold, support)
+    found = materialise(occurrences(docs, materialise(joint.where(~F.col("term").endswith("*")).select("term").distinct())))
+    actions = materialise(disclosing_terms(scanned, joint, found, threshold).groupBy("term").agg(F.max("action").alias("action")))  # remove wins over generalise
+    at = found.where(F.col("at").isNotNull()).join(small(actions), "term").select("doc_id", "text_key", "action", F.explode("at").alias("x"))
+    spans = F.array_sort(F.collect_set(F.struct("x.start", "x.end", "action")))  # rows that repeat doc_id and text have one answer
+    return materialise(at.groupBy("doc_id", "text_key").agg(spans.alias("terms")))
+
+
+_NO_TERMS = "array<struct<start:long,end:long,action:string>>"
+
+
+def with_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
+    """``left`` (doc_id, text_key, ...) with its terms, an empty array where there are none."""
+    named = small(terms.withColumnsRenamed({"doc_id": "__of_id", "text_key": "__of_text"}))
+    same = left["doc_id"].eqNullSafe(F.col("__of_id")) & left["text_key"].eqNullSafe(F.col("__of_text"))
+    return left.join(named, same, "left").drop("__of_id", "__of_text").withColumn("terms", F.coalesce("terms", F.array().cast(_NO_TERMS)))
+
+
+def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, mentions, terms (start, end, action).
 
-    A null text counts as empty and has no spans. Repeated rows each count as a document. An empty
-    table gives no rows; other columns are ignored.
+    A null text counts as empty and has no spans. Repeated rows each count as a document and get one answer. Very long
+    texts are read in slices. An empty table gives no rows; other columns are ignored.
     """
-    scanned = materialise(scan(docs, reach))
-    flagged = disclosing_terms(docs, scanned, threshold, support)
-    at = scanned.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    found = at.join(flagged, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))  # remove wins over generalise
-    terms = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    none = F.array().cast("array<struct<start:long,end:long,action:string>>")
-    return scanned.join(terms, "row", "left").select("doc_id", "mentions", F.coalesce("terms", none).alias("terms"))
+    scanned = materialise(scan(docs))
+    return with_terms(scanned.drop("terms"), private_terms(docs, scanned, threshold, support)).select("doc_id", "mentions", "terms")
 
 
-def sanitise(docs: DataFrame, reach: int = 8, threshold: float = 0.9, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id and text, base spans replaced by their kind in brackets, terms generalised or removed.
 
-    A null text stays null. Rows of one doc_id and text get one answer and are all returned.
+    A null text stays null. Each row gets the answer of its own doc_id and text, nulls and repeated ids included. An
+    empty table gives no rows; other columns are ignored.
     """
-    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    found = find_private(keyed, reach, threshold, support)
-    # The scan gives answers by row; equal rows have equal answers, so doc_id and a mention list of a text are key enough.
-    once = found.groupBy("doc_id").agg(F.collect_set(F.struct("mentions", "terms")).alias("answers"))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs["text"]).alias("text_key"), docs["text"].cast("string").alias("text"))
+    terms = private_terms(keyed, materialise(scan(keyed)), threshold, support)
     ddl, schema = "doc_id long, text string", pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
-            for doc_id, text, answers in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = base_spans(text or "")
-                terms = next((a["terms"] for a in answers if [(m["kind"], m["start"], m["end"]) for m in a["mentions"]] == spans), [])
-                yield doc_id, None if text is None else rewritten(text, spans, [(t["start"], t["end"], t["action"]) for t in terms])
+            for doc_id, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+                yield doc_id, None if text is None else rewritten(text, base_spans(text), [(t["start"], t["end"], t["action"]) for t in found])
 
-    joined = keyed.join(once.withColumnRenamed("doc_id", "__id"), keyed["doc_id"].eqNullSafe(F.col("__id"))).select("doc_id", "text", "answers")
-    return map_rows(joined, run, ddl, schema)
+    return map_rows(with_terms(keyed, terms).select("doc_id", "text", "terms"), run, ddl, schema)
 
 
 def rewritten(text: str, spans: list[Span], terms: list[tuple[int, int, str]]) -> str:
@@ -239,6 +273,7 @@ def _joined(spans) -> F.Column:
 
 
 def op2_information_theoretic_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, counts of the base kinds, their digest, all spans, n_term; see ``find_private``."""
     found = find_private(table(spark, sf_dir, "documents"))
     span = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
     base = F.transform("mentions", lambda m: span(m["kind"], m))
