@@ -95,6 +95,29 @@ def test_level_choice_minimises_the_sum_of_squares():
             counts[level + s] += 1
 
 
+def test_windows_of_documents_that_fit_nowhere():
+    """Documents longer than half a window each open one; the bound holds, every id comes out once, and only powers of two are short."""
+    packer, out = packing.LevelPacker(64, max_open=10), []
+    for i in range(500):
+        out += packer.add(packing.Piece(i, 0, memoryview(bytes(4 * (33 + i % 5))), 0))
+        assert packer.n_open <= 10 and packer.n_open == sum(map(len, packer.open.values()))
+    out += packer.finish()
+    sizes = [sum(map(len, w)) for w in out]
+    assert sum(sizes) == sum(33 + i % 5 for i in range(500)) and all(n == 64 or n & (n - 1) == 0 for n in sizes) and len([n for n in sizes if n < 64]) <= 6
+
+
+def test_very_long_documents_are_cut_in_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        list(packing.LevelPacker(4096).add(packing.Piece(0, 0, memoryview(bytes(4 * n)), n)))
+        return time.perf_counter() - start
+
+    seconds(1 << 20)
+    assert seconds(1 << 25) < 1.0
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
@@ -384,10 +407,23 @@ def test_hits(spark, odd, most_chars):
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontamination.contamination(docs, benchmark, most_chars=most_chars).collect()}
     assert got == {r["doc_id"]: brute_hits(r["text"], items) for r in docs.collect()}
     dirty = {i for i, x in got.items() if x[1]}
-    kept = decontamination.drop_contaminated(docs, benchmark)
+    kept = decontamination.drop_contaminated(docs, benchmark, most_chars=most_chars)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(got) - dirty
 
 
+def test_more_words_than_characters():
+    """With an alphabet of 8 symbols, words take two; hits and items are the same."""
+    rng, vocabulary = np.random.default_rng(14), [f"w{i}" for i in range(15)]
+    for _ in range(200):
+        items = [(str(i), " ".join(rng.choice(vocabulary, int(rng.integers(1, 7))))) for i in range(4)]
+        text = " ".join(rng.choice(vocabulary, 60))
+        small, large = (decontamination.Automaton(items, 3, symbols) for symbols in (8, 1000))
+        assert large.width == 1 and small.scan(text) == large.scan(text) and small.scan("") == (0, [], set())
+        n, runs, ids = small.scan(text)
+        assert (n, sum(b - a for a, b in runs), sorted(ids)) == brute_hits(text, items, 3)
+    assert small.width == 2
+
+
 def test_hits_map_to_characters():
     text = "Ünder: One, two -- THREE."
     assert [text[a:b] for a, b in decontamination.hit_characters(text, [(1, 3)])] == ["One, two"]

@@ -1,9 +1,10 @@
 """Benchmark decontamination by one Aho-Corasick automaton (operator 7).
 
 Items are normalised to words; each run of ``window`` consecutive item words (or a shorter item as a
-whole) is a pattern. Words of the items become symbols, one character each, all other words share
-one more, so a document becomes a short string in which position k is its k-th word. One scan finds
-every occurrence of every pattern; word k maps back to its characters in the original text.
+whole) is a pattern. Words of the items become symbols, all other words share one more, so a document
+becomes a short string in which position k is its k-th word. One scan finds every occurrence of every
+pattern; word k maps back to its characters in the original text. A symbol is one character, or two of different
+alphabets if there are more words than characters.
 """
 
 from __future__ import annotations
@@ -43,34 +44,39 @@ def flat(text: str | None) -> bytes:
 class Automaton:
     """All windows of some items. ``items``: (item_id or None, text)."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int, symbols: int = 0x110000 - _FIRST):
         import ahocorasick
 
-        self.symbol: dict[bytes, str] = {}
+        words = {w: None for _, text in items for w in flat(text).split()}
+        self.width = 1 if len(words) < symbols else 2
+        half = symbols // 2
+        make = (lambda n: chr(_FIRST + n)) if self.width == 1 else (lambda n: chr(_FIRST + n // half) + chr(_FIRST + half + n % half))
+        self.symbol = {w: make(n) for n, w in enumerate(words)}
         owners: dict[str, set[str]] = defaultdict(set)
         for item_id, text in items:
-            line = "".join(self.symbol.setdefault(w, chr(_FIRST + len(self.symbol))) for w in flat(text).split())
+            line = [self.symbol[w] for w in flat(text).split()]
             for at in range(max(1, len(line) - window + 1) if line else 0):
-                owners[line[at : at + window]] |= {item_id} - {None}
+                owners["".join(line[at : at + window])] |= {item_id} - {None}
         self.machine = ahocorasick.Automaton()
         for pattern, ids in owners.items():
-            self.machine.add_word(pattern, (len(pattern), tuple(ids)))
+            self.machine.add_word(pattern, (len(pattern) // self.width, tuple(ids)))
         self.empty = not owners
         if owners:
             self.machine.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """How many words there are, the merged runs [first, last) of hit ones, and the item_ids."""
-        symbol, parts = self.symbol.get, []
+        symbol, none, width, parts = self.symbol.get, "\0" * self.width, self.width, []
         for part in slices(flat(text)):
-            parts.append("".join([symbol(w, "\0") for w in part.split()]))
+            parts.append("".join([symbol(w, none) for w in part.split()]))
         line = "".join(parts)
         runs, ids = [], set()
         if line and not self.empty:
             for last, (n, owners) in self.machine.iter(line):
-                runs.append((last + 1 - n, last + 1))
+                end = (last + 1) // width
+                runs.append((end - n, end))
                 ids.update(owners)
-        return len(line), merged(runs), ids
+        return len(line) // width, merged(runs), ids
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,28 +97,32 @@ def automaton(items: list[tuple], window: int, key: str) -> Automaton:
     return _AUTOMATA[key]
 
 
-def _item_parts(benchmark: DataFrame, most_chars: int) -> list[list[tuple]]:
-    """The items in parts of at most ``most_chars`` characters (an item is never cut).
+def _item_parts(benchmark: DataFrame, most_chars: int) -> Iterator[list[tuple]]:
+    """The items in parts of at most ``most_chars`` characters (an item is never cut), read one at a time.
 
-    The size is checked before anything reaches the driver; only one part is held at a time by the
-    executors, and a benchmark above the bound is scanned for in several passes.
+    The size is checked before anything reaches the driver, which holds one part at a time.
     """
     chars = F.coalesce(F.length("text"), F.lit(0))
     n, total = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
     parts = max(1, -(-(total + 64 * n) // most_chars))
     dealt = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    if parts == 1:
-        return [[tuple(r) for r in dealt.collect()]]
-    part = F.pmod(F.xxhash64("text"), F.lit(parts))
-    return [[tuple(r) for r in dealt.where(part == k).collect()] for k in range(parts)]
+    part = F.pmod(F.xxhash64("text", "item_id"), F.lit(parts))
+    for k in range(parts):
+        yield [tuple(r) for r in (dealt.where(part == k) if parts > 1 else dealt).collect()]
 
 
-def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+def _shared(docs: DataFrame, items: list[tuple], window: int):
+    """A function that gives a task the automaton of the items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     key = hashlib.sha256(repr((items, window)).encode("utf-8", "surrogatepass")).hexdigest()
+    return lambda: automaton(shared.value, window, key)
+
+
+def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+    machine_of = _shared(docs, items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        machine = automaton(shared.value, window, key)
+        machine = machine_of()
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n, runs, ids = machine.scan(text)
@@ -127,17 +137,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     ``most_chars`` bounds the items that one automaton holds; a larger benchmark takes one scan for
     each part, whose runs are then merged by row. A null text has no words; an item without words
     matches nothing; an item with a null item_id hits words but isn't listed; repeated rows and items
-    change nothing else. Empty tables give no rows or no hits; other columns are ignored.
+    change nothing else. Very long texts are split into words in slices. Empty tables give no rows or no hits; other columns are ignored.
     """
     parts = _item_parts(benchmark, most_chars)
-    found = _scan(docs, parts[0], window)
-    if len(parts) > 1:
+    items, more = next(parts), next(parts, None)
+    if more is None:
+        found = _scan(docs, items, window)
+    else:
         # Written once: numbers must not change from scan to scan, whatever stands above ``docs``.
         numbered = materialise(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
-        scans = [_scan(numbered.select(F.col("row").alias("doc_id"), "text"), p, window) for p in parts]
-        every = scans[0]
-        for s in scans[1:]:
-            every = every.unionByName(s)
+        scan = lambda part: materialise(_scan(numbered.select(F.col("row").alias("doc_id"), "text"), part, window))
+        every = scan(items).unionByName(scan(more))
+        for part in parts:
+            every = every.unionByName(scan(part))
         gathered = every.withColumnRenamed("doc_id", "row").groupBy("row").agg(
             F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hits"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )
@@ -154,17 +166,17 @@ def hit_characters(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window, in the columns of ``docs``; texts are not shuffled."""
-    text = "text"
-    parts = _item_parts(benchmark, 16_000_000)
-    kept, at = docs, docs.columns.index(text)
-    for items in parts:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        key = hashlib.sha256(repr((items, window)).encode("utf-8", "surrogatepass")).hexdigest()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: int = 16_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window, in the columns of ``docs``; texts are not shuffled.
+
+    Null and empty texts, repeated rows and rows of one doc_id are each judged by their own text and stay where it is clean. An empty
+    table stays empty; with an empty benchmark every row stays.
+    """
+    kept, at = docs, docs.columns.index("text")
+    for items in _item_parts(benchmark, most_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
-            machine = automaton(shared.value, window, key)
+        def run(batches: Iterator[pa.RecordBatch], machine_of=_shared(docs, items, window)) -> Iterator[pa.RecordBatch]:
+            machine = machine_of()
             for batch in rows(batches):
                 clean = [not machine.scan(t)[1] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(np.array(clean, bool)))
@@ -174,6 +186,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
 
 
 def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see ``contamination``."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 

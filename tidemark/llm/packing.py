@@ -4,8 +4,10 @@ Every task packs the documents of its own scan partition, so the corpus is never
 array holds N(h), the number of open windows filled to level h. A document tail of s tokens goes to
 the level h that makes the sum of the squared N smallest after the move, a new window being h = 0
 and a full window counting nothing. Whole windows of a long document leave at once. At the end of
-the task, or when ``max_open`` windows are open, the open windows are merged by cutting the emptiest
-into the gaps of the fullest; the single rest is cut at powers of two, which need no padding.
+the task the open windows are merged by cutting the emptiest into the gaps of the fullest; the single
+rest is cut at powers of two, which need no padding. Documents that all are a little longer than half a
+window fit nowhere and would open a window each: beyond ``max_open`` the fullest and the emptiest are merged
+in the same way until half are left, which bounds what a task holds.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ WIDTH = 4  # bytes of an id
 class Piece:
     __slots__ = ("doc_id", "start", "ids", "doc_tokens")
 
-    def __init__(self, doc_id: int | None, start: int, ids: bytes, doc_tokens: int):
+    def __init__(self, doc_id: int | None, start: int, ids: bytes | memoryview, doc_tokens: int):
+        # A view is cut without a copy, so cutting a very long document takes time in proportion to its length.
         self.doc_id, self.start, self.ids, self.doc_tokens = doc_id, start, ids, doc_tokens
 
     def __len__(self) -> int:
@@ -42,7 +45,7 @@ class Piece:
 class LevelPacker:
     """Packs pieces online; ``add`` and ``finish`` yield closed windows, each a list of pieces."""
 
-    def __init__(self, capacity: int, max_open: int = 1024):
+    def __init__(self, capacity: int, max_open: int = 8192):
         self.capacity, self.max_open, self.n_open = capacity, max_open, 0
         self.count = np.zeros(capacity + 1)
         self.count[capacity] = -0.5  # a full window adds nothing to the sum; half of the difference is compared
@@ -73,7 +76,7 @@ class LevelPacker:
         n[level + s] += 1
         self.open.setdefault(level + s, []).append(window)
         if self.n_open > self.max_open:
-            yield from self._merge()
+            yield from self._merge(max(1, self.max_open // 2))
 
     def _best(self, s: int) -> int:
         """The level to fill: smallest change of the sum of squares, the fullest of equals; 0 opens a window."""
@@ -83,13 +86,13 @@ class LevelPacker:
         best = int(np.argmin(change)) if change.size else 0
         return self.capacity - s - best if change.size and change[best] <= n[s] + 0.5 else 0
 
-    def _merge(self) -> Iterator[list[Piece]]:
-        """Cut the emptiest windows into the gaps of the fullest until one open window is left."""
+    def _merge(self, keep: int) -> Iterator[list[Piece]]:
+        """Cut the emptiest windows into the gaps of the fullest until ``keep`` open windows are left."""
         windows = [(level, w) for level in sorted(self.open, reverse=True) for w in self.open[level]]
         self.open, self.n_open = {}, 0
         self.count[: self.capacity] = 0
         first, last = 0, len(windows) - 1
-        while first < last:
+        while last - first >= keep:
             level, window = windows[first]
             gap, (low, source) = self.capacity - level, windows[last]
             piece = source.pop()
@@ -103,13 +106,13 @@ class LevelPacker:
                 first += 1
             if not source:
                 last -= 1
-        if first == last:
-            level, window = windows[first]
+        for level, window in windows[first : last + 1]:
             self.count[level] += 1
-            self.open[level], self.n_open = [window], 1
+            self.open.setdefault(level, []).append(window)
+            self.n_open += 1
 
     def finish(self) -> Iterator[list[Piece]]:
-        yield from self._merge()
+        yield from self._merge(1)
         for level, (window,) in self.open.items():
             queue = window[::-1]
             while level:
@@ -127,12 +130,12 @@ class LevelPacker:
         self.open, self.n_open = {}, 0
 
 
-def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 4096, max_open: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 4096, max_open: int = 8192) -> DataFrame:
     """One row for each piece, its ids included (little-endian unsigned 32-bit).
 
     ``tokenizer`` is the path of a tokenizer file on the executors. A null or empty text is the
     separator alone. A null doc_id is packed like any other and stays null; repeated rows are packed
-    as often as they occur; an empty table gives no rows; other columns are ignored. sequence_id is
+    as often as they occur; very long texts are encoded in slices and cut without copies; an empty table gives no rows; other columns are ignored. sequence_id is
     unique over the result: the partition in the upper bits, a counter below.
     """
 
@@ -145,20 +148,21 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 40
             for window in windows:
                 offset = 0
                 for p in window:
-                    yield p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset, p.ids
+                    yield p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset, bytes(p.ids)
                     offset += len(p)
                 number += 1
 
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encode(text or "") + end
-                yield from made(packer.add(Piece(doc_id, 0, ids, len(ids) // WIDTH)))
+                yield from made(packer.add(Piece(doc_id, 0, memoryview(ids), len(ids) // WIDTH)))
         yield from made(packer.finish())
 
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, DDL, SCHEMA)
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of ``documents``; see ``pack``."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")

@@ -21,16 +21,19 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """``encode(text)`` gives the text's ids as little-endian ``dtype`` bytes."""
+    """``encode(text)`` gives the text's ids as little-endian ``dtype`` bytes.
 
-    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 500_000, slice_chars: int = 1 << 18):
+    Of the chunks met, ``most`` are remembered, none longer than ``longest``. A long text is encoded in slices; a chunk is never cut.
+    """
+
+    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 500_000, slice_chars: int = 1 << 18, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.kind = {"<u4": "I", "<u2": "H"}[dtype]
-        self.most, self.slice_chars, self.known = most, slice_chars, {}
+        self.most, self.slice_chars, self.longest, self.known = most, slice_chars, longest, {}
 
     def encode(self, text: str) -> bytes:
         if len(text) <= self.slice_chars:
@@ -51,7 +54,11 @@ class ChunkEncoder:
         new = [c for c in dict.fromkeys(chunks) if c not in known]
         if new:
             self._learn(new)
-        return b"".join(map(known.__getitem__, chunks))
+        ids = b"".join(map(known.__getitem__, chunks))
+        for c in new:
+            if len(c) > self.longest:  # most are met once, and one may be as long as the text
+                del known[c]
+        return ids
 
     def _learn(self, chunks: list[str]) -> None:
         """Latin letters, and marks behind them, are one word each for the model; any other chunk takes the whole tokenizer."""
