@@ -11,16 +11,16 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import shared_folder, table
 from tidemark.llm.decontamination import drop_contaminated
 from tidemark.llm.exact_dedup import drop_repeats
 from tidemark.llm.importance import drop_rejected
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import drop_near_duplicates
+from tidemark.session import remove, scratch, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample keeps (operator 3)."""
+    """Documents that the importance sample takes (operator 3)."""
     return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,7 +30,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (operator 8, on five-word shingles)."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 (operator 8)."""
     return drop_near_duplicates(docs)
 
 
@@ -56,13 +56,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written to the shared folder and read again. What a stage has read, and its own tables, are removed when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = f"{folder}/{number}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
