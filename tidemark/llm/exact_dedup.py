@@ -139,7 +139,7 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
     return _sharded(_groups(history), shards).groupBy("shard").applyInArrow(_build, INDEX)
 
 
-def exact_groups(new: DataFrame, history: DataFrame, per_shard: int = 100_000) -> DataFrame:
+def exact_groups(new: DataFrame, history: DataFrame, per_shard: int = 50_000) -> DataFrame:
     """Groups of equal documents over both inputs of (doc_id, digest) rows.
 
     One row for each distinct digest: keep_id is the smallest doc_id, keep_rows how many rows carry

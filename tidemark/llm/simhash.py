@@ -318,9 +318,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
 
     Documents are near if their sets of shingles have a Jaccard similarity of ``similarity`` or more. Equal sets are joined first, by
     a digest, and one document of each goes on. Candidates, compared exactly, are then SimHash fingerprints within 2 bits, by the grid of segment
-    counts; documents that share a band of least values with the smallest that has it, where a pair at 0.8 shares one with
-    probability 0.998, a pair at 0.85 with 0.9999; and, as those stars leave out pairs, all documents that share a band and aren't in one
-    group yet. In a band with more than ``crowd`` documents outside its main group the last are compared by their rarest
+    counts, and documents that share a band of least values with the smallest that has it, where a pair at 0.8 shares one with
+    probability 0.998, a pair at 0.85 with 0.9999: first each with the one it shares most with, and then all that share a band or are linked
+    and aren't in one group yet. In a band with more than ``crowd`` documents outside its main group the last are compared by their rarest
     shingles instead, which loses no pair and makes none of documents that merely share a template.
     """
     found = materialise(sketches(docs, shingle, key_bits))
@@ -328,13 +328,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     equal = salted(found, sets.where("n > 1").select("whole", F.col("node").alias("rep")), "whole", "node").where("rep < node").select("node", "rep")
     distinct = sets.groupBy("fp").agg(F.min("node").alias("node"))
     starred = stars(sets.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), "node").distinct())
-    compared = materialise(links(distinct).unionByName(starred.select("u", "v")).distinct())
+    linked = materialise(links(distinct))
+    # Most often a document is near the one with which it shares most; pairs whose ends are in one group by then needn't be compared.
+    often = linked.unionByName(starred.select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    compared = materialise(often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"))
     near = materialise(similar_pairs(compared, docs, shingle, similarity))
     roots = materialise(components(near))
     placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
     shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
     mixed = materialise(mixed_keys(shared))
-    rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd))
+    apart = linked.join(roots.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "q"}), "v", "left")
+    rest = apart.where("coalesce(r, u) != coalesce(q, v)").select("u", "v").unionByName(minor_pairs(shared, mixed.where(F.col("minor") <= crowd))).distinct()
     crowded = mixed.where(F.col("minor") > crowd).select("key")
     if not crowded.isEmpty():
         members = materialise(salted(shared, crowded, "key", "node").select("node").distinct())

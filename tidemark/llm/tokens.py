@@ -26,7 +26,7 @@ class ChunkEncoder:
     Of the chunks met, ``most`` are remembered, none longer than ``longest``. A long text is encoded in slices; a chunk is never cut.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 500_000, slice_chars: int = 1 << 18, longest: int = 64):
+    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 150_000, slice_chars: int = 1 << 18, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task on each core
         from tokenizers import Tokenizer
 
