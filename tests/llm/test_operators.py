@@ -547,14 +547,80 @@ def test_licences(spark, odd):
     bsd = "Copyright. Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that the following conditions are met:\n"
     lines = dict(licences.SENTENCES)
     full = f"{lines['BSDGrant']}:\n{lines['BSDSource']}.\n{lines['BSDBinary']}.\n"
-    docs = docs_of(spark, ["x. Released under the MIT License. Y", full, full + lines["BSDEndorse"] + ".", bsd, "Licensed under CC BY-NC 4.0.\nAll  rights reserved!", None, "mit license"])
+    docs = docs_of(spark, ["x. Released under the MIT License. Y", full, full + lines["BSDEndorse"] + ".", bsd, "Licensed under CC BY-NC 4.0.\nAll  rights reserved!", None, "mit license", "Some title\nReleased under the MIT License\nby someone"])
     got = [r["licences"] for r in licences.recognise(docs).orderBy("doc_id").collect()]
-    assert got == [["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], [], ["CC-BY-NC-4.0", "Proprietary"], [], []]
+    assert got == [["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["UNKNOWN"], ["CC-BY-NC-4.0", "Proprietary"], [], [], ["MIT"]]
     assert licences.recognise(odd).where(F.size("licences") > 0).count() == 0
     alone = docs_of(spark, [lines["BSDSource"] + "."])
     assert licences.recognise(alone).first()["licences"] == ["UNKNOWN"]
 
 
+# Notices and titles as they stand in files, wrapped; the long ones are wrapped at several widths and behind comment marks.
+WRAPPED = {
+    "MIT": ["MITGrant", "MITNotice", "MITDisclaimer", "MITLiability"],
+    "BSD-2-Clause": ["BSDGrant", "BSDSource", "BSDBinary", "BSDDisclaimer", "BSDLiability"],
+    "BSD-3-Clause": ["BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse", "BSDDisclaimer", "BSDLiability"],
+    "ISC": ["ISCGrant", "ISCDisclaimer"],
+    "0BSD": ["ZeroBSDGrant", "ISCDisclaimer"],
+    "Zlib": ["ZlibAsIs", "ZlibGrant"],
+}
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU {1}General Public License as published by
+the Free Software Foundation{2} either version {3} of the License, or
+(at your option) any later version."""
+NOTICES = {
+    "Apache-2.0": [APACHE, "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"],
+    "GPL-2.0-or-later": [GPL.format(";", "", ";", "2")],
+    "GPL-3.0-or-later": [GPL.format(":", "", ",", "3")],
+    "LGPL-2.1-or-later": [GPL.format(";", "Lesser ", ";", "2.1")],
+    "LGPL-3.0-or-later": [GPL.format(":", "Lesser ", ",", "3")],
+    "AGPL-3.0-or-later": [GPL.format(":", "Affero ", ",", "3")],
+    "GPL-3.0-only": ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright"],
+    "GPL-2.0-only": ["                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright"],
+    "MPL-2.0": ["Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"],
+}
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    forms, texts = dict(licences.SENTENCES), []
+    for licence, ids in WRAPPED.items():
+        for width, mark in ((80, ""), (72, " * "), (60, "# "), (40, "// ")):
+            blocks = [textwrap.wrap(("1. " if i in ("BSDSource", "BSDBinary") else "") + forms[i] + ".", width) for i in ids]
+            lines = ["Copyright (c) 2020 Some One", "", *(x for b in blocks for x in [*b, ""])]
+            texts.append((licence, "\n".join(mark + x for x in lines)))
+            texts.append((licence, "\r\n".join(mark + x for x in lines)))
+    for licence, found in NOTICES.items():
+        for text in found:
+            texts += [(licence, text), (licence, "\n".join("# " + x for x in text.split("\n"))), (licence, "Words before.\n\n" + text + "\n\nWords after.")]
+    got = [r["licences"] for r in licences.recognise(docs_of(spark, [t for _, t in texts])).orderBy("doc_id").collect()]
+    assert got == [[x] for x, _ in texts]
+
+
+def test_licence_sql_on_wrapped_texts(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate([APACHE, *(x for v in NOTICES.values() for x in v), "a. b\nAll rights reserved\nc", "All rights\nreserved.", None, ""])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(con.execute("SELECT doc_id, sentence_ids, licences FROM (" + licences.ORACLE_SQL["op5_sentence_rule_licences"] + ")").fetchall())
+    found = licences.recognise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], ",".join(r["sentence_ids"]), ",".join(r["licences"])) for r in found) == want
+
+
 def test_every_sentence_is_found(spark):
     docs = docs_of(spark, [s + "." for _, s in licences.SENTENCES])
     got = [r["sentence_ids"] for r in licences.recognise(docs).orderBy("doc_id").collect()]

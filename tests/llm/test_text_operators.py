@@ -201,6 +201,45 @@ def test_gradients_match_differences():
             assert abs((up - down) / (2 * step) - grads[key].reshape(-1)[at]) < 2e-3
 
 
+def test_prediction_by_brute_force():
+    """Each byte by its own formulas in windows of 5, forwards and backwards, and the geometric mean over all bytes."""
+    net = language_id.BiGRU(["a", "b", "c"], hidden=3, seed=4)
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(data, d):
+        h, out = np.zeros(3), []
+        for byte in data if d == "f" else data[::-1]:
+            a, b = w["x" + d][byte], h @ w["u" + d]
+            z, r = sigma(a[:3] + b[:3]), sigma(a[3:6] + b[3:6])
+            h = h + z * (np.tanh(a[6:] + r * b[6:]) - h)
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    def brute(text):
+        total = np.zeros(3)
+        for at in range(0, len(text), 5):
+            window = [*text[at : at + 5]] + [language_id.PAD] * max(0, at + 5 - len(text))
+            for k, (f, b) in enumerate(zip(states(window, "f"), states(window, "b"))):
+                if window[k] != language_id.PAD:
+                    x = f @ w["of"] + b @ w["ob"] + w["bias"]
+                    total += x - np.log(np.exp(x).sum())
+        p = np.exp(total / max(1, len(text)))
+        return p / p.sum()
+
+    texts = ["ein Wörtchen und noch eins".encode(), b"a", b"", b"12345", b"abcdefghij" * 7]
+    for at_once in (2, 3, 2048):
+        assert net.predict(texts, 5, at_once) == pytest.approx(np.array([brute(t) for t in texts]), abs=1e-4)
+
+
+def test_sample_is_bounded_and_distinct(spark):
+    rows = [(i % 7, f"text number {i % 90}", ["aa", "bb"][i % 2], "s", 0) for i in range(1000)] + [(5, None, "aa", "s", 0), (None, "no id", "bb", "s", 0)]
+    labels, symbols, truth = language_id.training_windows(spark.createDataFrame(rows, DOCS), 20, 64, 4)
+    assert labels == ["aa", "bb"] and len(symbols) == len(truth) == 40 and np.bincount(truth).tolist() == [20, 20]
+    labels, *_ = language_id.training_windows(spark.createDataFrame(rows[:999], DOCS), 20, 64, 4, most_labels=1)
+    assert labels == ["aa"]
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "words", None, None, None)], DOCS)
     assert language_id.train(docs) is None

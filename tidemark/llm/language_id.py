@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, rows, table
@@ -122,21 +122,30 @@ class BiGRU:
         return x
 
     def predict(self, texts: list[bytes], width: int = 64, at_once: int = 2048) -> np.ndarray:
-        """Pooled probabilities [text, label]. Windows of ``width`` bytes, padded at a text's end, in blocks of ``at_once``."""
+        """Pooled probabilities [text, label]. Windows of ``width`` bytes, padded at a text's end, ``at_once`` at a time, however long a text is."""
         sums = np.zeros((len(texts), len(self.labels)))
-        sizes = np.array([len(t) for t in texts])
-        windows = -(-sizes // width)
-        owner = np.repeat(np.arange(len(texts)), windows)
-        flat = np.full(int(windows.sum()) * width, PAD, np.int16)
-        first = np.concatenate([[0], np.cumsum(windows)[:-1]]) * width
-        for at, text in zip(first.tolist(), texts):
-            flat[at : at + len(text)] = np.frombuffer(text, np.uint8)
-        flat = flat.reshape(-1, width)
-        for at in range(0, len(flat), at_once):
-            block = np.ascontiguousarray(flat[at : at + at_once].T)
-            found = (self.position_log_probs(block) * (block != PAD)[:, :, None]).sum(axis=0)
-            np.add.at(sums, owner[at : at + at_once], found)
-        mean = sums / np.maximum(sizes, 1)[:, None]
+        held, owner = [], []
+
+        def flush() -> None:
+            flat = np.full(len(owner) * width, PAD, np.int16)
+            at = 0
+            for part in held:
+                flat[at : at + len(part)] = np.frombuffer(part, np.uint8)
+                at += -(-len(part) // width) * width
+            for k in range(0, len(owner), at_once):
+                block = np.ascontiguousarray(flat.reshape(-1, width)[k : k + at_once].T)
+                np.add.at(sums, owner[k : k + at_once], (self.position_log_probs(block) * (block != PAD)[:, :, None]).sum(axis=0))
+            held.clear()
+            owner.clear()
+
+        for i, text in enumerate(texts):
+            for at in range(0, len(text), width * at_once):
+                held.append(text[at : at + width * at_once])
+                owner += [i] * -(-len(held[-1]) // width)
+                if len(owner) >= at_once:
+                    flush()
+        flush()
+        mean = sums / np.maximum([len(t) for t in texts], 1)[:, None]
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -146,27 +155,30 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_windows(docs: DataFrame, per_label: int, width: int, per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_windows(docs: DataFrame, per_label: int, width: int, per_doc: int, most_labels: int = 512) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels, symbols [row, time] and truth of the sample.
 
-    ``per_label`` documents of each lang at most, those with the smallest hash of doc_id (thinned by
-    the label's count first, so no task sorts a label's whole rows), and ``per_doc`` windows of each,
-    evenly spread over the text. These bounds are all that reaches the driver.
+    ``per_label`` documents of each lang at most, of distinct ones those with the smallest hash, and ``per_doc`` windows of each,
+    evenly spread over the text; of more than ``most_labels`` langs the most frequent. One scan counts the labels without
+    reading texts, one takes the sample for all labels together, thinned by the label's count; these bounds are all that reaches the driver.
     """
-    usable = docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = docs.where(~held_out(docs["doc_id"]) & docs["lang"].isNotNull())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()}
+    if not counts:
+        return [], np.zeros((0, width), np.int16), np.zeros(0, np.int64)
     labels, symbols, truth = sorted(counts), [], []
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    for number, label in enumerate(labels):
-        share = min(1.0, 4 * per_label / counts[label])
-        thinned = usable.where((F.col("lang") == label) & (key < F.lit(int(share * (1 << 40)))))
-        for row in thinned.orderBy(key, "doc_id").select(_slices(width, per_doc).alias("parts")).limit(per_label).collect():
-            for part in row["parts"]:
-                x = np.full(width, PAD, np.int16)
-                data = np.frombuffer(part.encode("utf-8", "surrogatepass")[:width], np.uint8)
-                x[: len(data)] = data
-                symbols.append(x)
-                truth.append(number)
+    bounds = docs.sparkSession.createDataFrame([(n, label, int(min(1.0, 4 * per_label / counts[label]) * (1 << 40))) for n, label in enumerate(labels)], "number long, lang string, bound long")
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    taken = labelled.join(F.broadcast(bounds), "lang").where((key < F.col("bound")) & F.col("text").rlike(r"\p{L}"))
+    once = taken.groupBy("number", key.alias("key")).agg(F.first(_slices(width, per_doc)).alias("parts"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("key"))).where(F.col("rank") <= per_label)
+    for row in ranked.orderBy("number", "rank").collect():
+        for part in row["parts"]:
+            x = np.full(width, PAD, np.int16)
+            data = np.frombuffer(part.encode("utf-8", "surrogatepass")[:width], np.uint8)
+            x[: len(data)] = data
+            symbols.append(x)
+            truth.append(row["number"])
     return labels, np.array(symbols, np.int16).reshape(-1, width), np.array(truth, np.int64)
 
 
@@ -187,7 +199,7 @@ def identify(docs: DataFrame, network: BiGRU | None, width: int = 64) -> DataFra
     """One row for each row of ``docs``: doc_id, held_out, lang_pred, score.
 
     Only the text is read for a prediction. A null text, one without a letter, or a missing network
-    gives ``und`` with score 0. Windows that cut a character in two are read as they are. Repeated
+    gives ``und`` with score 0. Windows that cut a character in two are read as they are; very long texts are read some windows at a time. Repeated
     rows get the same answer; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)
@@ -210,5 +222,6 @@ def identify(docs: DataFrame, network: BiGRU | None, width: int = 64) -> DataFra
 
 
 def op4_bidirectional_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, held_out, lang_pred, score; see ``identify``."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs))

@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
     """One row for each row of ``docs``: doc_id, part, ordinal, n_tokens, counted in flat files that are written first.
 
     A null or empty text counts zero; repeated rows are documents of their own; a null doc_id stays
-    null; an empty table gives no rows; other columns are ignored.
+    null; very long texts are encoded in slices and searched in blocks; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
@@ -133,6 +133,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
 
 
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, part, ordinal, n_tokens; see ``token_counts``."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49407)
