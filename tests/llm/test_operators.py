@@ -271,8 +271,10 @@ def test_similar_documents(spark, key_bits, crowd):
     groups = {r["node"]: r["root"] for r in simhash.similar_groups(docs, crowd=crowd, key_bits=key_bits).collect()}
     assert {i: groups.get(i, i) for i in range(len(texts))} == dict(enumerate(root))
     if key_bits == 64 == crowd:
-        links = {tuple(r) for r in simhash.similar_pairs(spark.createDataFrame(list(alike), "u long, v long"), docs, 5, 0.8).collect()}
-        assert links == {p for p, s in alike.items() if s >= 0.8}
+        pairs, sets = spark.createDataFrame(list(alike), "u long, v long"), simhash.materialise(simhash.sketches(docs, 5))
+        near, likely = {p for p, s in alike.items() if s >= 0.8}, simhash.likely_pairs(pairs, sets, 0.8).count()
+        assert {tuple(r) for r in simhash.similar_pairs(pairs, sets, docs, 5, 0.8).collect()} == near
+        assert len(near) <= likely <= 1.2 * len(near) < len(alike)
         assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {i for i, r in enumerate(root) if i == r}
 
 
@@ -353,6 +355,15 @@ def brute_roots(nodes, edges):
     return root
 
 
+def test_segments_bound_the_difference_from_below():
+    rng = np.random.default_rng(15)
+    for n in (5, 50, 500, 5000):
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        a, b = x[: 4 * n // 5], x[n // 5 :]
+        bits = np.unpackbits((simhash.odd_segments(a) ^ simhash.odd_segments(b)).view(np.uint8)).sum()
+        assert bits <= 2 * (n // 5) and (n > 500 or bits >= 0.7 * 2 * (n // 5))
+
+
 def test_hashes_do_not_depend_on_slices():
     text = " ".join(f"w{i % 700}" for i in range(3000))
     hashes = simhash.shingle_hashes(text, 5)

@@ -162,8 +162,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 ROWS, BANDS = 6, 20  # least values of a band, and bands: a pair at 0.8 shares a band with probability 0.998
 _DRAWN = np.random.default_rng(8).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
-_SKETCH_DDL = "node long, fp long, whole binary, keys array<long>"
-_SKETCH = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("whole", pa.binary()), ("keys", pa.list_(pa.int64()))])
+SEGMENTS = 1024  # in which the shingles of a set are counted
+_SKETCH_DDL = "node long, fp long, whole binary, size long, odd array<long>, keys array<long>"
+_SKETCH = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("whole", pa.binary()), ("size", pa.int64()), ("odd", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _VISIT_DDL, _VISIT = "key long, u long, v long", pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 _SET_DDL, _SET = "node long, hashes array<long>", pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
@@ -188,6 +189,15 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def odd_segments(hashes: np.ndarray) -> np.ndarray:
+    """Which segments hold an odd number of the set's hashes, as bits.
+
+    A shingle that only one of two sets has turns one bit, so the Manhattan distance of the bits is a lower bound of how many there are.
+    """
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
 def band_keys(hashes: np.ndarray, block: int = 1 << 10) -> np.ndarray:
     """One key for each band: a hash of the least values of its orders of the set. Sets share a least value with the probability of their similarity."""
     folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
@@ -199,14 +209,17 @@ def band_keys(hashes: np.ndarray, block: int = 1 << 10) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int, key_bits: int = 64) -> DataFrame:
-    """(node, fp, whole, keys): the SimHash of the set of shingles, a digest of the set, and its band keys, of which ``key_bits`` are used. Rows without a doc_id or words have none."""
+    """(node, fp, whole, size, odd, keys): the SimHash of the set of shingles, a digest of the set, its size, its odd segments, and its band keys, of which ``key_bits`` are used.
+
+    Rows without a doc_id or words have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in rows(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = shingle_hashes(text, shingle)
                 if doc_id is not None and len(hashes):
-                    yield doc_id, set_fingerprint(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), band_keys(hashes) >> (64 - key_bits)
+                    yield doc_id, set_fingerprint(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), odd_segments(hashes), band_keys(hashes) >> (64 - key_bits)
 
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, _SKETCH_DDL, _SKETCH)
 
@@ -286,15 +299,26 @@ def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) ->
     return dealt.join(held, [side, "__salt"]).drop("__salt")
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more, compared exactly."""
-    pairs = materialise(pairs)
+def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` that two bounds allow: by the sizes of the sets, and by the Manhattan distance of their segments. No near pair is lost.
+
+    Sets of n and m shingles that have a Jaccard similarity s differ in (1 - s) / (1 + s) (n + m) shingles.
+    """
+    of = lambda n, odd: sets.select("node", F.col("size").alias(n), F.col("odd").alias(odd))
+    both = _beside(_beside(pairs, "v", of("m", "b")), "u", of("n", "a"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("n") + F.col("m"))
+    return both.where((F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")) & (apart <= most)).select("u", "v").distinct()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more: by the bounds first, then exactly."""
+    pairs = materialise(likely_pairs(pairs, sets, similarity))
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = shingle_sets(docs, nodes, shingle)
-    of = lambda name: sets.withColumnRenamed("hashes", name)
+    hashes = shingle_sets(docs, nodes, shingle)
+    of = lambda name: hashes.withColumnRenamed("hashes", name)
     common = F.size(F.array_intersect("a", "b"))
-    sized = F.least(F.size("a"), F.size("b")) >= F.lit(similarity) * F.greatest(F.size("a"), F.size("b"))
-    near = _beside(_beside(pairs, "v", of("b")), "u", of("a")).where(sized).select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    near = _beside(_beside(pairs, "v", of("b")), "u", of("a")).select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
     return near.where(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("u", "v").distinct()
 
 
@@ -317,39 +341,46 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     """(node, root) of each document that is near another: root is the smallest doc_id of its group.
 
     Documents are near if their sets of shingles have a Jaccard similarity of ``similarity`` or more. Equal sets are joined first, by
-    a digest, and one document of each goes on. Candidates, compared exactly, are then SimHash fingerprints within 2 bits, by the grid of segment
+    a digest, and one document of each goes on. Candidates, which pass the bound of the Manhattan distance of segments and are then compared exactly, are SimHash fingerprints within 2 bits, by the grid of segment
     counts, and documents that share a band of least values with the smallest that has it, where a pair at 0.8 shares one with
     probability 0.998, a pair at 0.85 with 0.9999: first each with the one it shares most with, and then all that share a band or are linked
     and aren't in one group yet. In a band with more than ``crowd`` documents outside its main group the last are compared by their rarest
     shingles instead, which loses no pair and makes none of documents that merely share a template.
     """
     found = materialise(sketches(docs, shingle, key_bits))
-    sets = materialise(found.groupBy("whole").agg(F.min("node").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")))
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "odd", "keys")]
+    sets = materialise(found.groupBy("whole").agg(F.min("node").alias("node"), *firsts, F.count(F.lit(1)).alias("n")))
     equal = salted(found, sets.where("n > 1").select("whole", F.col("node").alias("rep")), "whole", "node").where("rep < node").select("node", "rep")
-    distinct = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    linked = materialise(links(sets.groupBy("fp").agg(F.min("node").alias("node"))))
     starred = stars(sets.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), "node").distinct())
-    linked = materialise(links(distinct))
+    near_of = lambda pairs: materialise(similar_pairs(pairs, sets, docs, shingle, similarity))
     # Most often a document is near the one with which it shares most; pairs whose ends are in one group by then needn't be compared.
-    often = linked.unionByName(starred.select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    compared = materialise(often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"))
-    near = materialise(similar_pairs(compared, docs, shingle, similarity))
+    often = materialise(linked.unionByName(starred.select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
+    best = materialise(often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"))
+    near = near_of(best)
+    near = near.unionByName(near_of(apart(often.select("u", "v"), materialise(components(near))).join(best, ["u", "v"], "left_anti")))
     roots = materialise(components(near))
     placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
     shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
     mixed = materialise(mixed_keys(shared))
-    apart = linked.join(roots.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "q"}), "v", "left")
-    rest = apart.where("coalesce(r, u) != coalesce(q, v)").select("u", "v").unionByName(minor_pairs(shared, mixed.where(F.col("minor") <= crowd))).distinct()
+    rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd))
     crowded = mixed.where(F.col("minor") > crowd).select("key")
     if not crowded.isEmpty():
         members = materialise(salted(shared, crowded, "key", "node").select("node").distinct())
         visits = placed(rare_visits(members, docs, shingle, similarity))
         rest = rest.unionByName(minor_pairs(visits, materialise(mixed_keys(visits)))).distinct()
-    rest = similar_pairs(rest.join(compared, ["u", "v"], "left_anti"), docs, shingle, similarity)
+    rest = near_of(rest.join(often, ["u", "v"], "left_anti"))
     every = components(near.unionByName(rest))
     below = equal.join(every.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     return every.unionByName(below)
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose ends aren't in one group."""
+    named = pairs.join(roots.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "q"}), "v", "left")
+    return named.where("coalesce(r, u) != coalesce(q, v)").select("u", "v")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with the smallest doc_id of each of the ``similar_groups``, in the columns of ``docs``.
 
