@@ -241,3 +241,36 @@ def test_entry(spark):
 def test_core_needs_no_language_model_package():
     code = "import sys; import tidemark.catalog_of_queries; assert not [m for m in sys.modules if m.startswith('tidemark.llm')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__spark_entry__.ROOT)
+
+
+def test_the_last_row_of_the_source_stays(spark, tmp_path):
+    """Of a repeated ts the row that stands last, not the one with the largest value; files in the order of their names."""
+    for name, rows in (("a", [(0, 9.0), (0, 5.0), (60, 1.0)]), ("b", [(60, 0.5), (120, 2.0)])):
+        rows = [(1_600_000_000_000 + 1000 * t, x) for t, x in rows]
+        spark.createDataFrame(rows, "open_time long, close double").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    read = lambda s: spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/b") if s.symbol == "A" else spark.read.parquet(f"{tmp_path}/{s.symbol}")
+    picks = [builder.Selection("um", "klines", "A", "2020", "2021", "1m"), builder.Selection("um", "klines", "none", "2020", "2021", "1m")]
+    out, report = builder.build(builder.BuildConfig(picks, 0), read)
+    assert [(x, t - 1_600_000_000_000) for x, t in out.orderBy("ts").collect()] == [(5.0, 0), (0.5, 60_000), (2.0, 120_000)]
+    assert report["heights"] == {0: 3} and [e["selection"] for e in report["errors"]] == [1]
+
+
+def test_formulas_as_lines(tmp_path):
+    from tidemark.functions.formulas import ColumnSpec
+
+    builder.write_formulas([ColumnSpec("a", "click + 1"), ColumnSpec("b", "LAG(a)")], f"{tmp_path}/f.tsv")
+    assert (tmp_path / "f.tsv").read_text(encoding="utf-8") == "a\tclick + 1\nb\tLAG(a)\n"
+
+
+def test_symbols_of_files(spark):
+    names = spark.createDataFrame([("BTCUSDT-bookTicker-2023-01-01.zip",), ("/x/y-z/ETHUSDT-1m-2023-01.csv",), ("plain",)], "name string")
+    assert [r[0] for r in names.select(schemas.symbol_of_file(F.col("name"))).collect()] == ["BTCUSDT", "ETHUSDT", "plain"]
+
+
+def test_sums_of_whole_numbers_stay_whole(spark):
+    from tidemark.functions.formulas import ColumnSpec, FormulaEngine
+
+    df = spark.createDataFrame([(i, (1 << 60) + i) for i in range(7)], "ts long, x long")
+    for rows in (2, 100):
+        got = FormulaEngine(rows_per_block=rows).select_new(df, [ColumnSpec("s", "CUMSUM(x)")])
+        assert dict(got.dtypes)["s"] == "bigint" and [r["s"] for r in got.orderBy("ts").collect()] == [(k + 1) * (1 << 60) + k * (k + 1) // 2 for k in range(7)]

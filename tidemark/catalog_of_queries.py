@@ -76,16 +76,22 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = "files AS (SELECT 'um' AS market, 'trades' AS dataset_type, event_type AS symbol, CAST(NULL AS VARCHAR) AS interval, 'daily' AS cadence, strftime(ts, '%Y-%m-%d') AS date, count(*) > 60 AS exists_, count(*) * 1000 AS remote_size FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d'))"
 
 
-def formulas(name: str, specs: Sequence[tuple[str, str]], sql: dict[str, str], ctes: str = "", source: str = "panel", digits: int = DIGITS) -> None:
-    """Registers formulas over the panel, with a SQL expression for each."""
+def formulas(name: str, specs: Sequence[tuple[str, str]], sql: dict[str, str], ctes: str = "", source: str = "panel", digits: int = DIGITS, rows_per_block: int | None = None) -> None:
+    """Registers formulas over the panel, with a SQL expression for each; with ``rows_per_block``, once more as ``name_in_blocks``, where the panel takes many blocks."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(FormulaEngine().select_new(panel(spark, sf_dir), [ColumnSpec(*s) for s in specs]), digits)
 
-    run.__name__ = name
+    def in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(FormulaEngine(rows_per_block=rows_per_block).select_new(panel(spark, sf_dir), [ColumnSpec(*s) for s in specs]), digits)
+
+    run.__name__, in_blocks.__name__ = name, f"{name}_in_blocks"
     whole = {n for n, e in sql.items() if e.startswith("/*i*/")}
     columns = ", ".join(f"{e} AS {n}" if n in whole else f"round({e}, {digits}) AS {n}" for n, e in sql.items())
-    query(f"WITH {PANEL}{ctes} SELECT ts, {columns} FROM {source} WINDOW w AS (ORDER BY ts), a AS ()")(run)
+    text = f"WITH {PANEL}{ctes} SELECT ts, {columns} FROM {source} WINDOW w AS (ORDER BY ts), a AS ()"
+    query(text)(run)
+    if rows_per_block:
+        query(text)(in_blocks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +144,7 @@ formulas(
     "formula_lags",
     [("lag_", "LAG(click)"), ("lead_", "LAG(click, -2)"), ("diff_", "DIFF(click, 3)"), ("pct", "PCT_CHANGE(click)"), ("logret", "LOGRET(click, 2)"), ("nested", "LAG(DIFF(LAG(click, 2)), 1)")],
     {"lag_": "lag(click) OVER w", "lead_": "lead(click, 2) OVER w", "diff_": "click - lag(click, 3) OVER w", "pct": "click / lag(click) OVER w - 1", "logret": "ln(click) - ln(lag(click, 2) OVER w)", "nested": "lag(click, 3) OVER w - lag(click, 4) OVER w"},
+    rows_per_block=100,
 )
 _F24 = "(ORDER BY ts ROWS 23 PRECEDING)"
 formulas(
@@ -150,17 +157,20 @@ formulas(
         "z": f"CASE WHEN count(*) OVER {_F24} = 24 THEN (coalesce(click, 0) - avg(coalesce(click, 0)) OVER {_F24}) / (stddev_samp(coalesce(click, 0)) OVER {_F24} + 1e-12) END",
         "deep": "(coalesce(view, 0) - lag(coalesce(view, 0), 3) OVER w) / 3",
     },
+    rows_per_block=100,
 )
 formulas(
     "formula_cumulative",
     [("total", "CUMSUM(click)"), ("growth", "CUMPROD(1 + view / 1000000)"), ("of_total", "DIFF(CUMSUM(FILL_ZERO(click)), 2)")],
     {"total": "CASE WHEN click IS NOT NULL THEN sum(click) OVER w END", "growth": "CASE WHEN view IS NOT NULL THEN product(1 + view / 1000000) OVER w END", "of_total": "CASE WHEN lag(ts, 2) OVER w IS NOT NULL THEN coalesce(click, 0) + lag(coalesce(click, 0)) OVER w END"},
     digits=4,
+    rows_per_block=100,
 )
 formulas(
     "formula_fill",
     [("forward", "FILL_FFILL(click)"), ("backward", "FILL_BFILL(click)"), ("zero", "FILL_ZERO(click)"), ("either", "COALESCE(click, view)")],
     {"forward": "last_value(click IGNORE NULLS) OVER w", "backward": "first_value(click IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", "zero": "coalesce(click, 0)", "either": "coalesce(click, view)"},
+    rows_per_block=100,
 )
 formulas(
     "formula_ema",
@@ -168,6 +178,7 @@ formulas(
     {"ema_": "y"},
     ctes=", n AS (SELECT ts, coalesce(click, 0) AS x, row_number() OVER (ORDER BY ts) AS i FROM panel), ema AS (WITH RECURSIVE e AS (SELECT i, ts, x AS y FROM n WHERE i = 1 UNION ALL SELECT n.i, n.ts, e.y * (1 - 2.0::DOUBLE / 13) + n.x * 2.0::DOUBLE / 13 FROM e JOIN n ON n.i = e.i + 1) SELECT ts, y FROM e)",
     source="ema",
+    rows_per_block=100,
 )
 formulas(
     "formula_full_sample",
@@ -181,6 +192,7 @@ formulas(
     },
     ctes=", v AS (SELECT list_sort(list(click)) AS s FROM panel WHERE click IS NOT NULL), b AS (SELECT s[CAST(floor((len(s) - 1) * 0.05 + 0.5) AS BIGINT) + 1] AS low, s[CAST(floor((len(s) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS high, list_median(s) AS med, list_median(list_transform(s, lambda x: abs(x - list_median(s)))) AS mad FROM v), p AS (SELECT * FROM panel, b)",
     source="p",
+    rows_per_block=100,
 )
 _P = f", p AS (SELECT *, {_SET} AS s, list_sort({_SET}) AS o FROM panel)"
 _COLS = "COLS('^(click|error|purchase|signup|view)$')"
@@ -414,16 +426,14 @@ def recipe_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TRADES}, d AS (SELECT symbol, timestamp - timestamp % 1000 AS ts, max((id, price, quantity)) AS r FROM trades GROUP BY 1, 2), a AS (SELECT ts, r[2] AS click_trades_price FROM d WHERE symbol = 'click'), b AS (SELECT ts, r[2] AS view_trades_price FROM d WHERE symbol = 'view') SELECT a.ts, click_trades_price, last_value(view_trades_price IGNORE NULLS) OVER (ORDER BY a.ts) AS view_trades_price FROM a LEFT JOIN b USING (ts)")
 def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two selections to a wide table: times, range, repeats, prefixes, anchored join, fill."""
+    """Two selections to a wide table by the builder: times, range, repeats by their place in the source, prefixes, anchored join, fill."""
     rows = trades(spark, sf_dir).withColumn("timestamp", F.col("timestamp") - F.pmod("timestamp", F.lit(1000)))
 
     def read(s: builder.Selection) -> DataFrame:
-        one = rows.where(F.col("symbol") == s.symbol)
-        return align.dedup(one, ["timestamp"], ["id", "price", "quantity"], "last").select("timestamp", "price")
+        return rows.where(F.col("symbol") == s.symbol).select("timestamp", "price", F.struct("id", "price", "quantity").alias(builder.ORDINAL))
 
     selections = [builder.Selection("um", "trades", s, "1990", "2050") for s in ("click", "view")]
-    sources = [builder.source(s, read) for s in selections]
-    return align.fill(align.join_on_anchor(sources[0], sources[1:]), "ffill").select("ts", "click_trades_price", F.col("view_trades_price"))
+    return builder.build(builder.BuildConfig(selections, 0, "ffill"), read)[0].select("ts", "click_trades_price", "view_trades_price")
 
 
 # Metadata

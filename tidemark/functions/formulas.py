@@ -446,8 +446,11 @@ def _functions(run: _Run) -> dict[str, Callable]:
             return ordered.values_at(ordered.value_counts(df, source, run.engine.rows_per_block), ranks)
 
         def by_key(df, source):
-            lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(source)).alias("__v"))
-            return lists.select(*keys, *[F.get("__v", F.floor(f(F.size("__v"))).cast("int")).alias(n) for n, f in ranks.items()])
+            # Counts of distinct values, so no series is gathered in a row.
+            one = ordered.Window.partitionBy(*keys)
+            counts = df.groupBy(*keys, F.col(source).alias("__x")).agg(F.count(source).alias("__n"))
+            placed = counts.withColumn("__upto", F.sum("__n").over(one.orderBy(F.asc_nulls_first("__x")))).withColumn("__total", F.sum("__n").over(one))
+            return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > f(F.col("__total")), F.col("__x"))).alias(n) for n, f in ranks.items()])
 
         return known(x, of_table, by_key)
 

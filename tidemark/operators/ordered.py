@@ -85,7 +85,7 @@ def ffill(df: DataFrame, x: str, out: str, many: bool, keys: Sequence[str] = (),
 
 def cumulate(df: DataFrame, x: str, out: str, many: bool, keys: Sequence[str] = (), product: bool = False) -> DataFrame:
     """Running sum or product; null stays null and the total goes on."""
-    total, unit = (F.product, 1.0) if product else (F.sum, 0.0)
+    total, unit = (F.product, 1.0) if product else (F.sum, 0)  # a sum of whole numbers stays whole, in however many blocks
     local = total(x).over(block_window(keys).rowsBetween(Window.unboundedPreceding, 0))
     if not many:
         return df.withColumn(out, F.when(F.col(x).isNotNull(), local))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
-from datetime import date
+from functools import reduce
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,38 +45,65 @@ class BuildConfig:
 Reader = Callable[[Selection], DataFrame]
 
 
+#: Where a row stands in its source. A reader that knows better than file and line gives this column itself.
+ORDINAL = "__ordinal"
+
+
+def with_ordinal(raw: DataFrame) -> DataFrame:
+    """``raw`` with ORDINAL: the reader's own, else file and line where rows come straight from Parquet files, else the order of partitions."""
+    if ORDINAL in raw.columns:
+        return raw
+    try:
+        placed = raw.withColumn(ORDINAL, F.struct("_metadata.file_path", "_metadata.row_index"))
+        placed.schema  # noqa: B018 - an unknown column shows here
+        return placed
+    except AnalysisException:
+        return raw.withColumn(ORDINAL, F.monotonically_increasing_id())
+
+
 def source(selection: Selection, read: Reader) -> DataFrame:
-    """A selection's rows: epoch-ms ``ts``, in range, without repeats of a ts (the last row stays), under prefixed names."""
-    raw = read(selection)
-    key = align.infer_time_key(raw.columns, selection.time_key)
+    """A selection's rows: epoch-ms ``ts``, in range, without repeats of a ts (the last row in the source stays), under prefixed names."""
+    raw = with_ordinal(read(selection))
+    key = align.infer_time_key([c for c in raw.columns if c != ORDINAL], selection.time_key)
     timed = align.normalise_time(raw, key)
     ranged = align.in_range(timed, catalog.period(selection.start)[0], catalog.period(selection.end)[1])
-    wanted = align.features(ranged, [c for c in selection.columns if c != key] if selection.columns else None)
-    slim = ranged.select("ts", *wanted)
-    unique = align.dedup(slim, ["ts"], wanted, "last")
+    wanted = [c for c in align.features(ranged, [c for c in selection.columns if c != key] if selection.columns else None) if c != ORDINAL]
+    unique = align.dedup(ranged.select("ts", ORDINAL, *wanted), ["ts"], [ORDINAL], "last").select("ts", *wanted)
     return align.prefixed(unique, align.prefix(selection.symbol, selection.dataset_type, selection.interval))
 
 
 def build(config: BuildConfig, read: Reader) -> tuple[DataFrame, dict]:
     """The wide table, ts last, and a report. Written to ``config.output`` if that is set.
 
-    Everything is one lazy plan; the report counts rows and nulls in one pass before the fill and one after.
+    A selection that can't be read is left out and named in the report's errors, but the anchor must be there. Everything is one
+    lazy plan; the report counts the rows of all selections in one pass, and rows and nulls in one pass before the fill and one after.
     """
     if not config.selections or not 0 <= config.anchor_index < len(config.selections):
         raise ValueError("there is no anchor selection")
-    sources = [source(s, read) for s in config.selections]
+    sources, errors = {}, []
+    for i, s in enumerate(config.selections):
+        try:
+            sources[i] = source(s, read)
+        except (AnalysisException, OSError, ValueError, KeyError) as e:
+            if i == config.anchor_index:
+                raise
+            errors.append({"selection": i, "error": str(e)})
+    counted = reduce(DataFrame.unionByName, [x.select(F.lit(i).alias("i")) for i, x in sources.items()]).groupBy("i").count()
+    heights = {i: 0 for i in sources} | {r["i"]: r["count"] for r in counted.collect()}
+    if not sum(heights.values()):
+        raise ValueError("no selection has rows in its range")
+    if not heights[config.anchor_index]:
+        raise ValueError("the anchor has no rows in its range")
     anchor = sources[config.anchor_index]
-    joined = align.join_on_anchor(anchor, [s for i, s in enumerate(sources) if i != config.anchor_index])
+    joined = align.join_on_anchor(anchor, [x for i, x in sources.items() if i != config.anchor_index])
     filled = align.fill(joined, config.fill)
     values = align.numeric(filled, ["ts"])
     before = align.null_counts(joined, values).first().asDict()
-    if not before["rows"]:
-        raise ValueError("the anchor has no rows in its range")
     after = align.null_counts(filled, values).first().asDict() if config.fill != "none" else before
     out = filled.select(*[c for c in filled.columns if c != "ts"], "ts")
     report = {
         "selections": [asdict(s) for s in config.selections], "anchor_index": config.anchor_index, "fill": config.fill,
-        "rows": before["rows"], "columns": out.columns,
+        "heights": heights, "errors": errors, "rows": before["rows"], "columns": out.columns,
         "nulls": {c: {"before": before[c], "after": after[c], "filled": before[c] - after[c]} for c in values},
     }
     if config.output:
@@ -156,6 +184,3 @@ def write_formulas(specs: Sequence, path: str) -> None:
     """Formulas as name and formula, a tab between."""
     Path(path).write_text("".join(f"{s.name}\t{s.formula}\n" for s in specs), encoding="utf-8")
 
-
-def today() -> date:
-    return date.today()

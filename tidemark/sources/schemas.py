@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,6 +65,11 @@ def time_key(names: Sequence[str]) -> str | None:
     return next((n for n in names if n in TIME_NAMES), None)
 
 
+def symbol_of_file(name: Column) -> Column:
+    """The symbol that a file name or path begins with: the text before the first ``-`` of its last part."""
+    return F.substring_index(F.element_at(F.split(name, "/"), -1), "-", 1)
+
+
 def sample_date(url: str) -> str:
     found = re.search(r"-(\d{4}-\d{2}-\d{2}|\d{4}-\d{2})\.(zip|csv)$", url)
     return found[1] if found else "unknown"
