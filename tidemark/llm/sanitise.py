@@ -150,9 +150,10 @@ def occurrences(docs: DataFrame, terms: DataFrame, most: int = 1_000_000) -> Dat
                 found = {w for part in slices(text) for w in _TERM.findall(part.lower())}
                 if stems is not None and not any(w[:STEM] in stems for w in found):
                     continue
-                if wanted is None or not wanted.isdisjoint(found) or "@" in text or any(c in text for c in "0123456789"):
+                spans = base_spans(text)
+                if wanted is None or spans or not wanted.isdisjoint(found):
                     at: dict[str, list] = defaultdict(list)
-                    for w, a, b in words(text, _edges(base_spans(text))):
+                    for w, a, b in words(text, _edges(spans)):
                         at[w].append({"start": a, "end": b})
                     found = set(at)
                     for w in at if wanted is None else wanted.intersection(at):
