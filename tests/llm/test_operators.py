@@ -325,11 +325,13 @@ def test_every_pair_of_a_key_is_compared(spark):
     rows = [(7, i, i) for i in range(6)] + [(7, 1, 9), (7, 1, 8), (8, 3, 3), (8, 3, 10), (9, 4, 4)]
     visits = spark.createDataFrame(rows, "key long, root long, node long")
     seven = [(r, n) for k, r, n in rows if k == 7]
+    odd = np.zeros(simhash.SEGMENTS // 64, np.int64).tolist()
+    sets = spark.createDataFrame([(n, 50, odd) for n in {n for _, _, n in rows}], "node long, size long, odd array<long>")
     want = {(min(a, b), max(a, b)) for r, a in seven for q, b in seven if r != q}
     for block in (1, 2, 4096):
         mixed = simhash.mixed_keys(visits, block)
         assert [(r["key"], r["main"], r["minor"]) for r in mixed.collect()] == [(7, 1, 5)]
-        pairs = [tuple(r) for r in simhash.minor_pairs(visits, mixed).collect()]
+        pairs = [tuple(r) for r in simhash.minor_pairs(visits, mixed, sets, 0.8).collect()]
         assert len(pairs) == len(want) and set(pairs) == want
 
 

@@ -16,6 +16,7 @@ to the smallest. Components follow by alternating large-star and small-star step
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 ROWS, BANDS = 6, 20  # least values of a band, and bands: a pair at 0.8 shares a band with probability 0.998
 _DRAWN = np.random.default_rng(8).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
-SEGMENTS = 1024  # in which the shingles of a set are counted
+SEGMENTS, FOLDED = 1024, 256  # in which the shingles of a set are counted, and the fewer of a first look
 _SKETCH_DDL = "node long, fp long, whole binary, size long, odd array<long>, keys array<long>"
 _SKETCH = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("whole", pa.binary()), ("size", pa.int64()), ("odd", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _VISIT_DDL, _VISIT = "key long, u long, v long", pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -267,16 +268,17 @@ def mixed_keys(visits: DataFrame, block: int = 4096) -> DataFrame:
     return sizes.select("key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("minor"), F.expr(f"n div {block} + 1").alias("blocks"))
 
 
-def minor_pairs(visits: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(u, v), u < v: all nodes that share a key and are of different roots.
+def minor_pairs(visits: DataFrame, mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v), u < v: the nodes that share a key, are of different roots and that two bounds allow: by size, and by the Manhattan distance of few segments.
 
-    In each key the nodes outside its main root are paired with all others, which are dealt in blocks: nodes of the main root, however
-    many, make no pairs among themselves, and no task holds a whole key.
+    In each key the nodes outside its main root meet all others, which are dealt in blocks: nodes of the main root, however many, don't
+    meet each other, and no task holds a whole key. The bounds are checked where two nodes meet, so what is too far apart makes no row.
     """
-    here = salted(visits, mixed, "key", "node")
-    every = here.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("i"))
-    minor = here.where("root != main").select("key", F.col("root").alias("q"), F.col("node").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
-    pairs = minor.join(every, ["key", "i"]).where("r != q AND a != b")
+    here = salted(visits, mixed, "key", "node").join(sets.select("node", "size", folded(F.col("odd")).alias("odd")), "node")
+    every = here.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x"), F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("i"))
+    minor = here.where("root != main").select("key", F.col("root").alias("q"), F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
+    met = (minor["key"] == every["key"]) & (minor["i"] == every["i"]) & (F.col("r") != F.col("q")) & (F.col("a") != F.col("b"))
+    pairs = minor.join(every, met & allowed(F.col("n"), F.col("m"), F.col("x"), F.col("y"), FOLDED // 64, similarity))
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -299,16 +301,24 @@ def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) ->
     return dealt.join(held, [side, "__salt"]).drop("__salt")
 
 
-def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` that two bounds allow: by the sizes of the sets, and by the Manhattan distance of their segments. No near pair is lost.
+def folded(odd: Column) -> Column:
+    """The parities of ``FOLDED`` wider segments: the exclusive or of the parities of those they are made of."""
+    words, few = SEGMENTS // 64, FOLDED // 64
+    return F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), (odd[k] for k in range(at, words, few))) for at in range(few)))
 
-    Sets of n and m shingles that have a Jaccard similarity s differ in (1 - s) / (1 + s) (n + m) shingles.
-    """
+
+def allowed(n: Column, m: Column, x: Column, y: Column, words: int, similarity: float) -> Column:
+    """Whether sets of n and m shingles with the parities x and y may have a Jaccard similarity of ``similarity``: such sets differ in (1 - s) / (1 + s) (n + m) shingles at most."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)))
+    most = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (n + m)
+    return (F.least(n, m) >= F.lit(similarity - 1e-9) * F.greatest(n, m)) & (apart <= most)
+
+
+def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` that two bounds allow: by the sizes of the sets, and by the Manhattan distance of their segments. No near pair is lost."""
     of = lambda n, odd: sets.select("node", F.col("size").alias(n), F.col("odd").alias(odd))
     both = _beside(_beside(pairs, "v", of("m", "b")), "u", of("n", "a"))
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    most = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("n") + F.col("m"))
-    return both.where((F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m")) & (apart <= most)).select("u", "v").distinct()
+    return both.where(allowed(F.col("n"), F.col("m"), F.col("a"), F.col("b"), SEGMENTS // 64, similarity)).select("u", "v").distinct()
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -363,12 +373,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
     shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
     mixed = materialise(mixed_keys(shared))
-    rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd))
+    rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd), sets, similarity)
     crowded = mixed.where(F.col("minor") > crowd).select("key")
     if not crowded.isEmpty():
         members = materialise(salted(shared, crowded, "key", "node").select("node").distinct())
         visits = placed(rare_visits(members, docs, shingle, similarity))
-        rest = rest.unionByName(minor_pairs(visits, materialise(mixed_keys(visits)))).distinct()
+        rest = rest.unionByName(minor_pairs(visits, materialise(mixed_keys(visits)), sets, similarity)).distinct()
     rest = near_of(rest.join(often, ["u", "v"], "left_anti"))
     every = components(near.unionByName(rest))
     below = equal.join(every.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
