@@ -54,10 +54,14 @@ def _batch(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], ddl: str, schema: pa.Schema, size: int = 4096) -> DataFrame:
-    """``mapInArrow`` with a function that yields tuples, ``size`` of which make a batch; ``ddl`` and ``schema`` describe the same columns."""
+    """``mapInArrow`` with a function that yields tuples, ``size`` of which make a batch; ``ddl`` and ``schema`` describe the same columns.
+
+    Workers are used again by later tasks, so what Arrow holds of a task's texts is given back at its end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batched(make(batches), schema, size)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, ddl)
 
