@@ -158,3 +158,18 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     q = streaming_bars(stream, "1m").writeStream.outputMode("update").format("memory").queryName("bars").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert values(spark.table("bars"), "ts") == values(resample.bars(trades, "1m"), "ts")
+
+
+@pytest.mark.parametrize("rows_per_block", [1000, 3])
+@pytest.mark.parametrize("limit", [0, 1, 2, 5])
+def test_a_carry_stops_at_its_limit(spark, rows_per_block, limit):
+    """Also across blocks and within keys; by row, whatever the times."""
+    x = [None, 1.0, None, None, None, 4.0, None, None, None, None, None, None, None, 9.0]
+    rows = [(k, i * i, v if k == "a" else None if v is None else -v, "t") for k in "ab" for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, ts long, x double, s string")
+    got = align.fill(df, "ffill", by=["k"], rows_per_block=rows_per_block, limit=limit).orderBy("k", "ts").toPandas()
+    for k, sign in (("a", 1), ("b", -1)):
+        want = pd.Series(x, dtype=float).ffill(limit=limit) * sign if limit else pd.Series(x, dtype=float) * sign
+        np.testing.assert_array_equal(got[got["k"] == k]["x"].to_numpy(float), want.to_numpy())
+    with pytest.raises(ValueError):
+        align.fill(df, "adjacent_avg", limit=1)

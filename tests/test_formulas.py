@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.functions.formulas import FUNCTIONS, ColumnSpec, FormulaEngine, FormulaError, _functions, _Run, in_order, parse, wrap
+from tidemark.operators import ordered
 
 N = 157
 
@@ -61,13 +64,14 @@ def test_ordered_functions(df, frame, rows_per_block):
         same(got[k], want)
 
 
-def test_keys(spark, frame):
+@pytest.mark.parametrize("rows_per_block", [1_000_000, 40])
+def test_keys(spark, frame, rows_per_block):
     other = frame.assign(b=frame["b"] * 2, a=frame["a"].iloc[::-1].to_numpy())
     both = pd.concat([frame.assign(k="x"), other.assign(k="y")])
     rows = [(r.k, int(r.ts), None if math.isnan(r.a) else r.a, r.b, r.c) for r in both.sample(frac=1, random_state=2).itertuples()]
     df = spark.createDataFrame(rows, "k string, ts long, a double, b double, c double")
     wanted = {k: by_pandas(f) for k, f in (("x", frame), ("y", other))}
-    made = FormulaEngine(partition_by=["k"]).select_new(df, [ColumnSpec(n, f) for n, (f, _) in wanted["x"].items()]).orderBy("k", "ts").toPandas()
+    made = FormulaEngine(partition_by=["k"], rows_per_block=rows_per_block).select_new(df, [ColumnSpec(n, f) for n, (f, _) in wanted["x"].items()]).orderBy("k", "ts").toPandas()
     for k in "xy":
         part = made[made["k"] == k]
         for n, (_, want) in wanted[k].items():
@@ -150,3 +154,53 @@ def test_global_order_is_not_one_task(df):
     # But for the counts of ranges, of which there is one row a range, no window lacks a partition.
     windows = [line for line in plan.splitlines() if "Window [" in line and "__range" not in line]
     assert windows and all("__block" in w for w in windows)
+
+
+def test_no_task_holds_a_hot_key(spark):
+    """Nine rows of ten have one key; half of the rest has none."""
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 > 0, "x").alias("k"), (F.col("id") * 3).alias("ts"), F.col("id").cast("double").alias("v"))
+    placed, many = ordered.number(df, "ts", ["k"], rows_per_block=50)
+    assert many
+    rows = placed.orderBy("k", "ts").collect()
+    for k in (None, "hot", "x"):
+        mine = [r for r in rows if r["k"] == k]
+        assert [r[ordered.RN] for r in mine] == list(range(len(mine))) and {r[ordered.BLOCK] for r in mine} == set(range(-(-len(mine) // 50)))
+    specs = [ColumnSpec("total", "CUMSUM(v)"), ColumnSpec("mean", "ROLL_MEAN(v, 60)"), ColumnSpec("ema", "EMA(v, 9)"), ColumnSpec("mid", "ROBUST_Z(v)"), ColumnSpec("rank", "RANK_NORM(v)")]
+    small, large = (FormulaEngine(partition_by=["k"], rows_per_block=n).select_new(df, specs).orderBy("k", "ts").toPandas() for n in (50, 10**6))
+    pd.testing.assert_frame_equal(small, large, rtol=1e-9)
+    assert len(small) == 1000 and small["k"].isna().sum() == 50
+
+
+@pytest.mark.parametrize("kind", ["one minute", "one time", "nulls"])
+def test_no_range_holds_a_burst(spark, kind):
+    """Ranges follow a sample of the rows, not the length of time: nine rows of ten in a minute, at one time or at none."""
+    burst = {"one minute": F.lit(10**9) + F.col("id") % 60, "one time": F.lit(10**9), "nulls": F.lit(None)}[kind].cast("long")
+    df = spark.range(2000).select(F.when(F.col("id") % 10 == 0, F.col("id") * 10**7).otherwise(burst).alias("ts"), F.col("id").alias("v"))
+    sizes = ordered.in_ranges(df, [F.asc_nulls_first("ts")], 40).groupBy(F.shiftright("__place", 33)).count().toPandas()["count"]
+    assert sizes.sum() == 2000 and sizes.max() <= 100
+    placed, _ = ordered.number(df, "ts", rows_per_block=100)
+    rows = placed.orderBy(ordered.RN).collect()
+    assert [r[ordered.RN] for r in rows] == list(range(2000))
+    times = [-1 if r["ts"] is None else r["ts"] for r in rows]
+    assert times == sorted(times)
+
+
+@pytest.mark.parametrize("span", [1, 2, 30, 5000])
+def test_long_exponential_means(spark, span):
+    """Many chunks of steps, runs of nulls longer than a chunk, and values that aren't numbers from some row on."""
+    rng = np.random.default_rng(span)
+    x = pd.Series(rng.normal(5, 2, 3000)).mask(rng.random(3000) < 0.3)
+    x[700:1900] = np.nan
+    df = spark.createDataFrame([(i, None if math.isnan(v) else float(v)) for i, v in enumerate(x)], "ts long, x double")
+    want = x.ewm(span=span, adjust=False).mean().where(x.notna())
+    for rows in (10**6, 800):
+        same(run(df, rows, y=f"EMA(x, {span})")["y"], want)
+    odd = df.withColumn("x", F.when(F.col("ts") == 2500, F.lit(math.nan)).otherwise(F.col("x")))
+    for rows in (10**6, 800):
+        got = [r["y"] for r in FormulaEngine(rows_per_block=rows).select_new(odd, [ColumnSpec("y", f"EMA(x, {span})")]).orderBy("ts").collect()]
+        assert [y is not None and math.isnan(y) for y in got] == [i == 2500 or i > 2500 and not math.isnan(v) for i, v in enumerate(x)]
+
+
+def test_exponential_means_stay_in_the_jvm(df):
+    plan = FormulaEngine(rows_per_block=40).select_new(df, [ColumnSpec("x", "EMA(b, 5)")])._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Pandas", "Python", "Arrow") if w in plan]

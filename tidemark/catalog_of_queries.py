@@ -246,6 +246,31 @@ def formula_long_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.withColumn("total", F.round("total", 4)))
 
 
+_HOT = "CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'hot' END"
+
+
+def _hot_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in long form; nine of ten have one key."""
+    return table(spark, sf_dir, "events").select(F.expr(_HOT).alias("symbol"), ms("ts").alias("ts"), "event_id", F.col("value").alias("v"))
+
+
+_HOT_SQL = f"""
+WITH s AS (SELECT {_HOT} AS symbol, epoch_us(ts) // 1000 AS ts, event_id, value AS v FROM events),
+o AS (SELECT *, row_number() OVER k AS i, lag(v, 3) OVER k AS before, avg(v) OVER f AS mean_, count(v) OVER f AS n, sum(v) OVER k AS total FROM s WINDOW k AS (PARTITION BY symbol ORDER BY ts, event_id), f AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 11 PRECEDING)),
+q AS (SELECT symbol, list_sort(list(v)) AS l FROM s GROUP BY symbol), b AS (SELECT symbol, l[CAST(floor((len(l) - 1) * 0.1 + 0.5) AS BIGINT) + 1] AS low, l[CAST(floor((len(l) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS high FROM q)
+SELECT symbol, ts, round(v - before, 6) AS diff_, round(CASE WHEN n = 12 THEN mean_ END, 6) AS mean_, round(total, 3) AS total, round(least(greatest(v, low), high), 6) AS win FROM o JOIN b USING (symbol)
+"""
+
+
+@query(_HOT_SQL)
+def formula_hot_key_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas within a key of which one has nine rows of ten: its series takes many blocks."""
+    specs = [ColumnSpec("diff_", "DIFF(v, 3)"), ColumnSpec("mean_", "ROLL_MEAN(v, 12)"), ColumnSpec("total", "CUMSUM(v)"), ColumnSpec("win", "WINSORIZE(v, 0.1, 0.9)")]
+    series = _hot_series(spark, sf_dir)
+    made = FormulaEngine(partition_by=["symbol"], ties=["event_id"], rows_per_block=1000).select_new(series, specs)
+    return rounded(made.withColumn("total", F.round("total", 3)))
+
+
 # Bars and typed sources
 
 _BARS = """min_by(price, (timestamp, id)) AS open, max(price) AS high, min(price) AS low, max_by(price, (timestamp, id)) AS close, round(sum(quantity), 6) AS volume, round(sum(price * quantity) / sum(quantity) + 1 / 3e7, 6) AS vwap,
@@ -372,6 +397,28 @@ def fill_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(align.fill(panel(spark, sf_dir).select("ts", "click"), "adjacent_avg"))
 
 
+_LIMITED = f"""
+WITH {PANEL}, r AS (SELECT ts, click, view, row_number() OVER (ORDER BY ts) AS i FROM panel),
+n AS (SELECT *, max(CASE WHEN click IS NOT NULL THEN i END) OVER (ORDER BY i) AS pi, max(CASE WHEN view IS NOT NULL THEN i END) OVER (ORDER BY i) AS qi FROM r)
+SELECT n.ts, CASE WHEN n.i - pi <= 2 THEN p.click END AS click, CASE WHEN n.i - qi <= 2 THEN q.view END AS view FROM n LEFT JOIN r p ON p.i = n.pi LEFT JOIN r q ON q.i = n.qi
+"""
+
+
+@query(_LIMITED)
+def fill_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carried forward over two rows at most."""
+    return align.fill(_gaps(spark, sf_dir), "ffill", limit=2)
+
+
+@query(_LIMITED)
+def fill_limited_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.fill(_gaps(spark, sf_dir), "ffill", limit=2, rows_per_block=100)
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(spark, sf_dir).select("ts", "click", "view")
+
+
 @query(f"WITH {PANEL}, f AS (SELECT " + ", ".join(f"last_value({k} IGNORE NULLS) OVER (ORDER BY ts) AS f_{k}, {k}" for k in KINDS) + " FROM panel) " + " UNION ALL ".join(f"SELECT '{k}' AS \"column\", count(*) FILTER ({k} IS NULL) AS before, count(*) FILTER (f_{k} IS NULL) AS after, count(*) FILTER ({k} IS NULL AND f_{k} IS NOT NULL) AS filled, count(*) AS rows FROM f" for k in KINDS))
 def fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = panel(spark, sf_dir)

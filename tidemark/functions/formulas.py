@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ieee, rowwise
 from tidemark.functions.rowwise import EPS
 from tidemark.operators import ordered
-from tidemark.session import materialise
+from tidemark.session import materialise, small
 
 #: Scales a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
@@ -131,7 +131,7 @@ class FormulaEngine:
     """Compiles and applies formulas along ``order``, within ``partition_by`` if the table is in long form.
 
     ``ties`` orders rows of equal ``order``. ``rows_per_block`` is how many rows a task holds along the
-    global order, when there is no partition_by.
+    global order, or along that of a key: a hot key takes many blocks.
     """
 
     order: str = "ts"
@@ -422,7 +422,7 @@ def _functions(run: _Run) -> dict[str, Callable]:
                 one = materialise(by_key(df, source))
                 names = [c for c in one.columns if c not in keys]
                 found.extend(Value(F.col(f"{out}_{c}")) for c in names)
-                return df.join(one.withColumnsRenamed({c: f"{out}_{c}" for c in names}), keys)
+                return ordered.beside(df, small(one.withColumnsRenamed({c: f"{out}_{c}" for c in names})), keys)
             found.extend(Value(F.lit(v)) for v in of_table(df, source).values())
             return df
 
@@ -446,11 +446,7 @@ def _functions(run: _Run) -> dict[str, Callable]:
             return ordered.values_at(ordered.value_counts(df, source, run.engine.rows_per_block), ranks)
 
         def by_key(df, source):
-            # Counts of distinct values, so no series is gathered in a row.
-            one = ordered.Window.partitionBy(*keys)
-            counts = df.groupBy(*keys, F.col(source).alias("__x")).agg(F.count(source).alias("__n"))
-            placed = counts.withColumn("__upto", F.sum("__n").over(one.orderBy(F.asc_nulls_first("__x")))).withColumn("__total", F.sum("__n").over(one))
-            return placed.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") > f(F.col("__total")), F.col("__x"))).alias(n) for n, f in ranks.items()])
+            return ordered.values_at_by_key(ordered.value_counts(df, source, run.engine.rows_per_block, keys), ranks, keys)
 
         return known(x, of_table, by_key)
 
@@ -475,13 +471,10 @@ def _functions(run: _Run) -> dict[str, Callable]:
 
     def rank_norm(x):
         def make(df, source, out):
-            if keys:
-                w = ordered.Window.partitionBy(*keys)
-                rank = F.rank().over(w.orderBy(F.asc_nulls_last(source))) + (F.count(F.lit(1)).over(ordered.Window.partitionBy(*keys, source)) - 1) / 2
-                ranked = df.withColumn("__rank", rank).withColumn("__rows", F.count(F.lit(1)).over(w))
-            else:
-                counts = ordered.value_counts(df, source, run.engine.rows_per_block).select(F.col("x").alias(source), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("__rank"))
-                ranked = df.join(counts, source, "left").withColumn("__rows", F.lit(df.count()))
+            counts = ordered.value_counts(df, source, run.engine.rows_per_block, keys).select(*keys, F.col("x").alias(source), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("__rank"))
+            ranked = ordered.beside(df, counts, [*keys, source], "left")
+            rows = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))) if keys else None
+            ranked = ordered.beside(ranked, small(rows), keys) if keys else ranked.withColumn("__rows", F.lit(df.count()))
             return ranked.withColumn(out, F.when(F.col(source).isNotNull(), (F.col("__rank") - 1) / (F.col("__rows") - 1 + F.lit(EPS)))).drop("__rank", "__rows")
 
         return run.staged(x, make)

@@ -134,12 +134,19 @@ def numeric(df: DataFrame, but: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, FILLED) and f.name not in but]
 
 
-def fill(df: DataFrame, strategy: str, order: str = "ts", by: Sequence[str] = (), columns: Sequence[str] | None = None, rows_per_block: int = ordered.ROWS_PER_BLOCK, ties: Sequence[str] = ()) -> DataFrame:
-    """``ffill`` carries the last value on; ``adjacent_avg`` puts interior gaps on the line between neighbours, by row; anything else changes nothing."""
+def fill(df: DataFrame, strategy: str, order: str = "ts", by: Sequence[str] = (), columns: Sequence[str] | None = None, rows_per_block: int = ordered.ROWS_PER_BLOCK, ties: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """``ffill`` carries the last value on, over ``limit`` rows at most if that is set; ``adjacent_avg`` puts interior gaps on the line between neighbours, by row; anything else changes nothing.
+
+    With a limit each value travels with its row number, within blocks and from block to block, so that a carry stops where its distance says.
+    """
+    if limit is not None and (limit < 0 or strategy != "ffill"):
+        raise ValueError("only ffill takes a limit, of 0 rows or more")
     wanted = list(columns) if columns is not None else numeric(df, [order, *by])
     if strategy not in ("ffill", "adjacent_avg") or not wanted:
         return df
     out, many = ordered.number(df, order, by, ties, rows_per_block)
+    if limit is not None:
+        return _within(out, wanted, many, by, limit).select(*[F.col(f"__near_{c}").alias(c) if c in wanted else F.col(c) for c in df.columns])
     if strategy == "ffill":
         return _last_known(out, wanted, many, by, False).select(*[F.col(f"__last_{c}").alias(c) if c in wanted else F.col(c) for c in df.columns])
     for c in wanted:
@@ -156,6 +163,13 @@ def fill(df: DataFrame, strategy: str, order: str = "ts", by: Sequence[str] = ()
     return out.select(*made)
 
 
+def _within(df: DataFrame, columns: Sequence[str], many: bool, by: Sequence[str], limit: int) -> DataFrame:
+    """Adds __near_c for each column: the last value, if it stands at most ``limit`` rows before."""
+    placed = df.withColumns({f"__at_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(ordered.RN).alias("rn"), F.col(c).alias("v"))) for c in columns})
+    known = _last_known(placed, [f"__at_{c}" for c in columns], many, by, False)
+    return known.withColumns({f"__near_{c}": F.when(F.col(ordered.RN) - F.col(f"__last___at_{c}.rn") <= limit, F.col(f"__last___at_{c}.v")) for c in columns})
+
+
 def _last_known(df: DataFrame, columns: Sequence[str], many: bool, by: Sequence[str], backwards: bool) -> DataFrame:
     """Adds __last_c (or __next_c) for each column; blocks are joined once for all of them."""
     name = "__next_" if backwards else "__last_"
@@ -167,7 +181,7 @@ def _last_known(df: DataFrame, columns: Sequence[str], many: bool, by: Sequence[
         return df.withColumns({name + c: x for c, x in local.items()})
     edges = [edge(c, F.when(F.col(c).isNotNull(), F.col(ordered.RN))).alias(f"__edge_{c}") for c in columns]
     carried = [(f"__carry_{c}", F.last(f"__edge_{c}", ignorenulls=True)) for c in columns]
-    joined = ordered._carry(df, edges, carried, backwards)
+    joined = ordered.carry(df, edges, carried, by, backwards)
     return joined.withColumns({name + c: F.coalesce(x, F.col(f"__carry_{c}")) for c, x in local.items()}).drop(*[f"__carry_{c}" for c in columns])
 
 

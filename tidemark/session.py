@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC keeps epoch arithmetic independent of the host; ANSI stays on so that a raw division fails loudly.
 SETTINGS = {
@@ -73,3 +74,8 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{_scratch.get() or shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(held: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``held`` marked for broadcast if it has ``most`` rows at most: they are counted, so what is sent has a bound. A larger table is joined by a shuffle."""
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
