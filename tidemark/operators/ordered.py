@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.session import materialise, small
 
-RN, BLOCK, HOME = "__rn", "__block", "__home"
+RN, BLOCK, HOME, TOTAL = "__rn", "__block", "__home", "__rows"
 ROWS_PER_BLOCK = 1_000_000
 #: Ranges in which rows are numbered, for each block: cut points come from a sample, so ranges are finer than blocks.
 RANGES_PER_BLOCK = 2
@@ -37,13 +37,19 @@ def number(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[s
     if n <= rows_per_block:
         one = df.withColumn(BLOCK, F.lit(0).cast("long"))
         return one.withColumn(RN, F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*by)).cast("long") - 1), False
-    placed = in_ranges(df, [*[F.asc_nulls_first(k) for k in keys], *by], RANGES_PER_BLOCK * -(-n // rows_per_block))
+    return ranked(df, keys, by, RANGES_PER_BLOCK * -(-n // rows_per_block)).drop(TOTAL).withColumn(BLOCK, F.floor(F.col(RN) / rows_per_block).cast("long")), True
+
+
+def ranked(df: DataFrame, keys: Sequence[str], by: Sequence[Column], ranges: int) -> DataFrame:
+    """``df`` with __rn, its dense number from 0 along ``by`` within ``keys``, and __rows, the rows of its key; from ``ranges`` written ranges, so that no key is one task."""
+    placed = in_ranges(df, [*[F.asc_nulls_first(k) for k in keys], *by], ranges)
     part = F.shiftright("__place", 33)
     counts = placed.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__first"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = materialise(counts.select(*keys, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")))
+    key = Window.partitionBy(*keys)
+    before = F.sum("__n").over(key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = materialise(counts.select(*keys, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(key).alias(TOTAL)))
     numbered = beside(placed.withColumn("__part", part), small(starts), [*keys, "__part"]).withColumn(RN, F.col("__place") + F.col("__shift"))
-    return numbered.drop("__part", "__place", "__shift").withColumn(BLOCK, F.floor(F.col(RN) / rows_per_block).cast("long")), True
+    return numbered.drop("__part", "__place", "__shift")
 
 
 def in_ranges(df: DataFrame, by: Sequence[Column], ranges: int) -> DataFrame:
