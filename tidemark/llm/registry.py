@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, exact_dedup, html_text, importance, language_id, licences, merkle, packing, sanitise, simhash, token_scan
+from tidemark.llm import conversations, decontamination, exact_dedup, html_text, importance, language_id, licences, merkle, packing, sanitise, simhash, token_scan
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         simhash.op8_segment_popcount_simhash,
         exact_dedup.op9_perfect_hash_dedup,
         token_scan.op10_separator_scan,
+        conversations.op11_conversation_structure_repair,
         merkle.op13_merkle_manifest,
     )
 }
-ORACLE_SQL = decontamination.ORACLE_SQL | exact_dedup.ORACLE_SQL | licences.ORACLE_SQL | merkle.ORACLE_SQL
+ORACLE_SQL = decontamination.ORACLE_SQL | exact_dedup.ORACLE_SQL | licences.ORACLE_SQL | conversations.ORACLE_SQL | merkle.ORACLE_SQL
