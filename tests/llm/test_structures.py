@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, merkle
+from tidemark.llm import chat, conversations, merkle
 
 TURNS = "conv_id long, turn long, role string, text string"
 EMPTY = hashlib.sha256().hexdigest()
@@ -167,6 +167,75 @@ def test_damage(spark, tmp_path):
     assert want[alone] == (0, 0, 0, 0, 0, 0, "", EMPTY)
 
 
+# Reply trees
+
+MESSAGES = "tree long, id long, parent long, role string, text string, score double"
+HARD = ["\\### Assistant: </turn> ok", "<turn user>\n", "\n</turn>\n", "\\</turn", "\\\\\\<turn", "ends in \\", "\n", "", None, "\\" * 50_000, "é<turn>\U0001f600</turn>\r\n", "<TURN </ turn"]
+
+
+def paths_of(rows, branches):
+    """The best paths of each tree, as lists of rows, by walking up from every leaf."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0))
+    first = {}
+    for k, r in enumerate(order):
+        if r[1] is not None:
+            first.setdefault((r[0], r[1]), k)
+    up = [first.get((r[0], r[2])) if r[2] is not None else None for r in order]
+    found = {}
+    for k, r in enumerate(order):
+        path, at = [k], up[k]
+        while at is not None and at not in path:
+            path.insert(0, at)
+            at = up[at]
+        if at is None and k not in up:
+            found.setdefault(r[0], []).append((-sum(order[i][5] or 0.0 for i in path) / len(path), k, [order[i] for i in path]))
+    return {(t, b + 1): p for t, ps in found.items() for b, (_, _, p) in enumerate(sorted(ps)[:branches])}
+
+
+def test_reply_trees(spark):
+    """A chain, a bush, several roots, circles, missing and repeated ids, and texts that look like marks."""
+    rng = random.Random(11)
+    rows = [(1, i, i - 1 if i else None, ("user", "assistant")[i % 2], HARD[i % len(HARD)], 0.0) for i in range(70)]
+    rows += [(2, i, rng.randrange(i) if i else None, rng.choice(["user", "assistant", "a b>\n&é", None]), rng.choice(HARD), float(rng.randrange(5))) for i in range(120)]
+    rows += [(None, 0, None, "user", "r", 1.0), (None, 1, 0, "assistant", "x", None), (3, 5, 99, "user", "lost", 1.0), (3, 6, None, "user", "root", 1.0), (3, 7, 6, "assistant", "y", 1.0)]
+    rows += [(4, 1, 2, "user", "circle", 0.0), (4, 2, 1, "user", "circle", 0.0), (4, 3, 2, "user", "behind it", 0.0), (4, 4, 4, "user", "itself", 0.0), (5, None, None, "user", "no id", 0.0), (5, 1, None, "user", "a", 3.0)]
+    df = spark.createDataFrame(rows, MESSAGES).repartition(4).withColumns({"node": F.lit(1), "up": F.lit("x"), "path": F.lit(2), "depth": F.lit(0)})
+    for branches in (1, 3):
+        want = paths_of(rows, branches)
+        got = {(r["tree"], r["branch"]): r for r in chat.read_back(chat.format_trees(df, branches)).collect()}
+        assert set(got) == set(want) and not [k for k in want if k[0] == 4]
+        for k, path in want.items():
+            r = got[k]
+            assert [(t["role"], t["text"]) for t in r["turns"]] == [(role or "", text or "") for _, _, _, role, text, _ in path]
+            assert r["learned"] == "".join(text or "" for _, _, _, role, text, _ in path if role == "assistant")
+            spans = [r["formatted"][m["start"] : m["end"]] for m in r["mask"]]
+            assert [re.sub(r"\\(\\*</?turn)", r"\1", s) for s in spans] == [text or "" for _, _, _, _, text, _ in path]
+            assert r["score"] == pytest.approx(sum(x[5] or 0.0 for x in path) / len(path))
+            assert r["formatted"].count("\n</turn>\n") == len(path) and not re.search(r"[^\\\n]</turn", r["formatted"].replace("\n\\</turn", ""))
+
+
+def test_repeated_ids(spark):
+    rows = [(1, 0, None, "user", "a", 0.0), (1, 1, 0, "assistant", "b", 1.0), (1, 1, 0, "assistant", "b", 1.0), (1, 2, 1, "user", "c", 9.0)]
+    got = chat.read_back(chat.format_trees(spark.createDataFrame(rows, MESSAGES), 9)).collect()
+    assert sorted("".join(t["text"] for t in r["turns"]) for r in got) == ["ab", "abc"]
+    assert chat.format_trees(spark.createDataFrame([], MESSAGES)).count() == 0
+
+
+def test_formatting_is_native(spark, tmp_path):
+    rows = [(None, None, None, None), (1, 2, "user", "x"), (1, 2, "user", "x"), (1, None, "assistant", "first"), (2, 0, "assistant", "<turn")]
+    spark.createDataFrame(rows, TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
+    made = chat.op12_reply_tree_formatting(spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Python", "Pandas", "Arrow", "ExistingRDD") if w in plan]
+    got = {r["conv_id"]: r for r in made.collect()}
+    hard = "\\### Assistant: </turn> ok"
+    want = {None: [("", "")], 1: [("assistant", "first"), ("user", "x"), ("user", "x")], 2: [("assistant", "<turn")], -7: [("user", hard), ("assistant", hard)]}
+    assert set(got) == set(want)
+    for k, turns in want.items():
+        learned = "".join(t for r, t in turns if r == "assistant")
+        assert (got[k]["n_turns"], got[k]["turns_sha256"], got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), sha(learned))
+
+
 # Merkle manifest
 
 

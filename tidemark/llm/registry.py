@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import conversations, decontamination, exact_dedup, html_text, importance, language_id, licences, merkle, packing, sanitise, simhash, token_scan
+from tidemark.llm import chat, conversations, decontamination, exact_dedup, html_text, importance, language_id, licences, merkle, packing, sanitise, simhash, token_scan
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         exact_dedup.op9_perfect_hash_dedup,
         token_scan.op10_separator_scan,
         conversations.op11_conversation_structure_repair,
+        chat.op12_reply_tree_formatting,
         merkle.op13_merkle_manifest,
     )
 }
-ORACLE_SQL = decontamination.ORACLE_SQL | exact_dedup.ORACLE_SQL | licences.ORACLE_SQL | conversations.ORACLE_SQL | merkle.ORACLE_SQL
+ORACLE_SQL = decontamination.ORACLE_SQL | exact_dedup.ORACLE_SQL | licences.ORACLE_SQL | conversations.ORACLE_SQL | chat.ORACLE_SQL | merkle.ORACLE_SQL
