@@ -45,7 +45,7 @@ def coverage(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def schema_inspect(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = archives.read_archives(spark, a.archives, a.dataset, first_member_only=True).drop("_member")
+    rows = archives.read_archives(spark, a.archives, a.dataset, first_member_only=True).drop("_member", archives.ORDINAL)
     print(json.dumps(schemas.inspect(rows, a.dataset), indent=2))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, resample
+from tidemark.sources.schemas import agg_trade_keys
 
 #: Canonical columns of a book ticker, and their types.
 BOOK_TICKER = {
@@ -33,14 +34,11 @@ def trades(df: DataFrame, interval: str | None = None, by: tuple[str, ...] = ())
 
 
 def agg_trades(df: DataFrame) -> DataFrame:
-    """Aggregated trades without repeats: by agg_trade_id, or else by all of price, quantity, time, side and the first id."""
+    """Aggregated trades without repeats: by agg_trade_id, or else by all of time, price, quantity and both trade ids, or else in order of time only, which ``key_notes`` tells."""
     df = _renamed(df, {"transact_time": "timestamp"})
-    if "agg_trade_id" in df.columns:
-        keys = ["agg_trade_id"]
-    else:
-        keys = [c for c in ("timestamp", "price", "quantity", "first_trade_id", "last_trade_id") if c in df.columns]
-        if len(keys) < 5:
-            return df.orderBy("timestamp")
+    keys = agg_trade_keys(df.columns)
+    if not keys:
+        return df.orderBy("timestamp")
     rest = [c for c in df.columns if c not in keys]
     return align.dedup(df, keys, (["timestamp"] if "timestamp" in rest else []) + [c for c in rest if c != "timestamp"], "first").orderBy("timestamp")
 

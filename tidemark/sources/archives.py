@@ -2,75 +2,53 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources import schemas
+from tidemark.sources import schemas, zip_source
 
-LINES = "path string, member string, line long, fields array<string>, error string"
+#: Where a row stands in its source; see builder.ORDINAL.
+ORDINAL = "__ordinal"
 
 
-def archive_lines(spark: SparkSession, paths: Sequence[str], first_member_only: bool = False) -> DataFrame:
-    """Lines of the CSV members of ZIP archives, split into fields; an archive that can't be read gives one row with its error.
+def rows_of(told: DataFrame, dataset: str) -> DataFrame:
+    """The rows among all that the source tells, under declared types (a value that doesn't fit is null), with _member and their place in the source.
 
-    Archives are dealt to the tasks as files; the lines of a member are passed on in pieces.
+    A book ticker without a symbol has the one that its archive's name begins with.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                except zipfile.BadZipFile as e:
-                    yield pd.DataFrame({"path": [path], "member": [None], "line": [None], "fields": [None], "error": [str(e)]})
-                    continue
-                for member in members[:1] if first_member_only else members:
-                    with archive.open(member) as raw:
-                        held: list[list[str]] = []
-                        at = 0
-                        for fields in csv.reader(io.TextIOWrapper(raw, "utf-8")):
-                            held.append(fields)
-                            if len(held) == 20_000:
-                                yield _piece(path, member, at, held)
-                                at, held = at + len(held), []
-                        yield _piece(path, member, at, held)
-
-    return files.mapInPandas(run, LINES)
-
-
-def _piece(path: str, member: str, at: int, held: list[list[str]]) -> pd.DataFrame:
-    return pd.DataFrame({"path": path, "member": member, "line": range(at, at + len(held)), "fields": held, "error": None})
+    known = schemas.known_schema(dataset)
+    names = [c for c in told.columns if c not in dict(zip_source.PLACE)]
+    rows = told.where("_kind = 'row'")
+    made = rows.select(*[F.col("`" + n.replace("`", "``") + "`") for n in names], F.concat_ws("!", "_path", "_member").alias("_member"), F.struct("_path", F.col("_member").alias("member"), "_line").alias(ORDINAL))
+    if dataset == "bookTicker" and "symbol" not in names:
+        made = made.withColumn("symbol", schemas.symbol_of_file(F.col(f"{ORDINAL}._path")))
+    return schemas.conform(made, known) if known else made
 
 
 def read_archives(spark: SparkSession, paths: Sequence[str], dataset: str, first_member_only: bool = False) -> DataFrame:
-    """Rows of all archives under the declared schema, or under the header's names as text; with _member.
+    """Rows of all archives under the declared schema, or under the names of all headers as texts; with _member and __ordinal.
 
-    Whether a member begins with a header is decided member by member. Archives without any CSV raise.
+    Each member is decoded by its own header, in one pass. Archives without any CSV raise.
     """
-    lines = archive_lines(spark, paths, first_member_only).where("error is null")
-    first = lines.where("line = 0").select("fields").first()
-    if first is None:
+    if not any(member for _, member, _ in zip_source.members(paths, first_member_only)):
         raise ValueError(f"no CSV in {list(paths)}")
-    names, _ = schemas.column_names(",".join(first["fields"]), dataset)
-    known = schemas.known_schema(dataset)
-    expected = F.array(*[F.lit(n) for n in (known.names if known else names)])
-    hits = F.size(F.array_intersect(F.transform("fields", F.trim), expected))
-    header = (F.col("line") == 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size("fields") / 2)))
-    rows = lines.where(~header).select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)], F.concat_ws("!", "path", "member").alias("_member"))
-    return schemas.conform(rows, known) if known else rows
+    return rows_of(zip_source.read(spark, paths, dataset, first_member_only), dataset)
+
+
+def bad_archives(spark: SparkSession, paths: Sequence[str], dataset: str = "") -> DataFrame:
+    """(path, error) of the archives and members that can't be read, or not to their ends."""
+    return zip_source.read(spark, paths, dataset).where("_kind = 'error'").select(F.col("_path").alias("path"), F.col("_note").alias("error"))
 
 
-def bad_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(path, error) of the archives that read_archives leaves out."""
-    return archive_lines(spark, paths).where("error is not null").select("path", "error")
+def manifest_of(told: DataFrame) -> DataFrame:
+    """(path, member, rows, bytes, digest, note, error) from what the source tells: one row a member, and one for each archive that can't be read."""
+    ends = told.where("_kind IN ('member', 'error')")
+    return ends.select(
+        F.col("_path").alias("path"), F.col("_member").alias("member"), F.col("_rows").alias("rows"), F.col("_bytes").alias("bytes"), F.col("_digest").alias("digest"),
+        F.when(F.col("_kind") == "member", F.col("_note")).alias("note"), F.when(F.col("_kind") == "error", F.col("_note")).alias("error"),
+    )
 
 
 def member_manifest(rows: DataFrame, id_column: str | None = None) -> DataFrame:

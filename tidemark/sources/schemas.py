@@ -31,7 +31,10 @@ _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
 
 
 def known_schema(dataset: str) -> T.StructType | None:
-    return T.StructType.fromDDL(KNOWN[dataset]) if dataset in KNOWN else None
+    """Also in a worker, where there is no session to parse a text."""
+    kinds = {"long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    pairs = [c.split() for c in KNOWN[dataset].split(", ")] if dataset in KNOWN else None
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in pairs]) if pairs else None
 
 
 def is_header(tokens: Sequence[str], expected: Iterable[str] | None = None) -> bool:
@@ -56,6 +59,23 @@ def column_names(first_line: str, dataset: str) -> tuple[list[str], bool]:
     return [f"col_{i}" for i in range(len(tokens))], False
 
 
+#: What tells aggregated trades apart if they have no id.
+TRADE_KEY = ("timestamp", "price", "quantity", "first_trade_id", "last_trade_id")
+
+
+def agg_trade_keys(columns: Sequence[str]) -> list[str]:
+    """The columns by which repeats of aggregated trades are found: the id, else the five of TRADE_KEY (either name of the time), else none."""
+    if "agg_trade_id" in columns:
+        return ["agg_trade_id"]
+    found = ["transact_time" if k == "timestamp" and k not in columns else k for k in TRADE_KEY]
+    return found if set(found) <= set(columns) else []
+
+
+def key_notes(dataset: str, columns: Sequence[str]) -> list[str]:
+    """What there is to note of a source that has no key."""
+    return ["no key tells repeats; in order of time only"] if dataset == "aggTrades" and not agg_trade_keys(columns) else []
+
+
 def validation(dataset: str, names: Sequence[str]) -> str:
     schema = known_schema(dataset)
     return "unknown" if schema is None else "valid" if list(names) == schema.names else "invalid"
