@@ -45,3 +45,21 @@ def test_recipes(spark, tmp_path, capsys, exists):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
     cli.main(["coverage", "--files", f"{tmp_path}/files", "--symbol", "A"], spark)
     assert ("2024-01-01" in capsys.readouterr().out.split("start_date")[1]) == exists
+
+
+def test_cache_and_menu_from_the_command_line(spark, tmp_path, capsys):
+    import json
+    import zipfile
+
+    from tidemark.cli import main
+
+    for day in ("2024-01-01", "2024-01-02"):
+        folder = tmp_path / "zips/um/daily/trades/A"
+        folder.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(folder / f"A-trades-{day}.zip", "w") as z:
+            z.writestr("x.csv", "1,10,1,10,1704067200000,true\n")
+    source = ["--market", "um", "--start", "2024-01-01", "--end", "2024-01-03"]
+    assert main(["cache-build", *source, "--archives", f"{tmp_path}/zips", "--cache", f"{tmp_path}/cache", "--dataset", "trades", "--symbol", "A"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["summary"] == {"ok": 2, "missing": 1, "missing_404": 0, "network_error": 0, "error": 0, "skipped": 0}
+    assert main(["menu-build", *source, "--archives", f"{tmp_path}/zips/um", "--store", f"{tmp_path}/store", "--dataset", "trades", "--symbol", "A", "B"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"jobs": 2, "searched": 2, "skipped": 0, "found": 1, "uncertain": 0}

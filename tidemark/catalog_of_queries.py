@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.formulas import ColumnSpec, FormulaEngine, wrap
 from tidemark.operators import align, ordered, processors, resample
-from tidemark.plans import builder, catalog, research
+from tidemark.plans import builder, cache, catalog, research
 from tidemark.session import table
 from tidemark.sources import schemas
 from tidemark.sources.recipes import InputSource, Recipe
@@ -550,6 +550,60 @@ def inspect_head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.orderBy("ts", "event_id").limit(50).union(events.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)).select("event_id", "value")
 
 
+def _order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a catalog of monthly files: one for each status and month, there if the month has an even number of its orders."""
+    months = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("symbol"), F.date_format("o_orderdate", "yyyy-MM").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return months.select(F.lit("um").alias("market"), F.lit("trades").alias("dataset_type"), "symbol", F.lit(None).cast("string").alias("interval"), F.lit("monthly").alias("cadence"), "date", (F.col("n") % 2 == 0).alias("exists"))
+
+
+def _order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("symbol")).agg(F.date_add(F.min("o_orderdate").cast("date"), 3).cast("string").alias("start"), F.max("o_orderdate").cast("date").cast("string").alias("end"))
+    return ends.select(F.lit("um").alias("market"), F.lit("trades").alias("dataset_type"), "symbol", F.lit(None).cast("string").alias("interval"), "start", "end")
+
+
+_COVER = """
+WITH files AS (SELECT o_orderstatus AS symbol, strftime(o_orderdate, '%Y-%m') AS month, count(*) % 2 = 0 AS there FROM orders GROUP BY 1, 2),
+ends AS (SELECT o_orderstatus AS symbol, CAST(min(o_orderdate) AS DATE) + 3 AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders GROUP BY 1),
+days AS (SELECT symbol, CAST(unnest(generate_series(low::TIMESTAMP, high::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS day FROM ends WHERE low <= high),
+m AS (SELECT symbol, day, strftime(day, '%Y-%m') AS month, count(*) OVER (PARTITION BY symbol, strftime(day, '%Y-%m')) = day(last_day(day)) AS whole FROM days),
+p AS (SELECT m.symbol, day, CASE WHEN whole AND coalesce(there, TRUE) THEN month END AS monthly FROM m LEFT JOIN files USING (symbol, month)),
+tasks AS (SELECT symbol, CASE WHEN monthly IS NULL THEN 'daily' ELSE 'monthly' END AS cadence, coalesce(monthly, strftime(day, '%Y-%m-%d')) AS date, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day, count(*) AS days FROM p GROUP BY ALL)
+"""
+
+
+@query(f"{_COVER} SELECT * FROM tasks")
+def cache_file_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest files that hold each status's days: monthly where a month is whole and its file isn't known to be absent."""
+    made = cache.cover(_order_requests(spark, sf_dir), _order_files(spark, sf_dir), prefer_monthly=True)
+    return made.select("symbol", "cadence", "date", *[F.col(c).cast("string").alias(c) for c in ("first_day", "last_day")], "days")
+
+
+@query(f"{_COVER} SELECT cadence, substr(date, 1, 4) AS year, count(*) AS files, CAST(sum(days) AS BIGINT) AS days FROM tasks WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = tasks.symbol AND tasks.cadence = 'daily' AND strftime(o.o_orderdate, '%Y-%m-%d') = tasks.date AND o.o_orderkey % 4 = 0) GROUP BY ALL")
+def cache_outstanding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by year that a build has still to make: those of the days of every fourth order are recorded as built, others with errors."""
+    tasks = cache.cover(_order_requests(spark, sf_dir), _order_files(spark, sf_dir), prefer_monthly=True)
+    orders = table(spark, sf_dir, "orders").select(F.lit("um").alias("market"), F.lit("trades").alias("dataset_type"), F.col("o_orderstatus").alias("symbol"), F.lit(None).cast("string").alias("interval"), F.lit("daily").alias("cadence"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.when(F.col("o_orderkey") % 4 == 0, cache.OK).otherwise(cache.ERROR).alias("status")).distinct()
+    return cache.outstanding(tasks, orders).groupBy("cadence", F.substring("date", 1, 4).alias("year")).agg(F.count(F.lit(1)).alias("files"), F.sum("days").alias("days"))
+
+
+_ISLANDS = f"""
+WITH {FILES}, e AS (SELECT symbol, date, CAST(date AS DATE) - DATE '1970-01-01' AS k FROM files WHERE exists_), r AS (SELECT *, k - row_number() OVER (PARTITION BY symbol ORDER BY k) AS run FROM e),
+i AS (SELECT symbol, run, min(date) AS start_date, max(date) AS end_date, count(*) AS n FROM r GROUP BY symbol, run)
+"""
+
+
+@query(f"{_ISLANDS} SELECT symbol, start_date, end_date, n FROM i")
+def catalog_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of days with files."""
+    return catalog.islands(files(spark, sf_dir)).select("symbol", "start_date", "end_date", "n")
+
+
+@query(f"{_ISLANDS}, g AS (SELECT symbol, end_date AS after, lead(start_date) OVER (PARTITION BY symbol ORDER BY start_date) AS before FROM i) SELECT symbol, after, before, CAST(before AS DATE) - CAST(after AS DATE) - 1 AS n FROM g WHERE before IS NOT NULL")
+def catalog_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies between the runs."""
+    return catalog.gaps(files(spark, sf_dir)).select("symbol", "after", "before", "n")
+
+
 # Evaluation of forecasts; inferred from published results, there is no definition
 
 

@@ -3,6 +3,8 @@
 formulas        columns from formulas over a Parquet table
 coverage        coverage of a catalog table of files
 schema-inspect  what a CSV archive holds
+cache-build     the files of a source and range, from a folder of archives into the cache
+menu-build      ranges of all sources of a menu, recorded as they are found
 recipe-check    a recipe against a catalog and registered schemas
 recipe-execute  a recipe over the cache
 """
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.formulas import ColumnSpec, FormulaEngine
-from tidemark.plans import builder, catalog
+from tidemark.plans import builder, cache, catalog
+from tidemark.plans.store import SnapshotStore
 from tidemark.session import session
 from tidemark.sources import archives, recipes, schemas
 
@@ -49,6 +52,18 @@ def schema_inspect(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps(schemas.inspect(rows, a.dataset), indent=2))
 
 
+def cache_build(spark: SparkSession, a: argparse.Namespace) -> None:
+    held = cache.RawCache(spark, a.cache, a.archives, a.base)
+    tasks = held.plan(a.market, a.dataset, a.symbol, a.start, a.end, a.interval, a.cadence, a.prefer_monthly)
+    print(json.dumps(held.build(tasks, a.force, f"cache_{a.market}_{a.symbol}_{a.dataset}_{a.cadence}"), indent=2))
+
+
+def menu_build(spark: SparkSession, a: argparse.Namespace) -> None:
+    jobs = catalog.menu_jobs(spark, {a.market: a.dataset}, a.symbol or catalog.SYMBOLS, a.interval or ("1h",), a.monthly)
+    low, high = catalog.period(a.start)[0], catalog.period(a.end)[1]
+    print(json.dumps(catalog.menu_build(SnapshotStore(spark, a.store), jobs, catalog.folder_probe(a.base, a.archives), a.base, low, high), indent=2))
+
+
 def _registry(spark: SparkSession, path: str | None) -> schemas.SchemaRegistry:
     return schemas.SchemaRegistry.from_df(spark.read.parquet(path)) if path else schemas.SchemaRegistry(spark)
 
@@ -88,6 +103,9 @@ def parser() -> argparse.ArgumentParser:
     command("formulas", formulas, ("--table", need), ("--formulas", need), ("--output", need), ("--order", {"default": "ts"}), ("--partition-by", {"nargs": "*"}), ("--only-new", flag))
     command("coverage", coverage, ("--files", need), ("--symbol", {"nargs": "*"}), ("--rows", {"type": int, "default": 100}))
     command("schema-inspect", schema_inspect, ("--dataset", need), ("archives", {"nargs": "+"}))
+    source = [("--market", need), ("--archives", need), ("--base", {"default": ""}), ("--start", need), ("--end", need)]
+    command("cache-build", cache_build, *source, ("--cache", need), ("--dataset", need), ("--symbol", need), ("--interval", {}), ("--cadence", {"default": "daily", "choices": ["daily", "monthly"]}), ("--prefer-monthly", flag), ("--force", flag))
+    command("menu-build", menu_build, *source, ("--store", need), ("--dataset", need | {"nargs": "+"}), ("--symbol", {"nargs": "*"}), ("--interval", {"nargs": "*"}), ("--monthly", flag))
     command("recipe-check", recipe_check, ("--recipe", need), ("--files", need), ("--schemas", {}))
     command("recipe-execute", recipe_execute, ("--recipe", need), ("--cache", need), ("--output", need), ("--files", {}), ("--schemas", {}), ("--force", flag))
     return p

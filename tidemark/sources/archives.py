@@ -69,7 +69,7 @@ PARTITIONS = ("market", "dataset_type", "symbol", "interval", "cadence", "date")
 
 def write_cache(df: DataFrame, root: str, **partition: str) -> None:
     """Adds rows to the cache; a date is written again whole."""
-    made = df.withColumns({k: F.lit(partition[k]) if k in partition else F.col(k) for k in PARTITIONS})
+    made = df.withColumns({k: F.lit(partition[k]) for k in PARTITIONS if k in partition})
     made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(root)
 
 
