@@ -656,3 +656,13 @@ def test_token_counts(odd, block_ids):
 
 def test_token_counts_of_nothing(empty):
     assert token_scan.token_counts(empty, TOKENIZER, 49407).count() == 0
+
+
+def test_leaks_are_dropped_by_text_alone(spark):
+    """Whatever columns and ids there are, and in however many parts the benchmark is scanned."""
+    rows = [("a3", LINE), ("a3", "clean words"), (None, LINE.upper()), (None, None), ("b", ""), ("c", "clean words")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumns({"key0": F.lit(1), "key1": F.lit(2), "text_key": F.lit(3), "__gone_id": F.lit(4)})
+    benchmark = spark.createDataFrame([(1, LINE), (2, "else " * 12)], "item_id long, text string")
+    for most_chars in (1_000_000, 70):
+        kept = decontamination.drop_contaminated(docs, benchmark, most_chars=most_chars)
+        assert kept.columns == docs.columns and sorted((r["doc_id"] or "", r["text"] or "") for r in kept.collect()) == [("", ""), ("a3", "clean words"), ("b", ""), ("c", "clean words")]

@@ -14,18 +14,19 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, materialise, rows, slices, table
+from tidemark.llm.common import ASCII_LOWER, ASCII_UPPER, map_rows, materialise, rows, slices, small, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)  # keeps every character's place
 _FIRST = 0x10000  # symbols start above the surrogates
 _AUTOMATA: dict[str, Automaton] = {}
 
+#: Characters of the items that one automaton holds; each worker builds it, and takes about 120 bytes a character.
+MOST_CHARS = 1_000_000
 SPAN = "array<struct<start:long,end:long>>"
 DDL = f"doc_id long, n_words long, hits {SPAN}, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -131,7 +132,7 @@ def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
     return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, DDL, SCHEMA)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: int = 16_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: int = MOST_CHARS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, hits (runs of word positions), items, n_hit, contaminated.
 
     ``most_chars`` bounds the items that one automaton holds; a larger benchmark takes one scan for
@@ -166,23 +167,31 @@ def hit_characters(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: int = 16_000_000) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark window, in the columns of ``docs``; texts are not shuffled.
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: int = MOST_CHARS) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window, in the columns of ``docs``, whatever their names; texts are not shuffled.
 
-    Null and empty texts, repeated rows and rows of one doc_id are each judged by their own text and stay where it is clean. An empty
+    Whether a row goes depends on its text alone, so only two hashes of the texts that go come back from the scan, and rows are dropped by
+    these. Null and empty texts, repeated rows and rows of one doc_id are each judged by their own text and stay where it is clean. An empty
     table stays empty; with an empty benchmark every row stays.
     """
-    kept, at = docs, docs.columns.index("text")
+    text = docs["text"].cast("string")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    texts = docs.select(text.alias("text"), *[k.alias(f"key{i}") for i, k in enumerate(keys)])
+    schema = pa.schema([("key0", pa.int64()), ("key1", pa.int64())])
+    found = None
     for items in _item_parts(benchmark, most_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], machine_of=_shared(docs, items, window)) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], machine_of=_shared(docs, items, window)) -> Iterator[tuple]:
             machine = machine_of()
             for batch in rows(batches):
-                clean = [not machine.scan(t)[1] for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(np.array(clean, bool)))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+                for text, *key in zip(*[c.to_pylist() for c in batch.columns]):
+                    if machine.scan(text)[1]:
+                        yield tuple(key)
+
+        part = map_rows(texts, run, "key0 long, key1 long", schema)
+        found = part if found is None else found.unionByName(part)
+    gone = materialise(found.distinct())
+    return docs.join(small(gone), (keys[0] == gone["key0"]) & (keys[1] == gone["key1"]), "left_anti")
 
 
 def op7_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
