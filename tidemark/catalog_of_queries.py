@@ -5,7 +5,10 @@ Doubles are rounded in both, since sums of parts differ in their last bits.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.formulas import ColumnSpec, FormulaEngine, wrap
 from tidemark.operators import align, ordered, processors, resample
 from tidemark.plans import builder, cache, catalog, research
-from tidemark.session import table
-from tidemark.sources import schemas
-from tidemark.sources.recipes import InputSource, Recipe
+from tidemark.plans.store import SnapshotStore
+from tidemark.session import shared_folder, table
+from tidemark.sources import archives, schemas, zip_source
+from tidemark.sources.recipes import InputSource, Recipe, load_recipe, save_recipe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,6 +608,209 @@ def catalog_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.gaps(files(spark, sf_dir)).select("symbol", "after", "before", "n")
 
 
+# Archives, the cache and the store, made of the given tables in the shared folder
+
+
+def _archives(spark: SparkSession, sf_dir: str, folder: str, header: bool) -> None:
+    """Trades as ZIP archives of a CSV file for each symbol and day, written by the tasks that hold them."""
+    t = trades(spark, sf_dir).withColumn("day", F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd"))
+    line = F.concat_ws(",", "id", F.format_string("%.6f", "price"), F.format_string("%.6f", "quantity"), F.format_string("%.6f", F.col("price") * F.col("quantity")), "timestamp", F.lower(F.col("is_buyer_maker").cast("string")))
+    files = t.groupBy("symbol", "day").agg(F.array_join(F.array_sort(F.collect_list(F.struct("timestamp", "id", line.alias("line")))).line, "\n").alias("text"))
+
+    def write(rows) -> None:
+        import io
+        import zipfile
+
+        from tidemark.sources.zip_source import file_system
+
+        for r in rows:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"{r['symbol']}.csv", ("id,price,qty,quote_qty,time,is_buyer_maker\n" if header else "") + r["text"] + "\n")
+            system, inner = file_system(f"{folder}/um/daily/trades/{r['symbol']}/{r['symbol']}-trades-{r['day']}.zip")
+            system.create_dir(inner.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(inner) as out:
+                out.write(held.getvalue())
+
+    files.foreachPartition(write)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_ARCHIVED = f"WITH {TRADES} SELECT symbol, id, round(price, 6) AS price, quantity AS qty, timestamp AS time, is_buyer_maker FROM trades"
+
+
+@query(_ARCHIVED)
+def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades from archives with headers, by the data source; the symbol is that of the file's name."""
+    folder = _folder(spark, "archives")
+    _archives(spark, sf_dir, folder, True)
+    rows = archives.read_archives(spark, [folder], "trades")
+    return rounded(rows.select(schemas.symbol_of_file(F.col(f"{archives.ORDINAL}._path")).alias("symbol"), "id", "price", "qty", "time", "is_buyer_maker"))
+
+
+@query(f"WITH {TRADES} SELECT symbol || '-trades-' || strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d') || '.zip' AS file, symbol || '.csv' AS member, count(*) AS n_rows, CAST(NULL AS VARCHAR) AS note FROM trades GROUP BY symbol, strftime(make_timestamp(timestamp * 1000), '%Y-%m-%d')")
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of archives without headers, with their rows, from the decoding pass."""
+    folder = _folder(spark, "archives")
+    _archives(spark, sf_dir, folder, False)
+    told = archives.manifest_of(zip_source.read(spark, [folder], "trades"))
+    return told.select(F.element_at(F.split("path", "/"), -1).alias("file"), "member", F.col("rows").alias("n_rows"), "note")
+
+
+@query(f"WITH {TRADES}, d AS (SELECT *, CAST(make_timestamp(timestamp * 1000) AS DATE) AS day FROM trades), e AS (SELECT min(day) + 3 AS low, min(day) + 9 AS high FROM d) SELECT symbol, id, round(price, 6) AS price FROM d, e WHERE symbol = 'view' AND day BETWEEN low AND high")
+def cache_build_and_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of one symbol from archives through the cache."""
+    folder = _folder(spark, "archives")
+    _archives(spark, sf_dir, folder, True)
+    first = table(spark, sf_dir, "events").agg(F.min("ts").cast("date")).first()[0]
+    held = cache.RawCache(spark, _folder(spark, "cache"), folder)
+    week = str(first + _days(3)), str(first + _days(9))
+    held.build(held.plan("um", "trades", "view", *week))
+    return rounded(held.scan("um", "trades", "view", *week, columns=["id", "price"]).select(F.lit("view").alias("symbol"), "id", "price"))
+
+
+@query(f"WITH {FILES} SELECT symbol, date, remote_size FROM files WHERE exists_ UNION ALL SELECT symbol, date, NULL FROM files WHERE NOT exists_")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the snapshot store: first without sizes, then the sizes of those that are there; a file without one keeps what it has."""
+    store, rows = SnapshotStore(spark, _folder(spark, "store")), files(spark, sf_dir)
+    store.upsert("files", rows.withColumn("remote_size", F.lit(None).cast("long")))
+    store.upsert("files", rows.withColumn("remote_size", F.when(F.col("exists"), F.col("remote_size"))))
+    return store.read("files").select("symbol", "date", "remote_size")
+
+
+@query(f"WITH {PANEL} SELECT ts, round(click + 1, 6) AS more FROM panel WHERE click > 100")
+def sink_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A formula's column written and read again, with the filter in the scan."""
+    path = _folder(spark, "table")
+    made, _ = FormulaEngine().apply(panel(spark, sf_dir), [ColumnSpec("more", "click + 1")])
+    made.write.parquet(path)
+    return rounded(spark.read.parquet(path).where("click > 100").select("ts", "more"))
+
+
+@query(f"WITH {FILES} SELECT symbol, min(date) AS start_date, max(date) AS end_date FROM files GROUP BY symbol")
+def catalog_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges found by probing: a source has a file on every day from its first event to its last."""
+    days = files(spark, sf_dir).groupBy(*catalog.KEY).agg(F.min("date").alias("low"), F.max("date").alias("high"))
+    ends = {r["symbol"]: (r["low"], r["high"]) for r in days.collect()}  # one row a source
+    probe = lambda url: {} if ends[url.split("/")[-2]][0] <= url[-14:-4] <= ends[url.split("/")[-2]][1] else None
+    low, high = min(a for a, _ in ends.values()), max(b for _, b in ends.values())
+    return catalog.discover(days, probe, "b", date.fromisoformat(low) - _days(400), date.fromisoformat(high) + _days(90)).select("symbol", "start_date", "end_date")
+
+
+@query(f"WITH {FILES} SELECT symbol, date, CAST(substr(date, 10, 1) AS INTEGER) % 2 = 0 AS \"exists\", CASE WHEN CAST(substr(date, 10, 1) AS INTEGER) % 2 = 0 THEN CAST(length(symbol) AS BIGINT) END AS remote_size FROM files")
+def catalog_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existence by a probe: files of even days are there."""
+    asked = files(spark, sf_dir).drop("exists", "remote_size").withColumn("remote_url", catalog.url("b", *[F.col(c) for c in ("cadence", "dataset_type", "symbol", "interval", "date")]))
+    probe = lambda url: {"remote_size": len(url.split("/")[-2])} if int(url[-5]) % 2 == 0 else None
+    return catalog.with_probe(asked, probe).select("symbol", "date", "exists", "remote_size")
+
+
+@query(f"WITH {FILES} SELECT symbol, date, coalesce(CASE WHEN exists_ THEN 'seen' END, '') AS notes, CAST(0 AS BIGINT) AS local_size FROM files")
+def catalog_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column is added, and nulls of another filled."""
+    old = files(spark, sf_dir).select("symbol", "date", F.when(F.col("exists"), "seen").alias("notes"))
+    return catalog.migrate(old, {"notes": ("string", ""), "local_size": ("long", 0)})
+
+
+@query(f"WITH {FILES}, c AS (SELECT symbol, min(date) FILTER (exists_) AS start_date, count(*) FILTER (exists_) AS num_files FROM files GROUP BY symbol HAVING count(*) FILTER (exists_) > 0) SELECT symbol, CASE WHEN symbol = 'view' THEN '' ELSE start_date END AS start_date, CASE WHEN symbol = 'view' THEN 0 ELSE num_files END AS num_files FROM c")
+def catalog_coverage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source whose files have gone is marked by an empty range."""
+    old = catalog.coverage(files(spark, sf_dir)).select(*catalog.KEY, "start_date", "num_files")
+    gone = old.where("symbol = 'view'").withColumns({"start_date": F.lit(""), "num_files": F.lit(0).cast("long")})
+    return catalog.upsert_coverage(old, gone).select("symbol", "start_date", "num_files")
+
+
+@query(f"WITH {FILES} SELECT symbol, min(date) FILTER (exists_) AS start_date, max(date) FILTER (exists_) AS end_date FROM files WHERE symbol = 'view' GROUP BY symbol")
+def catalog_coverage_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.coverage_of(catalog.coverage(files(spark, sf_dir)), "um", "trades", "view").select("symbol", "start_date", "end_date")
+
+
+@query(f"WITH {FILES} SELECT min(symbol) AS symbol, 'trades' AS dataset_type FROM (SELECT symbol FROM files GROUP BY symbol HAVING count(*) FILTER (exists_) > 0)")
+def catalog_menu_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a choice in a menu names; an interval doesn't count where there are no bars."""
+    return catalog.menu_row(catalog.coverage(files(spark, sf_dir)), "trades", "daily", "1h").select("symbol", "dataset_type")
+
+
+@query(f"WITH {FILES} SELECT symbol, CAST(count(*) FILTER (NOT exists_) AS BIGINT) AS missing FROM files WHERE symbol IN ('click', 'view') GROUP BY symbol HAVING count(*) FILTER (NOT exists_) > 0")
+def recipe_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of a recipe with missing dates, and how many, as validation finds them."""
+    recipe = Recipe("v", ["click", "view"], {"start": "1990-01-01", "end": "2050-01-01"}, [InputSource("trades", ["price"])], join_policy={"key": "time", "missing": "drop"})
+    registry = schemas.SchemaRegistry(spark)
+    registry.register(schemas.RegisteredSchema("trades", ["time", "price"], primary_time_key="time"))
+    told = {e.split(" ")[0] for e in builder.validate(recipe, files(spark, sf_dir), registry)}
+    gone = files(spark, sf_dir).where(F.col("symbol").isin(sorted(told)) & ~F.col("exists"))
+    return gone.groupBy("symbol").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("SELECT column_name AS name, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'int64' WHEN column_type = 'DOUBLE' THEN 'float64' ELSE 'str' END AS dtype, 'unknown' AS validation FROM (DESCRIBE events) UNION ALL SELECT 'later', 'float64', 'unknown'")
+def schema_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspection finds of events, registered, and a column registered later."""
+    registry = schemas.SchemaRegistry(spark)
+    registry.register(schemas.RegisteredSchema(**schemas.inspect(table(spark, sf_dir, "events"), "events")))
+    registry.register(schemas.RegisteredSchema("events", ["later", "ts"], {"later": "float64"}))
+    held = registry.to_df()
+    names = held.select(F.explode("columns").alias("name"), F.from_json("dtypes", "map<string,string>").alias("dtypes"), F.col("validation_status").alias("validation"))
+    return names.select("name", F.col("dtypes")[F.col("name")].alias("dtype"), "validation")
+
+
+@query(f"WITH {TRADES}, b AS (SELECT symbol, timestamp - timestamp % 3600000 AS ts, max_by(price, (timestamp, id)) AS close FROM trades GROUP BY 1, 2) SELECT symbol, ts, close FROM b WHERE symbol IN ('click', 'error')")
+def recipe_from_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe written as JSON, read and executed."""
+    recipe = Recipe("file", ["click", "error"], {"start": "2020-01-01", "end": "2030-01-01"}, [InputSource("trades", ["close"], resample=True, resample_freq="1h")], join_policy={"key": "ts", "missing": "drop"})
+    with tempfile.TemporaryDirectory() as folder:
+        save_recipe(recipe, f"{folder}/r.json")
+        recipe = load_recipe(f"{folder}/r.json")
+    rows = trades(spark, sf_dir)
+    return builder.execute(recipe, lambda symbol, _: rows.where(F.col("symbol") == symbol).drop("symbol"))[0]
+
+
+@query(f"WITH {PANEL}, l AS (SELECT *, last_value(click IGNORE NULLS) OVER (ORDER BY ts) AS c, last_value(view IGNORE NULLS) OVER (ORDER BY ts) AS v FROM panel) SELECT 'X_panel_click' AS \"column\", count(*) FILTER (click IS NULL) AS before, count(*) FILTER (c IS NULL) AS after, count(*) AS rows FROM l UNION ALL SELECT 'X_panel_view', count(*) FILTER (view IS NULL), count(*) FILTER (v IS NULL), count(*) FROM l")
+def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a build, as rows."""
+    one = builder.Selection("um", "panel", "X", "1990", "2050", columns=["click", "view"])
+    _, report = builder.build(builder.BuildConfig([one], 0, "ffill"), lambda s: panel(spark, sf_dir))
+    rows = [(c, n["before"], n["after"], report["rows"]) for c, n in report["nulls"].items()]  # one row a column
+    return spark.createDataFrame(rows, "column string, before long, after long, rows long")
+
+
+@query(f"WITH {PANEL} SELECT round(click * 2, 6) AS good, round(click * 2 + view, 6) AS later, 8 AS errors, ts FROM panel")
+def formula_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas that can't be compiled are left out and told: circles, a need of itself, unknown names, syntax, what isn't allowed, a name that is there."""
+    bad = [("a", "b + 1"), ("b", "COL('a')"), ("self", "self + 1"), ("unknown", "nothing + 1"), ("syntax", "click +"), ("unsafe", "click.real"), ("view", "click"), ("", "click")]
+    specs = [ColumnSpec("later", "good + COL('view')"), *[ColumnSpec(*x) for x in bad], ColumnSpec("good", "COL('click') * 2")]
+    made, errors = FormulaEngine().apply(panel(spark, sf_dir), specs)
+    return rounded(made.select("good", "later", F.lit(len(errors)).alias("errors"), "ts"))
+
+
+_NO_ID = f"WITH {TRADES} SELECT timestamp, price, quantity, id AS first_trade_id, id + 1 AS last_trade_id"
+
+
+def _without_id(spark: SparkSession, sf_dir: str, *drop: str) -> DataFrame:
+    t = trades(spark, sf_dir).select(F.col("timestamp").alias("transact_time"), "price", "quantity", F.col("id").alias("first_trade_id"), (F.col("id") + 1).alias("last_trade_id"))
+    return processors.process("aggTrades", t.unionByName(t).drop(*drop))
+
+
+@query(f"{_NO_ID} FROM trades")
+def source_agg_trades_without_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats by the five columns that stand for an id."""
+    return _without_id(spark, sf_dir).select("timestamp", "price", "quantity", "first_trade_id", "last_trade_id")
+
+
+@query(f"{_NO_ID.replace(', id + 1 AS last_trade_id', '')} FROM trades, (VALUES (1), (2)) v(n)")
+def source_agg_trades_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a key all rows stay."""
+    return _without_id(spark, sf_dir, "last_trade_id").select("timestamp", "price", "quantity", "first_trade_id")
+
+
+@query(f"WITH {PANEL} SELECT ts, click, view FROM panel")
+def fill_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strategy that isn't known changes nothing."""
+    return align.fill(panel(spark, sf_dir).select("ts", "click", "view"), "none")
+
+
 # Evaluation of forecasts; inferred from published results, there is no definition
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import align, processors
 from tidemark.plans import catalog
+from tidemark.session import materialise
 from tidemark.sources.recipes import InputSource, Recipe
 from tidemark.sources.schemas import SchemaRegistry
 
@@ -75,8 +76,9 @@ def source(selection: Selection, read: Reader) -> DataFrame:
 def build(config: BuildConfig, read: Reader) -> tuple[DataFrame, dict]:
     """The wide table, ts last, and a report. Written to ``config.output`` if that is set.
 
-    A selection that can't be read is left out and named in the report's errors, but the anchor must be there. Everything is one
-    lazy plan; the report counts the rows of all selections in one pass, and rows and nulls in one pass before the fill and one after.
+    A selection that can't be read is left out and named in the report's errors, but the anchor must be there. The joined table is
+    written once, so that neither the report's counts, before the fill and after it, nor the result read the sources again; the rows of all
+    selections are counted in one pass.
     """
     if not config.selections or not 0 <= config.anchor_index < len(config.selections):
         raise ValueError("there is no anchor selection")
@@ -95,7 +97,7 @@ def build(config: BuildConfig, read: Reader) -> tuple[DataFrame, dict]:
     if not heights[config.anchor_index]:
         raise ValueError("the anchor has no rows in its range")
     anchor = sources[config.anchor_index]
-    joined = align.join_on_anchor(anchor, [x for i, x in sources.items() if i != config.anchor_index])
+    joined = materialise(align.join_on_anchor(anchor, [x for i, x in sources.items() if i != config.anchor_index]))
     filled = align.fill(joined, config.fill)
     values = align.numeric(filled, ["ts"])
     before = align.null_counts(joined, values).first().asDict()
