@@ -723,12 +723,12 @@ def catalog_coverage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.upsert_coverage(old, gone).select("symbol", "start_date", "num_files")
 
 
-@query(f"WITH {FILES} SELECT symbol, min(date) FILTER (exists_) AS start_date, max(date) FILTER (exists_) AS end_date FROM files WHERE symbol = 'view' GROUP BY symbol")
+@query(f"WITH {FILES} SELECT symbol, min(date) FILTER (exists_) AS start_date, max(date) FILTER (exists_) AS end_date FROM files WHERE symbol = 'view' GROUP BY symbol HAVING count(*) FILTER (exists_) > 0")
 def catalog_coverage_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.coverage_of(catalog.coverage(files(spark, sf_dir)), "um", "trades", "view").select("symbol", "start_date", "end_date")
 
 
-@query(f"WITH {FILES} SELECT min(symbol) AS symbol, 'trades' AS dataset_type FROM (SELECT symbol FROM files GROUP BY symbol HAVING count(*) FILTER (exists_) > 0)")
+@query(f"WITH {FILES} SELECT symbol, 'trades' AS dataset_type FROM files GROUP BY symbol HAVING count(*) FILTER (exists_) > 0 ORDER BY symbol LIMIT 1")
 def catalog_menu_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a choice in a menu names; an interval doesn't count where there are no bars."""
     return catalog.menu_row(catalog.coverage(files(spark, sf_dir)), "trades", "daily", "1h").select("symbol", "dataset_type")
