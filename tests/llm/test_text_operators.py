@@ -280,6 +280,7 @@ def test_lists_of_links_in_the_article_stay():
     assert between.count("Second linked name") == 1 and "a long linked title of a source" in between and "Site links" not in between and "Title" in between
 
 
+MENU_WORDS = set(re.sub("<[^>]*>", " ", MENU).split())
 PROSE = ["".join(f"{w}{i} " for i in range(40)).strip() + "." for w in ("first", "second", "third")]
 PARAGRAPHS = "".join(f"<p>{p}</p>" for p in PROSE)
 
@@ -322,6 +323,38 @@ def test_parts_of_an_article():
     assert html_text.main_text(f"<body><div class=story>{PARAGRAPHS}</div>{thread}</body>") == "\n".join(PROSE)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form action=/all><input name=__state><div id=x>{MENU}</div><div>{PARAGRAPHS}</div></form></body>",
+        f"<body><form action=/all>{PARAGRAPHS}</form><div>(c) 2020</div></body>",
+        f"<body><div class=social>{PARAGRAPHS}</div></body>",
+        f"<body><div>{MENU}</div><div class=social>{PARAGRAPHS}<div class=ad>Buy this now.</div></div></body>",
+        f"<body><nav>{MENU}</nav><div class=banner><div class=widget>{PARAGRAPHS}</div></div><footer>(c)</footer></body>",
+        "<body>" + "".join(f"<div class=notice><p>{p}</p></div>" for p in PROSE) + "</body>",
+    ],
+)
+def test_names_never_lose_a_page(page):
+    assert html_text.main_text(page) == "\n".join(PROSE)
+
+
+def test_names_still_tell_where_other_text_is():
+    form = "<form><p>Your mail address</p><input name=mail><button>Send</button></form>"
+    assert html_text.main_text(f"<body><div>{PARAGRAPHS}</div>{form}<div class=social>Share this with all your friends now</div></body>") == "\n".join(PROSE)
+    links = "".join(f"<li><a href=/{i}>Linked title {i}</a></li>" for i in range(4))
+    assert html_text.main_text(f"<body><div class=navbar>{MENU}</div><div><ul>{links}</ul></div></body>").count("Linked title") in (0, 4)
+    assert MENU_WORDS.isdisjoint(html_text.main_text(f"<body><div class=navbar>{MENU}</div><div><ul>{links}</ul></div></body>").split())
+
+
+def test_sources_at_the_end_stay():
+    links = "<ul><li><a href=/a>A first source</a></li><li><a href=/b>A second source</a></li></ul>"
+    for heading in ("References", "Quellen", "Further reading"):
+        for listed in (f"<h2>{heading}</h2>{links}", f"<div class=refs><h2>{heading}</h2>{links}</div>"):
+            got = html_text.main_text(f"<body><div class=story>{PARAGRAPHS}{listed}</div></body>")
+            assert got == "\n".join([*PROSE, heading, "A first source", "A second source"])
+    assert "source" not in html_text.main_text(f"<body><div class=story>{PARAGRAPHS}<h2>More on this site</h2>{links}</div></body>")
+
+
 def test_names():
     furniture = "ad ad-0 site-header cookie_notice comment-list2 comment-form nav-links Sidebar-Inner share".lower().split()
     assert all(map(html_text._names_furniture, furniture))

@@ -9,8 +9,9 @@ other children are as dense as the threshold and hold a good part of the text, o
 
 What HTML itself sets apart (scripts, forms, nav, footer and the like) counts nothing. Names given by a class, id or
 role don't bear on densities. They only keep a block such as reader comments from being taken for the
-article, and leave out such blocks within it. In a subtree other than an article or main element, blocks that are mostly
-links are left out as well where they lie before or after all of the body text.
+article, and leave out such blocks within it; where that would leave nothing of a page, a block that holds most of it stays, whatever its name. In a
+subtree other than an article or main element, blocks that are mostly links are left out as well where they lie before or after all of the
+body text, but for those under a heading such as References at the end.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,9 @@ AROUND = frozenset("ad ads advert advertisement advertising banner sponsor spons
 STATES = frozenset("has with without no is in show hide".split())
 PARTS = frozenset("area bar block body box button buttons container content form group inner item items link links list main panel row section slot text thread title unit wrap wrapper".split())
 
+# Words in a heading over the sources of an article, which are part of it though they are links.
+SOURCES = frozenset("bibliography bibliografía bibliographie citations fuentes fußnoten footnotes literatur literature literaturverzeichnis notes quellen quellenangaben references referencias références reading sources".split())
+
 _ATTRIBUTES = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?)*+)"
 _TOKEN = re.compile(r"([^<]+)|<(/?)([A-Za-z][^\s/>]*+)(?:>|" + _ATTRIBUTES + r"(?:>|\Z))|<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|(<)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"'][^\s>]*)))?")
@@ -48,6 +52,7 @@ _RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _NO_DISPLAY = re.compile(r"display\s*:\s*none")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
+_SOURCE_WORD = re.compile(r"\w+")
 
 
 class Node:
@@ -198,15 +203,22 @@ def density(c: int, t: int, lc: int, lt: int, links_of_body: float) -> float:
     return c / t * max(0.0, math.log(inside) / (math.log(base) if base > 1 else 1.0))
 
 
-def _wraps(node: Node, root: Node) -> bool:
-    """Whether an element is the frame of the page whatever its name: it holds the title or the main element, and most of the text that is no link."""
+def _wraps(node: Node, root: Node, bare: bool = False) -> bool:
+    """Whether an element is the frame of the page whatever its name: it holds most of the text that is no link, and the title or the main element, which a ``bare`` frame need not, nor a form of paragraphs."""
     if 2 * (node.chars - node.link_chars) <= root.chars - root.link_chars:
         return False
-    stack = [node]
+    if bare:
+        return True
+    stack, prose = [node], 0
     while stack:
         at = stack.pop()
         if at.tag in ("h1", "main", "article") and not (at is node or at.named):
             return True
+        if at.tag == "p" and node.tag == "form":
+            prose += at.chars - at.link_chars
+            if 2 * prose > node.chars - node.link_chars:
+                return True
+            continue
         stack += [c for c in at.children if not isinstance(c, str) and not c.never]
     return False
 
@@ -217,15 +229,17 @@ ALIKE = frozenset("section p li dd tr blockquote pre".split())  # look the same
 
 
 def article(root: Node) -> tuple[Node, Node | None]:
-    """The subtree to keep, and the title if the page has a single one and it stands before that."""
+    """The subtree to keep, and the title if the page has a single one and it stands before that.
+
+    Where names leave no text at all, they are mistaken: then a named block with most of the text is the frame of the page, or else no name counts.
+    """
     order = measure(root)
     if not root.chars:
         return root, None
-    for node in reversed(order):
-        node.out = node.parent is not None and node.parent.out or node.named and not _wraps(node, root)
-    if all(n.out for n in order if n.tag in BLOCK and n.tag not in ("html", "body")) and not root.total:
-        for node in order:
-            node.out = False
+    frames = [lambda n: _wraps(n, root), lambda n: _wraps(n, root, bare=True), lambda n: True]
+    if not any(_leave_out(order, f, links=False) for f in frames):
+        # A page of nothing but links.
+        any(_leave_out(order, f, links=True) for f in frames)
     best = max((n for n in order if (n.tag in BLOCK or n is root) and not n.out), key=lambda n: n.total)
     path = [best]
     while path[-1].parent is not None and path[-1].tag != "body":
@@ -240,6 +254,18 @@ def article(root: Node) -> tuple[Node, Node | None]:
     return keep, _title(order, keep)
 
 
+def _leave_out(order: list[Node], framed: Callable[[Node], bool], links: bool) -> bool:
+    """Mark as out the named blocks that aren't frames, and what is in them; whether text is left, other than ``links`` if these don't count."""
+    left, linked = False, set()
+    for node in reversed(order):  # parents first
+        node.out = node.parent is not None and node.parent.out or node.named and not framed(node)
+        if not links and (node.tag == "a" or id(node.parent) in linked):
+            linked.add(id(node))
+        elif not node.out:
+            left = left or any(isinstance(c, str) and c.strip() for c in node.children)
+    return left
+
+
 def _title(order: list[Node], keep: Node) -> Node | None:
     titles = [n for n in order if n.tag == "h1" and not n.out and n.chars]
     if len(titles) != 1:
@@ -254,6 +280,7 @@ def _title(order: list[Node], keep: Node) -> Node | None:
 def blocks_of(top: Node) -> list[str]:
     """The texts of the blocks in page order; inline elements run on, a line break is white space."""
     out, run = [], []
+    # Of each block: its text, whether it is among links, and whether it is a heading.
     within = {"links": 0, "heading": 0}  # how many open elements are mostly links, or headings
 
     def kind(node: Node) -> str | None:
@@ -265,7 +292,7 @@ def blocks_of(top: Node) -> list[str]:
         text = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
-            out.append((text, "links" if within["links"] else "heading" if within["heading"] else "body"))
+            out.append((text, within["links"] > 0, within["heading"] > 0))
 
     stack: list[tuple[Node | str, bool]] = [(top, False)]
     while stack:
@@ -288,10 +315,15 @@ def blocks_of(top: Node) -> list[str]:
                     within[kind(node)] += 1
             stack += [(c, False) for c in reversed(node.children)]
     flush()
-    body = [i for i, (_, what) in enumerate(out) if what == "body"]
+    body = [i for i, (_, links, heading) in enumerate(out) if not links and not heading]
     first, last = (body[0], body[-1]) if body else (len(out), -1)
-    inside = top.tag in ("article", "main")
-    return [text for i, (text, what) in enumerate(out) if what != "links" or inside or first < i < last]
+    inside, sources, kept = top.tag in ("article", "main"), False, []
+    for i, (text, links, heading) in enumerate(out):
+        if heading or not links:
+            sources = heading and not SOURCES.isdisjoint(_SOURCE_WORD.findall(text.lower()))
+        if not links or inside or first < i < last or sources and i > last:
+            kept.append(text)
+    return kept
 
 
 def main_text(page: str | None) -> str:
