@@ -666,3 +666,15 @@ def test_leaks_are_dropped_by_text_alone(spark):
     for most_chars in (1_000_000, 70):
         kept = decontamination.drop_contaminated(docs, benchmark, most_chars=most_chars)
         assert kept.columns == docs.columns and sorted((r["doc_id"] or "", r["text"] or "") for r in kept.collect()) == [("", ""), ("a3", "clean words"), ("b", ""), ("c", "clean words")]
+
+
+def test_helper_names_may_be_taken(quality):
+    """Columns that are called like the helpers of the stages, whatever their case."""
+    docs, labels, n = quality
+    taken = ["__repeats_digest", "__repeats_id", "__REPEATS_ID_", "__gone", "__Gone_id", "__gone_text", "key0", "key1", "text_key"]
+    clash = docs.unionByName(docs.limit(5)).withColumns({c: F.lit(i) for i, c in enumerate(taken)})
+    items = clash.sparkSession.createDataFrame([(1, "no such words")], "item_id long, text string")
+    stages = [lambda d: importance.drop_rejected(d, labels), exact_dedup.drop_repeats, simhash.drop_near_duplicates, lambda d: decontamination.drop_contaminated(d, items)]
+    for stage in stages:
+        kept = stage(clash)
+        assert kept.columns == clash.columns and kept.count() >= 0.95 * n

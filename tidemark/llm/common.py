@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shared_folder, table
 
-__all__ = ["map_rows", "materialise", "rows", "salted", "shared_folder", "small", "table", "text_key", "without_rows"]
+__all__ = ["free_names", "map_rows", "materialise", "rows", "salted", "shared_folder", "small", "table", "text_key", "without_rows"]
 
 #: What counts as white space in the text contracts: space and tab to carriage return.
 SPACES = r"[ \t-\r]+"
@@ -77,10 +77,21 @@ def salted(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int
     return left.withColumn("__salt", F.pmod(F.xxhash64(F.lit(salts), spread), F.lit(salts))).join(copies, [key, "__salt"]).drop("__salt")
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The ``wanted`` names, each with as many underscores behind it as no column of ``docs`` has."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and ``text_key`` are in ``gone`` (written, distinct); nulls match nulls. Columns stay those of ``docs``."""
-    named = gone.select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_text"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & text_key(docs["text"]).eqNullSafe(F.col("__gone_text"))
+    """``docs`` without the rows whose doc_id and ``text_key`` are in ``gone`` (written, distinct); nulls match nulls. Columns stay those of ``docs`` and may have any names."""
+    of_id, of_text = free_names(docs, "__gone_id", "__gone_text")
+    named = gone.select(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_text))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(of_id)) & text_key(docs["text"]).eqNullSafe(F.col(of_text))
     return docs.join(small(named), same, "left_anti")
 
 

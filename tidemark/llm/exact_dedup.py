@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, materialise, small, table
+from tidemark.llm.common import SPACES, free_names, materialise, small, table
 
 GAMMA = 2.0  # positions for each digest of a level
 FOUND = "digest binary, keep_id long, group_size long, keep_rows long, known boolean"
@@ -182,7 +182,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     names of rows are joined, by doc_id and digest; the texts of a group move only where several of its rows carry the winning doc_id. An
     empty table stays empty. Columns may have any names.
     """
-    own = ("__repeats_digest", "__repeats_id")
+    own = free_names(docs, "__repeats_digest", "__repeats_id")
     found = materialise(exact_dedup(docs).select("doc_id", "text_sha256", "kept", "keep_rows"))
     named = lambda rows: materialise(rows.select(F.col("doc_id").alias(own[1]), F.unhex("text_sha256").alias(own[0])).distinct())
     digest = F.unhex(F.sha2(normalised(docs["text"]), 256))

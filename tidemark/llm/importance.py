@@ -205,7 +205,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the sample leaves out, in the columns of ``docs``.
 
     Only the names of those rows are joined; texts are not moved while they are few enough to broadcast. Nulls, ties and empty tables as in ``resample``; rows that share a doc_id
-    but not a text are judged each for itself.
+    but not a text are judged each for itself. Columns may have any names.
     """
     return without_rows(docs, materialise(resample(docs, labels).where("NOT kept").select("doc_id", "text_key").distinct()))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, rows, salted, slices, small, table
+from tidemark.llm.common import free_names, map_rows, materialise, rows, salted, slices, small, table
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # [byte, bit]
@@ -395,10 +395,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     """``docs`` with the smallest doc_id of each of the ``similar_groups``, in the columns of ``docs``.
 
     Rows without a doc_id and texts without a word stay. Rows that share a doc_id stay or go together. Very long texts are
-    read in slices. An empty table stays empty.
+    read in slices. An empty table stays empty. Columns may have any names.
     """
-    gone = materialise(similar_groups(docs, shingle, similarity).select(F.col("node").alias("__gone")).distinct())
-    return docs.join(small(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    (of_id,) = free_names(docs, "__gone")
+    gone = materialise(similar_groups(docs, shingle, similarity).select(F.col("node").alias(of_id)).distinct())
+    return docs.join(small(gone), docs["doc_id"] == F.col(of_id), "left_anti")
 
 
 def op8_segment_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
