@@ -66,7 +66,7 @@ def test_words_lie_outside_spans():
 def private(spark):
     texts = {i: f"common words here {i} stand about nothing much and more" for i in range(40)}
     for i in (1, 2, 3, 4):
-        texts[i] = "common words zorbl write to bo.b@x.example.org or " + "so it goes on " * 200 + f"quendle about nothing {i}"
+        texts[i] = "common words zorbl write to bo.b@x.example.org or " + "so it goes on " * 200 + f"quendle about nothing {'abcd'[i - 1] * 3}"
     texts[5] = "common Zorbl alone"
     texts |= {6: None, 7: "", 8: "bo.b@x.example.org", 9: "call +1 (555) 010-9999 now"}
     rows = [(i, t, None, None, None) for i, t in texts.items()] + [(9, texts[9], None, None, None), (5, "plain text of one id", None, None, None), (None, texts[5], None, None, None)]
@@ -125,6 +125,32 @@ def test_planted_terms_are_caught(spark):
     assert caught >= 0.9 * sum(map(len, planted.values())) and not any(flagged[i] - planted[i] for i in planted)
 
 
+def test_copies_are_no_evidence(spark):
+    """Repeated rows, copies and mails of one wording count once; the same term in texts of other words is still found, in its copies as well."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "so") for b in ("re", "sot", "tam", "vil", "xen")]
+    mail, copied = "dunno@x.example.org said hello to grumbold", "cat@y.example.org went and fetched mirabel"
+    texts = [copied] * 5 + [f"{mail} at {i} o'clock" for i in range(5)]
+    for i in range(4):
+        texts += [" ".join(["dog@z.example.org", *rng.choice(vocabulary, 8), "zebulon"])] * 3
+    texts += [" ".join(rng.choice(vocabulary, 20)) for _ in range(60)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, copied, None, None, None), rows[11], rows[11]]
+    got = sanitise.find_private(spark.createDataFrame(rows, DOCS), 0.8).collect()
+    flagged = sorted((str(r["doc_id"]), texts[r["doc_id"]][t["start"] : t["end"]]) for r in got for t in r["terms"])
+    assert flagged == sorted((str(r[0]), "zebulon") for r in rows if "zebulon" in r[1])
+
+
+def test_shares_of_repeated_texts_sum_up_to_documents(spark):
+    texts = [(1, "a@b.example.org one two"), (1, "a@b.example.org one two"), (1, "a@b.example.org one two"), (2, "a@b.example.org one two"), (3, "a@b.example.org 7 two one"), (4, "onyx"), (None, "onyx"), (None, None), (None, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], DOCS)
+    terms = spark.createDataFrame([("one",), ("two",)], "term string")
+    repeated = sanitise.repeated_texts(sanitise.materialise(sanitise.scan(docs)))
+    for most in (10, 0):
+        counts = sanitise.occurrences(docs, terms, most, repeated).groupBy("term").agg(F.round(F.sum("n")).alias("n"))
+        assert {r["term"]: r["n"] for r in counts.collect()} == {"one": 1, "two": 1, "one*": 1, "two*": 1}
+
+
 def test_sanitised_texts(private):
     docs, rows = private
     got = [(r["doc_id"], r["text"]) for r in sanitise.sanitise(docs, threshold=0.8).collect()]

@@ -7,7 +7,8 @@ share of the entity's own information content, is the term's disclosure, 1 where
 knowing the entity. A term at the threshold or above is generalised to its word stem class (``abc*``)
 where that class discloses less, and removed otherwise, wherever it occurs, also in documents
 without the entity. Estimates need a minimum of documents in which term and entity meet, since a
-word seen once discloses everything it stands beside.
+word seen once discloses everything it stands beside. Copies are no evidence: equal texts count as one document, and so do
+texts with entities that have the same entities and the same words, such as mails of one wording that differ in a number.
 
 The first scan lists the words of documents with entities only. A term in t of N documents that meets
 an entity of e documents in j of them reaches the threshold only if j / t >= (e / N)^(1 - threshold), and the
@@ -19,14 +20,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, materialise, rows, slices, small, table, text_key
+from tidemark.llm.common import map_rows, materialise, rows, salted, slices, small, table, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,14 +42,14 @@ Span = tuple[str, int, int]
 _MENTION = "struct<kind:string,start:long,end:long,entity:string>"
 _SPAN = "struct<start:long,end:long>"
 SCAN_DDL = f"doc_id long, text_key long, mentions array<{_MENTION}>, terms array<string>"
-FOUND_DDL = f"doc_id long, text_key long, term string, n long, at array<{_SPAN}>"
+FOUND_DDL = f"doc_id long, text_key long, term string, n double, at array<{_SPAN}>"
 _L, _S = pa.int64(), pa.string()
 SCAN = pa.schema([
     ("doc_id", _L), ("text_key", _L),
     ("mentions", pa.list_(pa.struct([("kind", _S), ("start", _L), ("end", _L), ("entity", _S)]))),
     ("terms", pa.list_(_S)),
 ])
-FOUND = pa.schema([("doc_id", _L), ("text_key", _L), ("term", _S), ("n", _L), ("at", pa.list_(pa.struct([("start", _L), ("end", _L)])))])
+FOUND = pa.schema([("doc_id", _L), ("text_key", _L), ("term", _S), ("n", pa.float64()), ("at", pa.list_(pa.struct([("start", _L), ("end", _L)])))])
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -133,19 +134,43 @@ def _stem(term):
     return F.concat(F.substring(term, 1, STEM), F.lit("*"))
 
 
-def occurrences(docs: DataFrame, terms: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(doc_id, text_key, term, n, at) of each row and word of ``terms``; and of the stem classes of ``terms`` in how many rows they occur, as (term, n) alone.
+def observed() -> Column:
+    """What tells apart the observations in ``scan``: entities and words of a text with entities, any other text itself."""
+    held = F.xxhash64(F.lit("held"), F.array_sort(F.array_distinct("mentions.entity")), "terms")
+    return F.when(F.size("mentions") > 0, held).otherwise(F.col("text_key"))
 
+
+def repeated_texts(scanned: DataFrame) -> DataFrame:
+    """(text_key, least_id, share) of texts in several rows or observed in another text, written: rows of ``least_id`` count as ``share`` of a document each, others as none."""
+    named = scanned.groupBy("text_key", observed().alias("observed"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "n")).alias("least")
+    texts = materialise(named.groupBy("text_key", "observed").agg(least, F.count(F.lit(1)).alias("names")))
+    firsts = texts.groupBy("observed").agg(F.min("text_key").alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("observed", "first")
+    later = materialise(salted(texts, firsts, "observed", "text_key").where("text_key != first").select("text_key"))
+    shared = texts.where("names > 1 OR least.n > 1").join(later, "text_key", "left_anti").select("text_key", F.col("least.doc_id").alias("least_id"), (F.lit(1.0) / F.col("least.n")).alias("share"))
+    return materialise(shared.unionByName(later.select("text_key", F.lit(None).cast("long").alias("least_id"), F.lit(0.0).alias("share"))))
+
+
+def occurrences(docs: DataFrame, terms: DataFrame, most: int = 1_000_000, repeated: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_key, term, n, at) of each row and word of ``terms``; and of the stem classes of ``terms`` in how many documents they occur, as (term, n) alone.
+
+    ``n`` sums up to documents, where each row is one but for those of ``repeated`` (see ``repeated_texts``).
     ``terms`` (written, distinct) goes to the tasks as a set if it has ``most`` rows at most; otherwise every word is listed and joined.
     """
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_key(docs["text"]).alias("text_key"), docs["text"].cast("string").alias("text"))
+    if repeated is None:
+        keyed = keyed.withColumn("weight", F.lit(1.0))
+    else:
+        weight = F.when(F.col("share").isNull(), 1.0).when(F.col("doc_id").eqNullSafe(F.col("least_id")), F.col("share")).otherwise(0.0)
+        keyed = keyed.join(small(repeated), "text_key", "left").select("doc_id", "text_key", "text", weight.alias("weight"))
     listed = terms.limit(most + 1).count() <= most
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()) if listed else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        wanted, classes = shared.value, Counter()
+        wanted, classes = shared.value, defaultdict(float)
         stems = None if wanted is None else {t[:STEM] for t in wanted}
         for batch in rows(batches):
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, key, text, weight in zip(*(c.to_pylist() for c in batch.columns)):
                 text = text or ""
                 found = {w for part in slices(text) for w in _TERM.findall(part.lower())}
                 if stems is not None and not any(w[:STEM] in stems for w in found):
@@ -157,16 +182,17 @@ def occurrences(docs: DataFrame, terms: DataFrame, most: int = 1_000_000) -> Dat
                         at[w].append({"start": a, "end": b})
                     found = set(at)
                     for w in at if wanted is None else wanted.intersection(at):
-                        yield doc_id, key, w, 1, at[w]
+                        yield doc_id, key, w, weight, at[w]
                 else:
                     found = {w for w in found if len(w) > 1}
-                classes.update({w[:STEM] for w in found if stems is None or w[:STEM] in stems})
+                for stem in {w[:STEM] for w in found if stems is None or w[:STEM] in stems} if weight else ():
+                    classes[stem] += weight
             if len(classes) > most:
                 yield from ((None, None, c + "*", n, None) for c, n in classes.items())
                 classes.clear()
         yield from ((None, None, c + "*", n, None) for c, n in classes.items())
 
-    found = map_rows(docs.select(docs["doc_id"].cast("long"), text_key(docs["text"]), docs["text"].cast("string")), run, FOUND_DDL, FOUND)
+    found = map_rows(keyed, run, FOUND_DDL, FOUND)
     if listed:
         return found
     either = terms.unionByName(terms.select(_stem("term").alias("term"))).distinct()
@@ -194,7 +220,7 @@ def joint_terms(scanned: DataFrame, threshold: float, support: int) -> DataFrame
 def disclosing_terms(scanned: DataFrame, joint: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """(entity, term, disclosure, action): terms whose disclosure of an entity is ``threshold`` or more. An entity in every row has no information and is disclosed by nothing."""
     total = F.lit(float(max(1, scanned.count())))
-    counted = joint.join(found.groupBy("term").agg(F.sum("n").alias("n")), "term")
+    counted = joint.join(found.groupBy("term").agg(F.round(F.sum("n")).alias("n")).where("n > 0"), "term")
     ic = F.log(total / F.col("n_entity"))
     pmi = F.log(total * F.col("n_joint") / (F.col("n_entity") * F.col("n")))
     shown = materialise(counted.select("entity", "term", F.when(ic > 0, pmi / F.when(ic > 0, ic)).otherwise(0.0).alias("disclosure")))
@@ -206,9 +232,11 @@ def disclosing_terms(scanned: DataFrame, joint: DataFrame, found: DataFrame, thr
 
 def private_terms(docs: DataFrame, scanned: DataFrame, threshold: float, support: int) -> DataFrame:
     """(doc_id, text_key, terms): the spans and actions of the disclosing terms of each text that has any, written."""
-    joint = joint_terms(scanned, threshold, support)
-    found = materialise(occurrences(docs, materialise(joint.where(~F.col("term").endswith("*")).select("term").distinct())))
-    actions = materialise(disclosing_terms(scanned, joint, found, threshold).groupBy("term").agg(F.max("action").alias("action")))  # remove wins over generalise
+    evidence = materialise(scanned.select(observed().alias("observed"), "mentions", "terms").dropDuplicates(["observed"]))
+    joint = joint_terms(evidence, threshold, support)
+    terms = materialise(joint.where(~F.col("term").endswith("*")).select("term").distinct())
+    found = materialise(occurrences(docs, terms, repeated=repeated_texts(scanned)))
+    actions = materialise(disclosing_terms(evidence, joint, found, threshold).groupBy("term").agg(F.max("action").alias("action")))  # remove wins over generalise
     at = found.where(F.col("at").isNotNull()).join(small(actions), "term").select("doc_id", "text_key", "action", F.explode("at").alias("x"))
     spans = F.array_sort(F.collect_set(F.struct("x.start", "x.end", "action")))  # rows that repeat doc_id and text have one answer
     return materialise(at.groupBy("doc_id", "text_key").agg(spans.alias("terms")))
@@ -227,7 +255,7 @@ def with_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
 def find_private(docs: DataFrame, threshold: float = 0.9, support: int = 3) -> DataFrame:
     """One row for each row of ``docs``: doc_id, mentions, terms (start, end, action).
 
-    A null text counts as empty and has no spans. Repeated rows each count as a document and get one answer. Very long
+    A null text counts as empty and has no spans. Repeated rows and copies get one answer and count as one document where terms are judged. Very long
     texts are read in slices. An empty table gives no rows; other columns are ignored.
     """
     scanned = materialise(scan(docs))
