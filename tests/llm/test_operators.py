@@ -622,10 +622,33 @@ def test_wrapped_licences(spark):
     assert got == [[x] for x, _ in texts]
 
 
+# Licences that a sentence refers to by name.
+REFERRING = [
+    ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("// SPDX-License-Identifier: Apache-2.0\npackage main\n", ["Apache-2.0"]),
+    ("# spdx-license-identifier: (MIT OR Apache-2.0)\nimport os", ["Apache-2.0", "MIT"]),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", ["GPL-2.0-or-later"]),
+    ("/* SPDX-License-Identifier: GPL-2.0 */\n#include <x.h>", ["GPL-2.0-only"]),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+    ("Our tool is licensed under\nthe Apache License, Version 2.0, and so is the other.", ["Apache-2.0"]),
+    ("It is released under the terms of the GNU General Public License version 3 or later; enjoy.", ["GPL-3.0-or-later"]),
+    ("The data are available under a CC BY-SA 4.0 licence and the code is distributed under the BSD 3-Clause License", ["BSD-3-Clause", "CC-BY-SA-4.0"]),
+    ("Dual licensed under the MIT license or the Apache License 2.0.", ["Apache-2.0", "MIT"]),
+    ("Released under the Mitre plan", []),
+    ("MIT is a university, licensed under nothing", []),
+    ("SPDX-License-Identifier: LicenseRef-Own", []),
+]
+
+
+def test_licences_by_name(spark):
+    got = licences.recognise(docs_of(spark, [t for t, _ in REFERRING])).orderBy("doc_id").collect()
+    assert [(t, r["licences"]) for (t, _), r in zip(REFERRING, got)] == REFERRING
+
+
 def test_licence_sql_on_wrapped_texts(spark):
     import duckdb
 
-    rows = [(i, t) for i, t in enumerate([APACHE, *(x for v in NOTICES.values() for x in v), "a. b\nAll rights reserved\nc", "All rights\nreserved.", None, ""])]
+    rows = [(i, t) for i, t in enumerate([APACHE, *(x for v in NOTICES.values() for x in v), *(t for t, _ in REFERRING), "a. b\nAll rights reserved\nc", "All rights\nreserved.", None, ""])]
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)

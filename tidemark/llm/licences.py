@@ -3,7 +3,8 @@
 A text is split into sentences, which may run over line breaks and comment marks; each is normalised and looked up among
 known licence sentences, and the identifiers found, in order, are matched against licence rules. A rule is a sequence of
 identifiers that must follow one another; longer rules come first and consume their sentences, so
-three BSD conditions are not read as two. Everything is a column expression over one row: no
+three BSD conditions are not read as two. A sentence that isn't known may still refer to a licence by name, as
+``SPDX-License-Identifier: MIT`` or ``licensed under the MIT License`` do; each name referred to is an identifier of its own. Everything is a column expression over one row: no
 shuffle, and no row depends on another.
 """
 
@@ -115,6 +116,46 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 
+# Licence, and its names after words that refer to a licence, in normal form.
+NAMES = [
+    ("Apache-2.0", ["apache 2 0", "apache 2", "apache license 2 0", "apache license version 2 0", "apache license v2 0", "apache software license 2 0"]),
+    ("MIT", ["mit", "expat"]),
+    ("BSD-2-Clause", ["bsd 2 clause", "2 clause bsd", "simplified bsd"]),
+    ("BSD-3-Clause", ["bsd 3 clause", "3 clause bsd", "modified bsd", "new bsd"]),
+    ("GPL-2.0-only", ["gpl 2 0 only", "gpl 2 0", "gplv2", "gpl v2", "gnu gpl v2", "gnu general public license version 2", "gnu general public license v2 0"]),
+    ("GPL-2.0-or-later", ["gpl 2 0 or later", "gplv2 or later", "gnu general public license version 2 or later"]),
+    ("GPL-3.0-only", ["gpl 3 0 only", "gpl 3 0", "gplv3", "gpl v3", "gnu gpl v3", "gnu general public license version 3", "gnu general public license v3 0"]),
+    ("GPL-3.0-or-later", ["gpl 3 0 or later", "gplv3 or later", "gnu general public license version 3 or later"]),
+    ("LGPL-2.1-only", ["lgpl 2 1 only", "lgpl 2 1", "lgplv2 1", "gnu lesser general public license version 2 1"]),
+    ("LGPL-2.1-or-later", ["lgpl 2 1 or later", "gnu lesser general public license version 2 1 or later"]),
+    ("LGPL-3.0-only", ["lgpl 3 0 only", "lgpl 3 0", "lgplv3", "gnu lesser general public license version 3"]),
+    ("LGPL-3.0-or-later", ["lgpl 3 0 or later", "gnu lesser general public license version 3 or later"]),
+    ("AGPL-3.0-only", ["agpl 3 0 only", "agpl 3 0", "agplv3", "gnu affero general public license version 3"]),
+    ("AGPL-3.0-or-later", ["agpl 3 0 or later", "gnu affero general public license version 3 or later"]),
+    ("MPL-2.0", ["mpl 2 0", "mozilla public license 2 0", "mozilla public license version 2 0", "mozilla public license v 2 0"]),
+    ("EPL-2.0", ["epl 2 0", "eclipse public license 2 0", "eclipse public license version 2 0"]),
+    ("ISC", ["isc"]),
+    ("0BSD", ["0bsd"]),
+    ("Zlib", ["zlib"]),
+    ("BSL-1.0", ["bsl 1 0", "boost software license 1 0", "boost software license version 1 0"]),
+    ("Unlicense", ["unlicense"]),
+    ("CC-BY-4.0", ["cc by 4 0", "creative commons attribution 4 0 international"]),
+    ("CC-BY-SA-4.0", ["cc by sa 4 0", "creative commons attribution sharealike 4 0 international"]),
+    ("CC-BY-NC-4.0", ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international"]),
+    ("CC-BY-NC-SA-4.0", ["cc by nc sa 4 0"]),
+    ("CC-BY-ND-4.0", ["cc by nd 4 0"]),
+    ("CC0-1.0", ["cc0 1 0", "cc0"]),
+]
+RULES += [(licence, ["Names" + licence]) for licence, _ in NAMES]
+LICENCE_OF = {name: licence for licence, names in NAMES for name in names}
+#: The longest name first, so that no name is found in place of one that goes on.
+_NAME = "(?:" + "|".join(sorted(LICENCE_OF, key=lambda n: (-len(n), n))) + ")"
+#: Words that refer to a licence, then one or more names.
+REFERENCE = r"\b(?:spdx license identifier|licen[sc]ed under|released under|distributed under|available under|published under)(?: the| a| an| terms of)* " + _NAME + rf"(?: licen[sc]e)?(?: (?:and|or)(?: the)? {_NAME}(?: licen[sc]e)?)*\b"
+NAMED = rf"\b{_NAME}\b"
+#: The colon of the tag must not end a sentence.
+TAG, TAG_WORDS = r"spdx-license-identifier[ \t]*:", "spdx-license-identifier"
+
 #: A sentence ends at . ! ? ; or : before white space, and at a line without a letter or digit. A line break is white space, and so are comment marks.
 BOUNDARY = r"[.!?;:][ \t\r\n]+|\n[^0-9a-z\n]*\n"
 #: A sentence that isn't known may be of several lines, such as a title or a notice that ends in no mark.
@@ -133,17 +174,25 @@ def known_sentences() -> dict[str, str]:
 
 def sentences(text: Column) -> Column:
     """Sentences in order, in lower case."""
-    return F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), BOUNDARY)
+    return F.split(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), TAG, TAG_WORDS), BOUNDARY)
+
+
+def references(normal: Column) -> Column:
+    """Identifiers of the licences that a sentence in normal form refers to by name, in order."""
+    licence_of = F.create_map(*[F.lit(x) for name, licence in LICENCE_OF.items() for x in (name, "Names" + licence)])
+    found = F.regexp_extract_all(normal, F.lit(REFERENCE), F.lit(0))
+    return F.flatten(F.transform(found, lambda r: F.transform(F.regexp_extract_all(r, F.lit(NAMED), F.lit(0)), lambda n: F.try_element_at(licence_of, n))))
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences, in order; of a sentence that isn't known, those of its lines."""
+    """Identifiers of the known sentences, in order; of a sentence that isn't known, those of its lines, or else of the names it refers to."""
     known = known_sentences()
     name = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     normal = lambda s: F.trim(F.regexp_replace(s, _NOT_WORD, " "))
     of = lambda s: F.try_element_at(name, normal(s))
-    found = F.transform(sentences(text), lambda s: F.when(of(s).isNotNull(), F.array(of(s))).otherwise(F.transform(F.split(s, LINE), of)))
-    return F.array_compact(F.flatten(found))
+    lines = lambda s: F.array_compact(F.transform(F.split(s, LINE), of))
+    known_or_named = lambda s: F.when(F.size(lines(s)) > 0, lines(s)).otherwise(references(normal(s)))
+    return F.flatten(F.transform(sentences(text), lambda s: F.when(of(s).isNotNull(), F.array(of(s))).otherwise(known_or_named(s))))
 
 
 def matched(sequence: Column) -> Column:
@@ -180,6 +229,7 @@ def op5_sentence_rule_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     known = ",\n    ".join(f"('{s}', '{i}')" for s, i in known_sentences().items())
+    named = ", ".join(f"('{name}', '{licence}')" for name, licence in LICENCE_OF.items())
     steps, left = [], "seq"
     for licence, ids in RULES:
         pattern = "".join(f"<{i}>" for i in ids)
@@ -189,8 +239,10 @@ def _oracle() -> str:
     return rf"""
 WITH k(s, id) AS (VALUES
     {known}
+), licence_of(name, licence) AS (VALUES
+    {named}
 ), t AS (
-  SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BOUNDARY}') AS p
+  SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TAG}', '{TAG_WORDS}', 'g'), '{BOUNDARY}') AS p
   FROM documents
 ), s AS (
   SELECT r, i, p[i] AS p, trim(regexp_replace(p[i], '{_NOT_WORD}', ' ', 'g')) AS s FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM t)
@@ -198,9 +250,17 @@ WITH k(s, id) AS (VALUES
   SELECT r, i, 0 AS j, id FROM s JOIN k USING (s)
 ), lines AS (
   SELECT r, i, unnest(range(1, len(l) + 1)) AS j, l FROM (SELECT r, i, regexp_split_to_array(p, '{LINE}') AS l FROM s WHERE s NOT IN (SELECT s FROM k))
-), hits AS (
+), known AS (
   SELECT * FROM whole UNION ALL
   SELECT r, i, j, id FROM (SELECT r, i, j, trim(regexp_replace(l[j], '{_NOT_WORD}', ' ', 'g')) AS s FROM lines) JOIN k USING (s)
+), referring AS (
+  SELECT r, i, s, regexp_extract_all(s, '{REFERENCE}') AS found FROM s WHERE (r, i) NOT IN (SELECT (r, i) FROM known)
+), referred AS (
+  SELECT r, i, flatten(list_transform(found, lambda x: regexp_extract_all(x, '{NAMED}'))) AS names FROM referring WHERE len(found) > 0
+), named AS (
+  SELECT r, i, j, 'Names' || licence AS id FROM (SELECT r, i, unnest(range(1, len(names) + 1)) AS j, unnest(names) AS name FROM referred) JOIN licence_of USING (name)
+), hits AS (
+  SELECT * FROM known UNION ALL SELECT * FROM named
 ), q AS (
   SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids, string_agg('<' || id || '>', '' ORDER BY i, j) AS seq FROM hits GROUP BY r
 ), l AS (
