@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import decontamination, exact_dedup, importance, licences, packing, simhash, token_scan
+from tidemark.llm import decontamination, exact_dedup, importance, licences, packing, simhash, token_scan, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -118,8 +118,26 @@ def test_very_long_documents_are_cut_in_linear_time():
     assert seconds(1 << 25) < 1.0
 
 
+def test_pieces_without_ids_are_the_same(odd):
+    docs = odd.coalesce(1)
+    whole, bare = packing.pack(docs, TOKENIZER), packing.pack(docs, TOKENIZER, with_ids=False)
+    assert bare.columns == whole.columns[:-1]
+    assert bare.collect() == whole.drop("ids").collect()
+
+
+@pytest.mark.parametrize("most", [0, 6, 150_000])
+def test_ids_do_not_depend_on_what_is_remembered(most):
+    """Chunks that are forgotten, taken over from the old ones or too long to be kept give the ids of the whole tokenizer."""
+    texts = ["one two three One, two.", "three four five six seven", "two Two, " + "z" * 70, "eight nine one two. " + "Z" * 70 + ".", "été naïve one, 42 don't", "", "two. été one"]
+    encode = tokens.ChunkEncoder(TOKENIZER, most=most)
+    for text in texts * 3:
+        assert np.frombuffer(encode.encode(text), "<u4").tolist() == truth(text)[:-1]
+        assert len(encode.known) <= most // 2 + 20 and not any(len(c) > 64 for c in encode.known)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
+    assert packing.pack(empty, TOKENIZER, with_ids=False).count() == 0
 
 
 # Exact dedup

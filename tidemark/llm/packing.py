@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import map_rows, rows, table
 from tidemark.llm.tokens import encoder
 
-DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
+DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 WIDTH = 4  # bytes of an id
 
 
@@ -130,8 +130,8 @@ class LevelPacker:
         self.open, self.n_open = {}, 0
 
 
-def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 4096, max_open: int = 8192) -> DataFrame:
-    """One row for each piece, its ids included (little-endian unsigned 32-bit).
+def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 4096, max_open: int = 8192, with_ids: bool = True) -> DataFrame:
+    """One row for each piece, its ids included (little-endian unsigned 32-bit) unless ``with_ids`` is false: then they never leave the task.
 
     ``tokenizer`` is the path of a tokenizer file on the executors. A null or empty text is the
     separator alone. A null doc_id is packed like any other and stays null; repeated rows are packed
@@ -148,7 +148,8 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 40
             for window in windows:
                 offset = 0
                 for p in window:
-                    yield p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset, bytes(p.ids)
+                    row = p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.doc_tokens, number, offset
+                    yield (*row, bytes(p.ids)) if with_ids else row
                     offset += len(p)
                 number += 1
 
@@ -158,11 +159,14 @@ def pack(docs: DataFrame, tokenizer: str, separator: int = 2, capacity: int = 40
                 yield from made(packer.add(Piece(doc_id, 0, memoryview(ids), len(ids) // WIDTH)))
         yield from made(packer.finish())
 
-    return map_rows(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")), run, DDL, SCHEMA)
+    texts = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    if with_ids:
+        return map_rows(texts, run, DDL + ", ids binary", SCHEMA.append(pa.field("ids", pa.binary())), size=256)  # 4 MB of ids
+    return map_rows(texts, run, DDL, SCHEMA)
 
 
 def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each piece of ``documents``; see ``pack``."""
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -1,4 +1,4 @@
-"""Token ids of texts, through a bounded cache of white-space-separated chunks.
+"""Token ids of texts, through a bounded cache of white-space-separated chunks in two generations.
 
 The tokenizers used here are byte-level, lower-case, drop white space and never join across it, so the
 ids of a text are those of its chunks in order. The tokenizer encodes a chunk the first time it is met.
@@ -23,7 +23,8 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 class ChunkEncoder:
     """``encode(text)`` gives the text's ids as little-endian ``dtype`` bytes.
 
-    Of the chunks met, ``most`` are remembered, none longer than ``longest``. A long text is encoded in slices; a chunk is never cut.
+    Of the chunks met, ``most`` are remembered, none longer than ``longest``. When half as many are new, those become the old ones, from
+    which a chunk that is met again is taken over, so frequent chunks are never learnt twice. A long text is encoded in slices; a chunk is never cut.
     """
 
     def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 150_000, slice_chars: int = 1 << 18, longest: int = 64):
@@ -33,7 +34,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.kind = {"<u4": "I", "<u2": "H"}[dtype]
-        self.most, self.slice_chars, self.longest, self.known = most, slice_chars, longest, {}
+        self.most, self.slice_chars, self.longest, self.known, self.old = most, slice_chars, longest, {}, {}
 
     def encode(self, text: str) -> bytes:
         if len(text) <= self.slice_chars:
@@ -48,10 +49,16 @@ class ChunkEncoder:
 
     def _encode(self, text: str) -> bytes:
         # str.split() parts at four control characters besides, which the tokenizer doesn't take for white space.
-        chunks, known = _SPACE.split(text) if _CONTROL.search(text) else text.split(), self.known
-        if len(known) > self.most:
-            known.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+        chunks = _SPACE.split(text) if _CONTROL.search(text) else text.split()
+        if len(self.known) > self.most // 2:
+            self.known, self.old = {}, self.known
+        known, old, new = self.known, self.old, []
+        for c in set(chunks).difference(known):
+            ids = old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                known[c] = ids
         if new:
             self._learn(new)
         ids = b"".join(map(known.__getitem__, chunks))
@@ -62,17 +69,19 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         """Latin letters, and marks behind them, are one word each for the model; any other chunk takes the whole tokenizer."""
-        known, tokenize, kind, rest = self.known, self.tokenizer.model.tokenize, self.kind, []
+        known, old, tokenize, kind, rest = self.known, self.old, self.tokenizer.model.tokenize, self.kind, []
         for c in chunks:
             plain = _PLAIN(c.lower())
             if not plain:
                 rest.append(c)
                 continue
             word, mark = plain.groups()
-            ids = known.get(word)
+            ids = known.get(word) or old.get(word)
             if ids is None:
                 symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-                known[word] = ids = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
+                ids = array(kind, [t.id for t in tokenize(symbols)]).tobytes()
+                if len(word) <= self.longest:
+                    known[word] = ids
             if mark:
                 marks = known.get(mark)
                 if marks is None:
