@@ -41,7 +41,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 tokens (operator 1)."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [
