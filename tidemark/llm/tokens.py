@@ -27,7 +27,7 @@ class ChunkEncoder:
     which a chunk that is met again is taken over, so frequent chunks are never learnt twice. A long text is encoded in slices; a chunk is never cut.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 150_000, slice_chars: int = 1 << 18, longest: int = 64):
+    def __init__(self, path: str, dtype: str = "<u4", specials_are_text: bool = False, most: int = 300_000, slice_chars: int = 1 << 18, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task on each core
         from tokenizers import Tokenizer
 
@@ -71,6 +71,9 @@ class ChunkEncoder:
         """Latin letters, and marks behind them, are one word each for the model; any other chunk takes the whole tokenizer."""
         known, old, tokenize, kind, rest = self.known, self.old, self.tokenizer.model.tokenize, self.kind, []
         for c in chunks:
+            if c.isascii() and c.isalpha() and c.islower():
+                known[c] = array(kind, [t.id for t in tokenize(c)]).tobytes()
+                continue
             plain = _PLAIN(c.lower())
             if not plain:
                 rest.append(c)
