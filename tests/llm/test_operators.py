@@ -528,6 +528,14 @@ def test_the_sample_is_no_threshold(spark):
     assert (np.diff(shares) < 0).all() and 0.05 < shares[4] and shares[0] < 0.95
 
 
+def test_the_query_draws_by_chance_among_good_documents(spark):
+    """Of the registered query: the sample lies within what is kept, differs from the heaviest as many by a tenth at least, and leans to the heavier half."""
+    got = importance.op3_importance_resampling(spark, "/root/testdata/sf0.01").where("kept").toPandas().sort_values("log_weight", ascending=False)
+    k, sampled = round(len(got) * 0.5), got["sampled"].to_numpy()
+    assert sampled.sum() == k == sampled[np.argsort(-got["sample_key"].to_numpy(), kind="stable")[:k]].sum()
+    assert 0.1 * k < k - sampled[:k].sum() < 0.5 * k
+
+
 def brute_ratio(texts, good):
     """Mean log ratio of each text by the counts of all texts and of the good ones, one n-gram at a time."""
     grams = [np.concatenate(list(importance.features(t))).tolist() for t in texts]
@@ -569,6 +577,8 @@ def test_sample_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.resample(odd, labels).where("kept").count() == odd.count()
     assert importance.resample(empty, labels).count() == 0
+    assert importance.draw(importance.resample(odd, labels)).where("sampled AND kept").count() == odd.count() // 2
+    assert importance.draw(importance.resample(empty, labels)).count() == 0
 
 
 # Licences

@@ -148,17 +148,17 @@ def with_gumbel_key(weights: DataFrame, seed: int = 0, noise: float = 1.0) -> Da
     return weights.withColumn("sample_key", F.col("log_weight") - F.lit(noise) * F.log(-F.log(u)))
 
 
-def top_k(keyed: DataFrame, k: int, bins: int = 1024) -> DataFrame:
-    """Adds kept: the ``k`` largest sample_key, the smaller doc_id of equals.
+def top_k(keyed: DataFrame, k: int, bins: int = 1024, name: str = "kept") -> DataFrame:
+    """Adds ``name``: true for the ``k`` largest sample_key, the smaller doc_id of equals.
 
     The k-th key is found by histograms of ``bins`` counts, each within the bin of the one before,
     so no task sorts the table and the driver sees ``bins`` counts at a time.
     """
     low, high, n = keyed.agg(F.min("sample_key"), F.max("sample_key"), F.count("sample_key")).first()
     if not n or k >= n:
-        return keyed.withColumn("kept", F.col("sample_key").isNotNull())
+        return keyed.withColumn(name, F.col("sample_key").isNotNull())
     if k <= 0:
-        return keyed.withColumn("kept", F.lit(False))
+        return keyed.withColumn(name, F.lit(False))
     left = k  # how many of the keys in [low, high] are to be kept; all above are
     for _ in range(8):
         width = (high - low) / bins
@@ -179,7 +179,7 @@ def top_k(keyed: DataFrame, k: int, bins: int = 1024) -> DataFrame:
     tie = F.col("doc_id").isNull() if last["doc_id"] is None else F.lit(False)
     within = (F.col("doc_id") <= F.lit(last["doc_id"])) if last["doc_id"] is not None else F.lit(True)
     at_edge = (F.col("sample_key") == F.lit(last["sample_key"])) & (F.coalesce(within, F.lit(False)) | tie)
-    return keyed.withColumn("kept", (F.col("sample_key") > F.lit(last["sample_key"])) | at_edge)
+    return keyed.withColumn(name, (F.col("sample_key") > F.lit(last["sample_key"])) | at_edge)
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targets: int = 20_000, seed: int = 0, sharpness: float = 20.0, allowance: float = 0.2) -> DataFrame:
@@ -201,6 +201,16 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, most_targ
     return top_k(keyed, k)
 
 
+def draw(judged: DataFrame, share: float = 0.5) -> DataFrame:
+    """Adds sampled: of what ``resample`` keeps, the ``share`` of rows with the largest sample_key.
+
+    What is kept is all that the weights don't speak against, so its size follows from the weights. A corpus smaller than that is drawn among
+    documents that are all good, where weights differ by less than the noise: heavier ones are taken more often, none surely. Nulls, ties and
+    empty tables as in ``resample``.
+    """
+    return top_k(judged, round(judged.where("kept").count() * share), name="sampled")
+
+
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the sample leaves out, in the columns of ``docs``.
 
@@ -211,5 +221,5 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each document: doc_id, n_grams, log_weight, sample_key, kept; see ``resample``."""
-    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+    """One row for each document: doc_id, n_grams, log_weight, sample_key, kept, sampled; see ``resample`` and ``draw``."""
+    return draw(resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))).drop("text_key")
