@@ -729,3 +729,21 @@ def test_helper_names_may_be_taken(quality):
     for stage in stages:
         kept = stage(clash)
         assert kept.columns == clash.columns and kept.count() >= 0.95 * n
+
+
+def test_pairs_of_a_key_meet_the_bound_of_all_segments(spark):
+    """Two sets that differ in many segments, but in no parity of four segments folded to one, make no row."""
+    visits = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "key long, root long, node long")
+    none, many = [0] * (simhash.SEGMENTS // 64), [(1 << 40) - 1] * (simhash.SEGMENTS // 64)
+    sets = spark.createDataFrame([(1, 50, none), (2, 50, many), (3, 50, none)], "node long, size long, odd array<long>")
+    assert [tuple(r) for r in simhash.minor_pairs(visits, simhash.mixed_keys(visits), sets, 0.8).collect()] == [(1, 3)]
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """What is a star around its smallest node is written once; a path takes rounds, and either end of an edge may come first."""
+    written, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: written.append(1) or write(df))
+    of = lambda edges: {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert of([(1, 5), (4, 1), (2, 3), (7, 7)]) == {5: 1, 4: 1, 3: 2} and len(written) == 1
+    assert of([(1, 5), (4, 5), (2, 4), (1, 5)]) == {5: 1, 4: 1, 2: 1} and len(written) > 2
+    assert of([]) == {}

@@ -21,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_names, map_rows, materialise, rows, salted, slices, small, table
@@ -116,27 +116,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge: root is the smallest node reachable.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, and the
-    rounds grow with the logarithm of the largest component.
+    rounds grow with the logarithm of the largest component. Stars around their smallest nodes need none.
     """
-    edges = materialise(edges)
-    mark = _mark(edges)
-    while mark[0]:
+    edges = materialise(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v"))
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted(both.where("v > u"), least, "u", "v").select(F.col("m").alias("u"), "v").where("u < v").distinct()
+        large = salted(edges, least, "u", "v").select(F.col("m").alias("u"), "v").where("u < v")
         # Now every edge points from the larger v to the smaller u.
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
-        edges = materialise(small)
-        was, mark = mark, _mark(edges)
-        if mark == was:
-            break
-    return edges.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "node")
+        down = large.withColumn("m", F.min("u").over(Window.partitionBy("v")))
+        edges = materialise(down.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct())
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """What changes whenever the set of edges does."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end has one edge, and is no smaller end of another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("below")).unionByName(edges.select(F.col("v").alias("node"), F.lit(1).alias("below")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.count(F.lit(1)).alias("n")).where("below > 1 OR below = 1 AND n > 1").isEmpty()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -163,7 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 ROWS, BANDS = 6, 20  # least values of a band, and bands: a pair at 0.8 shares a band with probability 0.998
 _DRAWN = np.random.default_rng(8).integers(0, 1 << 32, (2, ROWS * BANDS), dtype=np.uint32)
 _XOR, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint32(1)
-SEGMENTS, FOLDED = 1024, 256  # in which the shingles of a set are counted, and the fewer of a first look
+SEGMENTS = 1024  # in which the shingles of a set are counted
 _SKETCH_DDL = "node long, fp long, whole binary, size long, odd array<long>, keys array<long>"
 _SKETCH = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("whole", pa.binary()), ("size", pa.int64()), ("odd", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _VISIT_DDL, _VISIT = "key long, u long, v long", pa.schema([("key", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -269,16 +265,16 @@ def mixed_keys(visits: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def minor_pairs(visits: DataFrame, mixed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v), u < v: the nodes that share a key, are of different roots and that two bounds allow: by size, and by the Manhattan distance of few segments.
+    """(u, v), u < v: the nodes that share a key, are of different roots and that two bounds allow: by size, and by the Manhattan distance of segments.
 
     In each key the nodes outside its main root meet all others, which are dealt in blocks: nodes of the main root, however many, don't
     meet each other, and no task holds a whole key. The bounds are checked where two nodes meet, so what is too far apart makes no row.
     """
-    here = salted(visits, mixed, "key", "node").join(sets.select("node", "size", folded(F.col("odd")).alias("odd")), "node")
+    here = salted(visits, mixed, "key", "node").join(sets.select("node", "size", "odd"), "node")
     every = here.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x"), F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("i"))
     minor = here.where("root != main").select("key", F.col("root").alias("q"), F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
     met = (minor["key"] == every["key"]) & (minor["i"] == every["i"]) & (F.col("r") != F.col("q")) & (F.col("a") != F.col("b"))
-    pairs = minor.join(every, met & allowed(F.col("n"), F.col("m"), F.col("x"), F.col("y"), FOLDED // 64, similarity))
+    pairs = minor.join(every, met & allowed(F.col("n"), F.col("m"), F.col("x"), F.col("y"), similarity))
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -301,15 +297,9 @@ def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) ->
     return dealt.join(held, [side, "__salt"]).drop("__salt")
 
 
-def folded(odd: Column) -> Column:
-    """The parities of ``FOLDED`` wider segments: the exclusive or of the parities of those they are made of."""
-    words, few = SEGMENTS // 64, FOLDED // 64
-    return F.array(*(reduce(lambda x, y: x.bitwiseXOR(y), (odd[k] for k in range(at, words, few))) for at in range(few)))
-
-
-def allowed(n: Column, m: Column, x: Column, y: Column, words: int, similarity: float) -> Column:
+def allowed(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
     """Whether sets of n and m shingles with the parities x and y may have a Jaccard similarity of ``similarity``: such sets differ in (1 - s) / (1 + s) (n + m) shingles at most."""
-    apart = reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(SEGMENTS // 64)))
     most = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (n + m)
     return (F.least(n, m) >= F.lit(similarity - 1e-9) * F.greatest(n, m)) & (apart <= most)
 
@@ -317,15 +307,24 @@ def allowed(n: Column, m: Column, x: Column, y: Column, words: int, similarity:
 def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs`` that two bounds allow: by the sizes of the sets, and by the Manhattan distance of their segments. No near pair is lost."""
     of = lambda n, odd: sets.select("node", F.col("size").alias(n), F.col("odd").alias(odd))
-    both = _beside(_beside(pairs, "v", of("m", "b")), "u", of("n", "a"))
-    return both.where(allowed(F.col("n"), F.col("m"), F.col("a"), F.col("b"), SEGMENTS // 64, similarity)).select("u", "v").distinct()
+    both = _beside(_beside(pairs, "v", of("__m", "__b")), "u", of("__n", "__a"))
+    return both.where(allowed(F.col("__n"), F.col("__m"), F.col("__a"), F.col("__b"), similarity)).select(*pairs.columns)
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more: by the bounds first, then exactly."""
     pairs = materialise(likely_pairs(pairs, sets, similarity))
+    return exact_pairs(pairs, sets_of_pairs(pairs, docs, shingle), similarity)
+
+
+def sets_of_pairs(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of both ends of ``pairs``, which are written."""
     nodes = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    hashes = shingle_sets(docs, nodes, shingle)
+    return shingle_sets(docs, nodes, shingle)
+
+
+def exact_pairs(pairs: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose ``hashes`` have a Jaccard similarity of ``similarity`` or more."""
     of = lambda name: hashes.withColumnRenamed("hashes", name)
     common = F.size(F.array_intersect("a", "b"))
     near = _beside(_beside(pairs, "v", of("b")), "u", of("a")).select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
@@ -361,14 +360,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     firsts = [F.first(c).alias(c) for c in ("fp", "size", "odd", "keys")]
     sets = materialise(found.groupBy("whole").agg(F.min("node").alias("node"), *firsts, F.count(F.lit(1)).alias("n")))
     equal = salted(found, sets.where("n > 1").select("whole", F.col("node").alias("rep")), "whole", "node").where("rep < node").select("node", "rep")
-    linked = materialise(links(sets.groupBy("fp").agg(F.min("node").alias("node"))))
+    linked = links(sets.groupBy("fp").agg(F.min("node").alias("node")))
     starred = stars(sets.select(F.explode(F.concat("keys", F.array("fp"))).alias("key"), "node").distinct())
-    near_of = lambda pairs: materialise(similar_pairs(pairs, sets, docs, shingle, similarity))
+    often = materialise(linked.unionByName(starred.select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("times")))
     # Most often a document is near the one with which it shares most; pairs whose ends are in one group by then needn't be compared.
-    often = materialise(linked.unionByName(starred.select("u", "v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")))
-    best = materialise(often.groupBy("v").agg(F.max_by("u", F.struct("n", -F.col("u"))).alias("u")).select("u", "v"))
-    near = near_of(best)
-    near = near.unionByName(near_of(apart(often.select("u", "v"), materialise(components(near))).join(best, ["u", "v"], "left_anti")))
+    most = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("times"), "u")) == 1
+    likely = materialise(likely_pairs(often, sets, similarity).select("u", "v", most.alias("most")))
+    hashes = sets_of_pairs(likely, docs, shingle)
+    best = materialise(exact_pairs(likely.where("most").select("u", "v"), hashes, similarity))
+    others = apart(likely.where("NOT most").select("u", "v"), best.withColumnsRenamed({"v": "node", "u": "root"}))
+    near = best.unionByName(materialise(exact_pairs(materialise(others), hashes, similarity)))
     roots = materialise(components(near))
     placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
     shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
@@ -379,8 +380,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
         members = materialise(salted(shared, crowded, "key", "node").select("node").distinct())
         visits = placed(rare_visits(members, docs, shingle, similarity))
         rest = rest.unionByName(minor_pairs(visits, materialise(mixed_keys(visits)), sets, similarity)).distinct()
-    rest = near_of(rest.join(often, ["u", "v"], "left_anti"))
-    every = components(near.unionByName(rest))
+    rest = materialise(rest)
+    found_last = exact_pairs(rest, sets_of_pairs(rest, docs, shingle), similarity)
+    every = components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(found_last))
     below = equal.join(every.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     return every.unionByName(below)
 
