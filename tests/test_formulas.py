@@ -171,6 +171,16 @@ def test_no_task_holds_a_hot_key(spark):
     assert len(small) == 1000 and small["k"].isna().sum() == 50
 
 
+def test_tasks_don_t_grow_with_small_blocks(spark, monkeypatch):
+    """36 million rows in blocks of a thousand take no 72,000 tasks; ranges of more than one block number rows all the same."""
+    assert [ordered.ranges_of(*x) for x in ((150, 50), (10**5, 1000), (36 * 10**6, 1000), (10**9, 1000), (10**9, 10**6), (10**7, 4 * 10**6))] == [6, 200, 200, 2000, 2000, 6]
+    dealt, deal = [], ordered.in_ranges
+    monkeypatch.setattr(ordered, "in_ranges", lambda df, by, ranges: dealt.append(ranges) or deal(df, by, ranges))
+    df = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") * 7919 % 3000).alias("ts"))
+    rows = ordered.number(df, "ts", ["k"], rows_per_block=10)[0].orderBy("k", "ts").collect()
+    assert dealt == [200] and [(r[ordered.RN], r[ordered.BLOCK]) for r in rows] == [(i, i // 10) for i in range(1500)] * 2
+
+
 @pytest.mark.parametrize("kind", ["one minute", "one time", "nulls"])
 def test_no_range_holds_a_burst(spark, kind):
     """Ranges follow a sample of the rows, not the length of time: nine rows of ten in a minute, at one time or at none."""

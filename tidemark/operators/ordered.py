@@ -22,6 +22,8 @@ RN, BLOCK, HOME, TOTAL = "__rn", "__block", "__home", "__rows"
 ROWS_PER_BLOCK = 1_000_000
 #: Ranges in which rows are numbered, for each block: cut points come from a sample, so ranges are finer than blocks.
 RANGES_PER_BLOCK = 2
+#: So many ranges at most for blocks of few rows, as long as a range stays as small as one of a table in blocks of ROWS_PER_BLOCK: each range is a task, whose result the driver takes.
+FEW_RANGES = 200
 
 
 def number(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[str] = (), rows_per_block: int = ROWS_PER_BLOCK) -> tuple[DataFrame, bool]:
@@ -37,7 +39,12 @@ def number(df: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[s
     if n <= rows_per_block:
         one = df.withColumn(BLOCK, F.lit(0).cast("long"))
         return one.withColumn(RN, F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*by)).cast("long") - 1), False
-    return ranked(df, keys, by, RANGES_PER_BLOCK * -(-n // rows_per_block)).drop(TOTAL).withColumn(BLOCK, F.floor(F.col(RN) / rows_per_block).cast("long")), True
+    return ranked(df, keys, by, ranges_of(n, rows_per_block)).drop(TOTAL).withColumn(BLOCK, F.floor(F.col(RN) / rows_per_block).cast("long")), True
+
+
+def ranges_of(n: int, rows_per_block: int) -> int:
+    """In how many ranges ``n`` rows are numbered. Blocks are cut by number, so a range may hold many of them."""
+    return RANGES_PER_BLOCK * min(-(-n // rows_per_block), max(FEW_RANGES // RANGES_PER_BLOCK, -(-n // ROWS_PER_BLOCK)))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], by: Sequence[Column], ranges: int) -> DataFrame:
