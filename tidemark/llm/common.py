@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, shared_folder, table
+from tidemark.session import materialise, shared_folder, shuffled, table
 
-__all__ = ["free_names", "map_rows", "materialise", "rows", "salted", "shared_folder", "small", "table", "text_key", "without_rows"]
+__all__ = ["free_names", "map_rows", "materialise", "rows", "salted", "shared_folder", "shuffled", "small", "table", "text_key", "without_rows"]
 
 #: What counts as white space in the text contracts: space and tab to carriage return.
 SPACES = r"[ \t-\r]+"
@@ -68,7 +68,7 @@ def map_rows(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def small(held: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``held`` marked for broadcast if it has ``most`` rows at most. They are counted, so what is sent has a bound; a larger table is joined by a shuffle."""
-    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else shuffled(held)
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:

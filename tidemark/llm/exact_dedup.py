@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, free_names, materialise, small, table
+from tidemark.llm.common import SPACES, free_names, materialise, shuffled, small, table
 
 GAMMA = 2.0  # positions for each digest of a level
 FOUND = "digest binary, keep_id long, group_size long, keep_rows long, known boolean"
@@ -169,7 +169,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         groups = exact_groups(found.where(~old), found.where(old))
     else:
         groups = exact_groups(found, digests(history))
-    return found.join(groups, "digest").select(
+    return found.join(shuffled(groups), "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), "keep_rows", "known",
     )

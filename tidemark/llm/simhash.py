@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_names, map_rows, materialise, rows, salted, slices, small, table
+from tidemark.llm.common import free_names, map_rows, materialise, rows, salted, shuffled, slices, small, table
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)  # [byte, bit]
@@ -105,7 +105,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """(u, v), u < v: a star over each set of fingerprints that share a centre. ``nodes`` has distinct (node, fp)."""
     visits = _visits(nodes)
     shared = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    near = _centres(visits.join(shared, "cell"))
+    near = _centres(visits.join(shuffled(shared), "cell"))
     groups = near.groupBy("centre").agg(F.collect_list(F.struct("node", "fp")).alias("members")).where(F.size("members") > 1)
     star = groups.select(F.array_min("members").alias("root"), F.explode("members").alias("m"))
     exact = F.bit_count(F.col("root.fp").bitwiseXOR(F.col("m.fp"))) <= 2
