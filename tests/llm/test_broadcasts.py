@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 import pytest
 
-from tests.llm.test_operators import docs_of
+from tests.llm.test_operators import docs_of, edited_texts
 from tidemark.llm import common, exact_dedup, simhash
 
 
@@ -27,6 +30,21 @@ def written(monkeypatch):
     return plans
 
 
+def test_large_tables_are_not_broadcast(spark):
+    held = common.materialise(spark.range(9))
+    assert "Broadcast" in plan_of(held.join(common.small(held, 9), "id"))
+    assert "Broadcast" not in plan_of(held.join(common.small(held, 8), "id", "left_anti"))
+    assert "Broadcast" not in plan_of(common.salted(held, held, "id", "id"))
+
+
+def test_near_copies_broadcast_nothing_uncounted(spark, written, monkeypatch):
+    docs = common.materialise(docs_of(spark, edited_texts(np.random.default_rng(9))[:120]))
+    monkeypatch.setattr(simhash, "similar_groups", partial(simhash.similar_groups, crowd=1))
+    plan = plan_of(simhash.drop_near_duplicates(docs))
+    assert sum("SortMergeJoin" in p for p in written) >= 8
+    assert not [p for p in [*written, plan] if "Broadcast" in p]
+
+
 def test_grid_cells_are_not_broadcast(spark):
     """The visits, 33 a fingerprint, were broadcast where the fingerprints' file was small enough."""
     nodes = common.materialise(spark.createDataFrame([(i, i * i) for i in range(40)], "node long, fp long"))

@@ -74,7 +74,7 @@ def small(held: DataFrame, most: int = 1_000_000) -> DataFrame:
 def salted(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
     """Inner join by ``key``, of which ``right`` has one row each. A key with many rows on the left is dealt over ``salts`` tasks by ``spread``."""
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(F.lit(salts), spread), F.lit(salts))).join(copies, [key, "__salt"]).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(F.lit(salts), spread), F.lit(salts))).join(shuffled(copies), [key, "__salt"]).drop("__salt")
 
 
 def free_names(docs: DataFrame, *wanted: str) -> list[str]:

@@ -253,7 +253,7 @@ def stars(visits: DataFrame) -> DataFrame:
     made = materialise(visits.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run_heads, _VISIT_DDL))
     heads = made.where("v IS NULL").select("key", "u").distinct()
     least = heads.groupBy("key").agg(F.min("u").alias("m"))
-    across = heads.join(least, "key").where("m < u").select("key", F.col("m").alias("u"), F.col("u").alias("v"))
+    across = heads.join(shuffled(least), "key").where("m < u").select("key", F.col("m").alias("u"), F.col("u").alias("v"))
     return made.where("v IS NOT NULL").unionByName(across)
 
 
@@ -270,11 +270,11 @@ def minor_pairs(visits: DataFrame, mixed: DataFrame, sets: DataFrame, similarity
     In each key the nodes outside its main root meet all others, which are dealt in blocks: nodes of the main root, however many, don't
     meet each other, and no task holds a whole key. The bounds are checked where two nodes meet, so what is too far apart makes no row.
     """
-    here = salted(visits, mixed, "key", "node").join(sets.select("node", "size", "odd"), "node")
+    here = salted(visits, mixed, "key", "node").join(shuffled(sets.select("node", "size", "odd")), "node")
     every = here.select("key", F.col("root").alias("r"), F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x"), F.pmod(F.xxhash64(F.lit(1), "node"), "blocks").alias("i"))
     minor = here.where("root != main").select("key", F.col("root").alias("q"), F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
     met = (minor["key"] == every["key"]) & (minor["i"] == every["i"]) & (F.col("r") != F.col("q")) & (F.col("a") != F.col("b"))
-    pairs = minor.join(every, met & allowed(F.col("n"), F.col("m"), F.col("x"), F.col("y"), similarity))
+    pairs = minor.join(shuffled(every), met & allowed(F.col("n"), F.col("m"), F.col("x"), F.col("y"), similarity))
     return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
@@ -293,8 +293,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 def _beside(pairs: DataFrame, side: str, values: DataFrame, salts: int = 64) -> DataFrame:
     """``pairs`` with the columns of ``values`` for the node in ``side``. A node in many pairs is dealt over ``salts`` groups."""
     dealt = pairs.withColumn("__salt", F.pmod(F.xxhash64("v" if side == "u" else "u"), F.lit(salts)))
-    held = dealt.select(side, "__salt").distinct().join(values.withColumnRenamed("node", side), side)
-    return dealt.join(held, [side, "__salt"]).drop("__salt")
+    held = dealt.select(side, "__salt").distinct().join(shuffled(values.withColumnRenamed("node", side)), side)
+    return dealt.join(shuffled(held), [side, "__salt"]).drop("__salt")
 
 
 def allowed(n: Column, m: Column, x: Column, y: Column, similarity: float) -> Column:
@@ -371,7 +371,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     others = apart(likely.where("NOT most").select("u", "v"), best.withColumnsRenamed({"v": "node", "u": "root"}))
     near = best.unionByName(materialise(exact_pairs(materialise(others), hashes, similarity)))
     roots = materialise(components(near))
-    placed = lambda some: materialise(some.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
+    placed = lambda some: materialise(some.join(shuffled(roots), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "node"))
     shared = placed(starred.select("key", F.explode(F.array("u", "v")).alias("node")).distinct())
     mixed = materialise(mixed_keys(shared))
     rest = minor_pairs(shared, mixed.where(F.col("minor") <= crowd), sets, similarity)
@@ -383,13 +383,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, c
     rest = materialise(rest)
     found_last = exact_pairs(rest, sets_of_pairs(rest, docs, shingle), similarity)
     every = components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(found_last))
-    below = equal.join(every.withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
+    below = equal.join(shuffled(every.withColumnRenamed("node", "rep")), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     return every.unionByName(below)
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose ends aren't in one group."""
-    named = pairs.join(roots.withColumnsRenamed({"node": "u", "root": "r"}), "u", "left").join(roots.withColumnsRenamed({"node": "v", "root": "q"}), "v", "left")
+    of = lambda end, root: shuffled(roots.withColumnsRenamed({"node": end, "root": root}))
+    named = pairs.join(of("u", "r"), "u", "left").join(of("v", "q"), "v", "left")
     return named.where("coalesce(r, u) != coalesce(q, v)").select("u", "v")
 
 
