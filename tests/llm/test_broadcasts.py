@@ -55,3 +55,10 @@ def test_exact_copies_broadcast_nothing_uncounted(spark, written):
     docs = common.materialise(docs_of(spark, ["a b", "a  b", "c", None]))
     assert {r["doc_id"] for r in exact_dedup.drop_repeats(docs).collect()} == {0, 2, 3}
     assert written and not [p for p in [*written, plan_of(exact_dedup.exact_dedup(docs))] if "Broadcast" in p]
+
+
+def test_fingerprints_are_not_broadcast(spark, written):
+    docs = common.materialise(docs_of(spark, edited_texts(np.random.default_rng(9))))
+    plan = plan_of(simhash.near_duplicates(docs))
+    assert plan.count("SortMergeJoin") == 2
+    assert not [p for p in [*written, plan] if "Broadcast" in p]

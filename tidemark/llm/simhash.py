@@ -149,9 +149,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     # A fingerprint is known by its smallest doc_id; one without any by itself, behind all that have one.
     node = F.struct(F.col("name").isNull().alias("nameless"), F.coalesce("name", "fp").alias("id"))
     nodes = names.select(node.alias("node"), "fp")
-    named = nodes.join(components(links(nodes)), "node", "left").select("fp", F.coalesce("root", "node").alias("least"))
+    named = nodes.join(shuffled(components(links(nodes))), "node", "left").select("fp", F.coalesce("root", "node").alias("least"))
     component = F.when(~F.col("least.nameless"), F.col("least.id")).alias("component_id")
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
+    return found.join(shuffled(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
 # Similar documents: a Jaccard similarity at which segment counts alone no longer tell anything apart
