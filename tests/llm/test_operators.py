@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import decontamination, exact_dedup, importance, licences, packing, simhash, token_scan, tokens
+from tidemark.llm import common, decontamination, exact_dedup, importance, licences, packing, simhash, token_scan, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -455,6 +455,39 @@ def test_more_words_than_characters():
     assert small.width == 2
 
 
+def test_patterns_of_all_lengths_at_all_places(monkeypatch):
+    """Runs are looked up at some places only, and texts come in slices; no hit is lost or added, whatever the lengths of items."""
+    rng, taken = np.random.default_rng(5), 0
+    for size in [4, 30, 1 << 22] * 100:
+        vocabulary = [f"w{i}" for i in range(int(rng.integers(2, 30)))]
+        items = [(str(i), " ".join(rng.choice(vocabulary, int(rng.integers(0, 15))))) for i in range(int(rng.integers(0, 5)))] + [(None, None), ("9", "..."), (None, "w0 w1 w0")]
+        words = [*rng.choice(vocabulary, int(rng.integers(0, 40))), "else"]
+        at = int(rng.integers(0, len(words)))
+        text = " ".join([*words[:at], items[0][1] or "", *words[at:]])
+        monkeypatch.setattr(decontamination, "slices", lambda t, size=size: common.slices(t, size))
+        for window in (1, 4, 10):
+            machine = decontamination.Automaton([*items, *items], window)
+            n, runs, ids = machine.scan(text)
+            assert (n, sum(b - a for a, b in runs), sorted(ids)) == brute_hits(text, items, window)
+            assert all(b < a for (_, b), (a, _) in zip(runs, runs[1:])) and machine.scan(None) == machine.scan("") == (0, [], set())
+            taken += bool(runs)
+    assert taken > 300
+
+
+def test_automaton_scans_around_runs_of_items_only():
+    """Words that items have, too, but in another order, aren't scanned; around a hit a few words are."""
+    line = [f"w{i}" for i in range(40)]
+    made, steps = decontamination.Automaton([("1", " ".join(line)), ("2", "other words")], 10), []
+    machine = made.machine
+    made.machine = type("Counted", (), {"iter": lambda self, line: steps.append(len(line)) or machine.iter(line)})()
+    mixed = " ".join(np.random.default_rng(6).permutation(line * 50))
+    assert made.scan(f"{mixed} else {mixed}") == (4001, [], set())
+    assert sum(steps) < 200
+    steps.clear()
+    assert made.scan(" ".join(["else"] * 1000 + line[7:17] + ["else"] * 1000)) == (2010, [(1000, 1010)], {"1"})
+    assert 10 <= sum(steps) <= 40
+
+
 def test_hits_map_to_characters():
     text = "Ünder: One, two -- THREE."
     assert [text[a:b] for a, b in decontamination.hit_characters(text, [(1, 3)])] == ["One, two"]
