@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import numpy as np
@@ -57,6 +58,35 @@ def test_dedup_takes_ties_by_ordinal(spark):
     assert values(align.dedup(df, ["ts"], ["o"], "first")) == [(None, 4, "m", 1.0), (1, 0, "a", None), (2, 0, None, None)]
 
 
+def test_dedup_shuffles_a_column_once(spark):
+    df = spark.createDataFrame([(1, 0, "a", 2.0)], "k long, ts long, x string, y double")
+    for keep in ("first", "last"):
+        row = re.search(r"struct\((.*)\)", align.dedup(df, ["k"], ["ts", "x", "y"], keep)._jdf.queryExecution().analyzed().toString())[1]
+        assert sorted(re.findall(r"\b(\w+)#\d+", row)) == ["ts", "x", "y"]
+
+
+@pytest.mark.parametrize("by", [["o"], ["o", "x", "y"], ["y", "o", "x", "y"], ["k", "o", "x", "y"], ["O", "x", "y"], ["x", "y", "o"]])
+def test_dedup_of_odd_rows(spark, by):
+    """Null keys and values, NaN (above all numbers), repeated rows and orders that name a column twice, a key or in other letters."""
+    rows = [(1, 5, "b", 1.0), (1, 5, "b", 1.0), (1, 5, "a", float("nan")), (1, 5, "a", float("inf")), (1, None, "z", None), (None, 2, None, 3.0), (None, 1, "q", None), (None, 1, "q", -3.0), (2, None, None, None), (3, 0, "", -1.0)]
+    df = spark.createDataFrame(rows, "k long, o long, x string, y double")
+    rank = lambda v: (v is not None, v != v, v if v == v else 0)
+    along = lambda r: [rank(r["koxy".index(b.lower())]) for b in [*by, "o", "x", "y"]]
+    for keep, pick in (("first", min), ("last", max)):
+        got = align.dedup(df.repartition(3), ["k"], by, keep)
+        assert got.columns == df.columns
+        assert {repr(tuple(r)) for r in got.collect()} == {repr(pick([r for r in rows if r[0] == k], key=along)) for k in (1, 2, 3, None)} and got.count() == 4
+
+
+def test_agg_trades_of_odd_rows(spark):
+    """Nulls in every column, a null id, rows that come twice, and an empty table; of an id the first row by time stays, then by the other columns."""
+    schema = "agg_trade_id long, transact_time long, price double, symbol string"
+    rows = [(1, 9, 1.0, "a"), (1, 8, 2.0, "a"), (1, 8, None, "b"), (None, 3, 1.0, None), (None, 3, 1.0, None), (None, None, 7.0, "c"), (2, 1, None, None), (3, 1000, 5.0, "d"), (3, 1000, 5.0, "d")]
+    got = [tuple(r) for r in processors.process("aggTrades", spark.createDataFrame(rows, schema)).collect()]
+    assert got == [(None, None, 7.0, "c"), (2, 1, None, None), (1, 8, None, "b"), (3, 1000, 5.0, "d")]
+    assert processors.process("aggTrades", spark.createDataFrame([], schema)).collect() == []
+
+
 def test_prefix():
     assert align.prefix("BTC", "klines", "1h") == "BTC_klines_1h_" and align.prefix("BTC", "trades", "1h") == "BTC_trades_" and align.prefix("BTC", "markPriceKlines", "1m") == "BTC_markPriceKlines_1m_"
 

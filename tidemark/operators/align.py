@@ -66,14 +66,16 @@ def features(df: DataFrame, wanted: Sequence[str] | None = None, time_key: str =
 def dedup(df: DataFrame, keys: Sequence[str], by: Sequence[str], keep: str = "last") -> DataFrame:
     """One row for each key: the last or first along ``by``, whose columns must tell equal keys apart.
 
-    A maximum of structs takes partial aggregates, so repeated keys are merged before the shuffle.
+    A maximum of structs takes partial aggregates, so repeated keys are merged before the shuffle. A column of ``by``
+    stands in the struct once, as all of it is shuffled.
     """
     pick = F.max if keep == "last" else F.min
     rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], *[F.col(c) for c in rest])
+    at = {b: f"__by{i}" for i, b in enumerate(by)}
+    row = F.struct(*[F.col(b).alias(name) for b, name in at.items()], *[F.col(c) for c in rest if c not in at])
     if any(isinstance(df.schema[c].dataType, (T.MapType,)) for c in rest):
         raise ValueError("map columns can't be compared")
-    return df.groupBy(*keys).agg(pick(row).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
+    return df.groupBy(*keys).agg(pick(row).alias("__row")).select(*keys, *[F.col("__row")[at.get(c, c)].alias(c) for c in rest]).select(*df.columns)
 
 
 def prefix(symbol: str, dataset: str, interval: str | None = None) -> str:
